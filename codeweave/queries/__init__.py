@@ -1,3 +1,3 @@
 """Registered queries, one module per operator family."""
 
-from . import functions  # noqa: F401
+from . import functions, modules  # noqa: F401

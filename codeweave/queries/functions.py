@@ -53,3 +53,119 @@ SELECT id, CAST(complexity AS BIGINT) AS complexity FROM scored WHERE complexity
 def function_complexity_all(g, spark, sf_dir):
     """O14 without a limit: every function scoring at least 12."""
     return op.function_complexity(g, min_complexity=12, limit=None).select("id", "complexity")
+
+
+@register("function_details", """
+SELECT id, name, coalesce(nullif(module_name, ''), 'Unknown') AS module_name,
+  coalesce(nullif(function_signature, ''), 'No signature') AS signature,
+  src_file, line_start, line_end, coalesce(nullif(type_enum, ''), 'Unknown') AS type_enum
+FROM cg_function WHERE name IN ('red plate', 'hot ring', 'no such function')
+""")
+def function_details(g, spark, sf_dir):
+    """Every function carrying one of three names."""
+    return op.function_details(g, ["red plate", "hot ring", "no such function"])
+
+
+@register("function_details_all", """
+SELECT id, name, coalesce(nullif(module_name, ''), 'Unknown') AS module_name,
+  coalesce(nullif(function_signature, ''), 'No signature') AS signature,
+  src_file, line_start, line_end, coalesce(nullif(type_enum, ''), 'Unknown') AS type_enum
+FROM cg_function
+""")
+def function_details_all(g, spark, sf_dir):
+    """O07 for all functions (no key table)."""
+    return op.function_details(g)
+
+
+@register("search_functions", """
+SELECT id, name, coalesce(nullif(module_name, ''), 'Unknown') AS module_name,
+  coalesce(nullif(function_signature, ''), 'No signature') AS signature
+FROM cg_function WHERE name LIKE '%ring%' ORDER BY name, id LIMIT 50
+""")
+def search_functions(g, spark, sf_dir):
+    """O08, unanchored pattern, default limit."""
+    return op.search_functions(g, "ring")
+
+
+@register("search_functions_all", """
+SELECT id, name, coalesce(nullif(module_name, ''), 'Unknown') AS module_name,
+  coalesce(nullif(function_signature, ''), 'No signature') AS signature
+FROM cg_function WHERE name LIKE 'hot%'
+""")
+def search_functions_all(g, spark, sf_dir):
+    """O08 anchored (``hot*``), no limit."""
+    return op.search_functions(g, "hot*", limit=None)
+
+
+@register("most_called_functions", """
+SELECT name, module_name, calls,
+  CAST(row_number() OVER (ORDER BY calls DESC, name ASC NULLS LAST,
+                          module_name ASC NULLS LAST) AS BIGINT) AS rank
+FROM (SELECT name, module_name, count(*) AS calls FROM cg_function_called
+      GROUP BY name, module_name)
+ORDER BY calls DESC, name ASC NULLS LAST, module_name ASC NULLS LAST LIMIT 20
+""")
+def most_called_functions(g, spark, sf_dir):
+    """O09 top 20."""
+    return op.most_called_functions(g)
+
+
+@register("function_callers", """
+SELECT callee, callee_module, caller_id, caller, caller_module, site FROM (
+  SELECT c.name AS callee, c.module_name AS callee_module, c.function_id AS caller_id,
+    f.name AS caller, f.module_name AS caller_module, c.site,
+    row_number() OVER (PARTITION BY c.name
+                       ORDER BY c.function_id, c.site, c.module_name) AS rn
+  FROM cg_function_called c JOIN cg_function f ON c.function_id = f.id) WHERE rn <= 50
+""")
+def function_callers(g, spark, sf_dir):
+    """O11 for every callee name, 50 call sites each."""
+    return op.function_callers(g, None)
+
+
+@register("function_callers_keyed", """
+SELECT c.name AS callee, c.module_name AS callee_module, c.function_id AS caller_id,
+  f.name AS caller, f.module_name AS caller_module, c.site
+FROM cg_function_called c JOIN cg_function f ON c.function_id = f.id
+WHERE c.name IN ('red plate', 'small widget')
+""")
+def function_callers_keyed(g, spark, sf_dir):
+    """O11 for two names, every call site (no limit)."""
+    return op.function_callers(g, ["red plate", "small widget"], limit=None)
+
+
+@register("function_callees", """
+SELECT caller_id, caller, caller_module, callee, callee_module, site FROM (
+  SELECT f.id AS caller_id, f.name AS caller, f.module_name AS caller_module,
+    c.name AS callee, c.module_name AS callee_module, c.site,
+    row_number() OVER (PARTITION BY f.id ORDER BY c.name, c.site, c.module_name) AS rn
+  FROM cg_function f JOIN cg_function_called c ON c.function_id = f.id) WHERE rn <= 50
+""")
+def function_callees(g, spark, sf_dir):
+    """O12 for every function, 50 sites each."""
+    return op.function_callees(g, None)
+
+
+@register("cross_module_calls", """
+SELECT f.id AS source_id, f.name AS source_function, m.name AS source_module,
+  c.name AS target_function, c.module_name AS target_module, c.site
+FROM cg_function_called c JOIN cg_function f ON c.function_id = f.id
+JOIN cg_module m ON f.module_id = m.id
+WHERE m.name <> c.module_name
+""")
+def cross_module_calls(g, spark, sf_dir):
+    """O13 over all call sites (no limit)."""
+    return op.cross_module_calls(g, limit=None)
+
+
+@register("cross_module_calls_filtered", """
+SELECT f.id AS source_id, f.name AS source_function, m.name AS source_module,
+  c.name AS target_function, c.module_name AS target_module, c.site
+FROM cg_function_called c JOIN cg_function f ON c.function_id = f.id
+JOIN cg_module m ON f.module_id = m.id
+WHERE m.name <> c.module_name AND m.name LIKE 'NATION_1%' AND c.module_name LIKE '%Supplier_00000001%'
+ORDER BY source_module, source_id, site, target_function, target_module LIMIT 100
+""")
+def cross_module_calls_filtered(g, spark, sf_dir):
+    """O13 with an anchored source and an unanchored target pattern."""
+    return op.cross_module_calls(g, "NATION_1*", "Supplier_00000001")
