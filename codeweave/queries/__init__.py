@@ -1,3 +1,3 @@
 """Registered queries, one module per operator family."""
 
-from . import functions, modules  # noqa: F401
+from . import classes, functions, imports, modules, types  # noqa: F401

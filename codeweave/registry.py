@@ -26,9 +26,10 @@ def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     return _GRAPHS[key]
 
 
-def register(name: str, sql: str | None):
+def register(name: str, sql: str | None, recursive: bool = False):
     """Register ``fn(graph, spark, sf_dir)``; ``sql`` is the query body
-    placed after the fixture CTE list (``None`` = no SQL oracle)."""
+    placed after the fixture CTE list (``None`` = no SQL oracle).
+    ``recursive`` turns the CTE list into ``WITH RECURSIVE``."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(graph(spark, sf_dir), spark, sf_dir)
@@ -36,7 +37,10 @@ def register(name: str, sql: str | None):
         run.__doc__ = fn.__doc__
         _SPARK[name] = run
         if sql is not None:
-            _SQL[name] = oracle_prefix() + sql
+            prefix = oracle_prefix()
+            if recursive:
+                prefix = "WITH RECURSIVE " + prefix[len("WITH "):]
+            _SQL[name] = prefix + sql
         return fn
     return deco
 
