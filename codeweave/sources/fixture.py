@@ -13,6 +13,7 @@ from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .tables import CodeGraph
 
@@ -62,3 +63,10 @@ def fixture_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(probe_id, src_file, line) location probes derived from ``events``."""
     return spark.sql(spark_prefix(sf_dir) + "SELECT * FROM cg_probe")
+
+
+def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text, module) from ``documents``: the text operators' corpus
+    (doc_id = function id, text = body, source = module)."""
+    return base_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), "text", F.col("source").alias("module"))
