@@ -1,3 +1,3 @@
 """Registered queries, one module per operator family."""
 
-from . import calls, classes, functions, imports, modules, similarity, types  # noqa: F401
+from . import calls, classes, functions, imports, modules, patterns, similarity, types  # noqa: F401
