@@ -15,6 +15,7 @@ from .sources.fixture import fixture_graph, oracle_prefix
 from .sources.tables import CodeGraph
 
 _SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_FNS: dict[str, Callable[[CodeGraph, SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 _GRAPHS: dict[tuple[int, str], CodeGraph] = {}
 
@@ -36,6 +37,7 @@ def register(name: str, sql: str | None, recursive: bool = False):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         _SPARK[name] = run
+        _FNS[name] = fn
         if sql is not None:
             prefix = oracle_prefix()
             if recursive:
@@ -50,6 +52,12 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_SPARK)
 
 
+def graph_queries() -> dict[str, Callable[[CodeGraph, SparkSession, str], DataFrame]]:
+    """The same queries taking an explicit graph (e.g. one loaded from parquet)."""
+    _load()
+    return dict(_FNS)
+
+
 def oracle_queries() -> dict[str, str]:
     _load()
     return dict(_SQL)

@@ -99,15 +99,18 @@ class CodeGraph:
     def from_parquet(cls, spark: SparkSession, root: str) -> "CodeGraph":
         """Load tables written by ``sources.ingest.load_dump`` (one parquet
         directory per entity under ``root``)."""
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+
         def read(entity: str) -> DataFrame:
-            return spark.read.schema(ENTITY_SCHEMAS[entity]).parquet(f"{root}/{entity}")
-
-        inst_fn = None
-        try:
-            inst_fn = read("instance_function")
-            inst_fn.schema  # noqa: B018  (forces path resolution)
-        except Exception:  # optional table
-            inst_fn = None
+            # An entity missing from the dump is an empty table.
+            path = f"{root}/{entity}"
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            if not p.getFileSystem(conf).exists(p):
+                return spark.createDataFrame([], ENTITY_SCHEMAS[entity])
+            return spark.read.schema(ENTITY_SCHEMAS[entity]).parquet(path)
+
+        inst_fn = read("instance_function")
         return cls(
             spark=spark, module=read("module"), function=read("function"),
             function_body=read("function_body"), where_function=read("where_function"),
