@@ -235,7 +235,9 @@ def nested_types(g: CodeGraph, type_names: list[str], gateway_name: str,
     when their module name contains ``gateway_name`` and their name does
     not match ``exclude_pattern``; the definition, or its first line."""
     kf = key_frame(g.spark, type_names, ["type_name"])
-    start = restrict(g.types, kf, ["type_name"]).select(F.col("id").alias("root"),
+    # Only the union of what is reachable matters: one walk from all
+    # start types at once (a single pseudo-root), not one per type.
+    start = restrict(g.types, kf, ["type_name"]).select(F.lit(0).cast("long").alias("root"),
                                                          F.col("id").alias("node"))
     reach = bfs(_edges(g), start, None).select("node")
     ids = start.select("node").unionByName(reach).distinct()

@@ -3,13 +3,16 @@ components, as frontier loops of joins.
 
 Each round is one join of the frontier with the edge table plus an
 anti-join against what was already reached; the only value that comes
-back to the driver is "is the new frontier empty". Every few rounds the
-state is checkpointed to the session's checkpoint directory so the plan
-stays small and a lost executor recomputes one round, not all of them.
+back to the driver is "is the new frontier empty". The edge table is
+persisted once per traversal (it is re-read every round), and the
+loop state is checkpointed to the session's checkpoint directory every
+few rounds so the plan stays small and a lost executor recomputes a few
+rounds, not all of them.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,33 +37,41 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "s
     ``reverse=True`` walks edges backwards (dependents / callers).
     ``max_depth=None`` runs to the fixpoint.
     """
-    e = _edges(edges, src, dst, reverse)
+    e = _edges(edges, src, dst, reverse).persist(StorageLevel.MEMORY_AND_DISK)
     start = roots.select("root", "node").distinct()
+    # visited holds (root, node, depth); depth 0 rows are the roots.
     visited = start.withColumn("depth", F.lit(0))
     frontier = start
-    found: DataFrame | None = None
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = (frontier.join(e, frontier["node"] == e["__src"])
-                .select("root", F.col("__dst").alias("node")).distinct()
-                .join(visited.select("root", "node"), ["root", "node"], "left_anti"))
-        if depth % checkpoint_every == 0 or max_depth is None:
-            step = cut_lineage(step)
-        else:
-            step = step.persist()
-        if step.isEmpty():
+                .select("root", F.col("__dst").alias("node"))
+                .join(visited.select("root", "node"), ["root", "node"], "left_anti")
+                .distinct())
+        step = (cut_lineage(step) if depth % checkpoint_every == 0
+                else step.persist(StorageLevel.MEMORY_AND_DISK))
+        # count() fills the whole cache (isEmpty would compute one partition
+        # and leave the rest to be recomputed by every later round).
+        if step.count() == 0:
             break
-        layer = step.withColumn("depth", F.lit(depth))
-        visited = visited.unionByName(layer)
-        found = layer if found is None else found.unionByName(layer)
+        visited = visited.unionByName(step.withColumn("depth", F.lit(depth)))
         if depth % checkpoint_every == 0:
             visited = cut_lineage(visited)
-            found = cut_lineage(found)
         frontier = step
-    if found is None:
-        return roots.sparkSession.createDataFrame([], "root long, node long, depth int")
-    return found
+    return visited.filter(F.col("depth") > 0)
+
+
+def _is_star_forest(e: DataFrame) -> bool:
+    """True when every edge ``(u, v)`` (u < v) hangs off a centre that is
+    nobody's leaf and every leaf has one centre: then each component is a
+    star around its smallest node. One aggregation, one boolean back."""
+    marks = (e.select(F.col("v").alias("n"), F.lit(1).alias("as_leaf"), F.lit(0).alias("as_centre"))
+             .unionByName(e.select(F.col("u").alias("n"), F.lit(0).alias("as_leaf"),
+                                   F.lit(1).alias("as_centre"))))
+    bad = (marks.groupBy("n").agg(F.sum("as_leaf").alias("leaf"), F.max("as_centre").alias("centre"))
+           .filter((F.col("leaf") > 1) | ((F.col("leaf") >= 1) & (F.col("centre") == 1))))
+    return bad.isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
@@ -69,14 +80,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
 
     Alternating large-star / small-star (Kiveris et al., "Connected
     Components in MapReduce and Beyond", 2014): O(log^2 n) rounds, each a
-    groupBy-min and a join, no per-component collect. Only nodes that
-    appear in some edge are labelled.
+    groupBy-min and a join, no per-component collect. The loop stops as
+    soon as the edges form a forest of stars. Only nodes that appear in
+    some edge are labelled.
     """
     e = (edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
          .filter(F.col("u") != F.col("v"))
          .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    e = cut_lineage(e)
     rounds = 0
-    while True:
+    while not _is_star_forest(e):
         rounds += 1
         # Large star: every node links its larger neighbours to the
         # smallest node of its closed neighbourhood.
@@ -92,15 +105,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
                  .select(F.col("v").alias("a"), F.col("m").alias("b"))
                  .unionByName(smin.select(F.col("u").alias("a"), F.col("m").alias("b")))
                  .filter(F.col("a") != F.col("b"))
-                 .select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
-                 .select("u", "v").distinct())
-        small = cut_lineage(small) if rounds % checkpoint_every == 0 else small.persist()
-        changed = (small.exceptAll(e).limit(1).count() > 0
-                   or e.exceptAll(small).limit(1).count() > 0)
-        e = small
-        if not changed:
-            break
-    # At the fixpoint every edge is (component root u, member v).
+                 .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+                 .distinct())
+        if rounds % checkpoint_every == 0:
+            e = cut_lineage(small)
+        else:
+            e = small.persist(StorageLevel.MEMORY_AND_DISK)
+            e.count()
     members = e.select(F.col("v").alias("node"), F.col("u").alias("component"))
-    roots = e.select(F.col("u").alias("node"), F.col("u").alias("component"))
-    return members.unionByName(roots).distinct()
+    centres = e.select(F.col("u").alias("node"), F.col("u").alias("component"))
+    return members.unionByName(centres).distinct()

@@ -26,6 +26,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 TOKEN_PATTERN = r"[\p{L}]+"
 
 
@@ -49,7 +51,10 @@ class SimilarSets:
 
 
 def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
-                 text_col: str = "text") -> SimilarSets:
+                 text_col: str = "text", materialize: bool = True) -> SimilarSets:
+    """Members and qualifying pairs. With ``materialize`` (default) both
+    are checkpointed once, since every consumer reads them several times
+    (top-k, components, group means)."""
     num, den = _fraction(threshold)
     toks = corpus.select(F.col(id_col).alias("id"), letter_tokens(F.col(text_col)).alias("toks"))
     toks = toks.filter(F.size("toks") > 0)
@@ -91,4 +96,6 @@ def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
              .filter(F.col("inter") * den >= F.col("uni") * num)
              .select("rep_a", "rep_b",
                      F.round(F.col("inter") / F.col("uni"), 6).alias("score")))
+    if materialize:
+        members, pairs = cut_lineage(members), cut_lineage(pairs)
     return SimilarSets(members, pairs)
