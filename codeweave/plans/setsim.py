@@ -56,12 +56,23 @@ def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
     are checkpointed once, since every consumer reads them several times
     (top-k, components, group means)."""
     num, den = _fraction(threshold)
-    toks = corpus.select(F.col(id_col).alias("id"), letter_tokens(F.col(text_col)).alias("toks"))
-    toks = toks.filter(F.size("toks") > 0)
+    spark = corpus.sparkSession
+    base = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Tokenising is CPU-bound per row: when the input has fewer splits
+    # than the session has cores (a small file), spread it first. Large
+    # inputs already arrive in many splits and are left alone.
+    par = spark.sparkContext.defaultParallelism
+    if base.rdd.getNumPartitions() < par:
+        base = base.repartition(par)
+    toks = base.select("id", letter_tokens(F.col("text")).alias("toks")).filter(F.size("toks") > 0)
+    if materialize:
+        toks = cut_lineage(toks)        # read by the grouping and the member join
     # One representative per distinct token set (exact: grouped by the set).
     sets = toks.groupBy("toks").agg(F.min("id").alias("rep"))
     members = toks.join(sets, "toks").select("id", "rep", F.size("toks").alias("n_tokens"))
     reps = sets.select("rep", "toks", F.size("toks").alias("n"))
+    if materialize:
+        reps = cut_lineage(reps)        # read by postings and by verification
 
     # Global frequency of each token over the distinct sets.
     posting = reps.select("rep", "n", F.explode("toks").alias("tok"))
