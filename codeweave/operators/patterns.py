@@ -170,8 +170,8 @@ def coupling_totals(g: CodeGraph) -> DataFrame:
 def branch_points(body: Column) -> Column:
     """Decision points in a body: the words ``if`` and ``case`` (ASCII
     word tokens), ``&&``, ``||`` and single ``|`` (guards)."""
-    words = F.regexp_extract_all(body, F.lit("[A-Za-z0-9_]+"), 0)
-    kw = F.size(F.filter(words, lambda w: (w == "if") | (w == "case")))
+    # whole ASCII words only: no word character on either side
+    kw = F.regexp_count(body, F.lit("(?<![A-Za-z0-9_])(?:if|case)(?![A-Za-z0-9_])"))
     no_or = F.replace(body, F.lit("||"), F.lit(""))
     n_and = (F.length(body) - F.length(F.replace(body, F.lit("&&"), F.lit("")))) / 2
     n_or = (F.length(body) - F.length(no_or)) / 2
