@@ -52,15 +52,19 @@ def search_functions(g: CodeGraph, pattern: str, limit: int | None = 50) -> Data
 
 
 def most_called_functions(g: CodeGraph, limit: int | None = 20) -> DataFrame:
-    """Call sites counted per callee (name, module); rank by count."""
+    """Call sites counted per callee (name, module), ranked by count.
+
+    With a limit: top-k first (partial top-k per map task), then the k
+    rows are numbered. Without one the result is every callee in rank
+    order, without a ``rank`` column: numbering all rows would need a
+    single-partition window."""
     c = (g.function_called
          .groupBy("name", "module_name").agg(F.count(F.lit(1)).alias("calls")))
-    w = Window.orderBy(F.desc("calls"), F.asc_nulls_last("name"), F.asc_nulls_last("module_name"))
-    if limit is not None:
-        # Top-k first (map-side partial top-k), then number the k rows.
-        c = c.orderBy(F.desc("calls"), F.asc_nulls_last("name"),
-                      F.asc_nulls_last("module_name")).limit(limit)
-    return c.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    order = [F.desc("calls"), F.asc_nulls_last("name"), F.asc_nulls_last("module_name")]
+    if limit is None:
+        return c.orderBy(*order)
+    top = c.orderBy(*order).limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def function_callers(g: CodeGraph, keys: Keys, limit: int | None = 50) -> DataFrame:

@@ -49,17 +49,30 @@ def restrict(df: DataFrame, keys: DataFrame | None, on: dict[str, str] | Sequenc
     """Left-semi join ``df`` with the key table (a no-op for all entities).
 
     ``on`` maps key-table columns to ``df`` columns; a sequence means the
-    names are equal. A key column that is NULL matches anything (so a key
-    ``(name, None)`` means "that name in any module")."""
+    names are equal. The first key column must match; a second one that
+    is NULL in a key row means "any" (a key ``(name, None)`` is that name
+    in every module).
+
+    Keys with and without the optional column are applied as two plain
+    equi semi-joins over disjoint row sets, never as one join on the first
+    column with an OR residual: that would pair every row of a hot name
+    with every key of that name before filtering.
+    """
     if keys is None:
         return df
     mapping = dict(on) if isinstance(on, dict) else {c: c for c in on}
     items = [(kc, dc) for kc, dc in mapping.items() if kc in keys.columns]
-    k = keys.select(*[F.col(kc).alias(f"__k_{kc}") for kc, _ in items])
-    # The first key column is the equi-join key; further ones are optional.
-    (k0, d0), rest = items[0], items[1:]
-    cond = df[d0] == F.col(f"__k_{k0}")
-    for kc, dc in rest:
-        kcol = F.col(f"__k_{kc}")
-        cond = cond & (kcol.isNull() | (df[dc] == kcol))
-    return df.join(k, cond, "left_semi")
+    if len(items) > 2:
+        raise ValueError("at most one optional key column is supported")
+    (k0, d0) = items[0]
+    k_first = keys.select(F.col(k0).alias("__k0"))
+    if len(items) == 1:
+        return df.join(k_first, df[d0] == F.col("__k0"), "left_semi")
+    (k1, d1) = items[1]
+    any_second = keys.filter(F.col(k1).isNull()).select(F.col(k0).alias("__k0"))
+    exact = keys.filter(F.col(k1).isNotNull()).select(F.col(k0).alias("__k0"),
+                                                     F.col(k1).alias("__k1"))
+    loose = df.join(any_second, df[d0] == F.col("__k0"), "left_semi")
+    strict = (df.join(any_second, df[d0] == F.col("__k0"), "left_anti")
+              .join(exact, (df[d0] == F.col("__k0")) & (df[d1] == F.col("__k1")), "left_semi"))
+    return loose.unionByName(strict)
