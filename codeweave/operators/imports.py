@@ -123,3 +123,12 @@ def import_bucket_counts(g: CodeGraph, keys: Keys = None) -> DataFrame:
     """Bucket sizes per module (A8) in one pass."""
     return (import_details(g, keys).groupBy("module_id", "module", "bucket")
             .agg(F.count(F.lit(1)).alias("n_imports")))
+
+
+def import_graph_overview(g: CodeGraph, root: str | list[str] | None = None, depth: int = 3,
+                          include_external: bool = False, limit: int | None = 20) -> DataFrame:
+    """O29 entry point: rooted -> reachable modules with hop counts;
+    unrooted -> import popularity."""
+    if root:
+        return import_graph(g, root, depth, include_external)
+    return import_popularity(g, include_external, limit)

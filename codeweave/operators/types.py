@@ -293,3 +293,12 @@ def type_relationships(g: CodeGraph, type_name: str, source_module: str,
     else:
         dependents = nodes.limit(0).select("type_id", "type_name", "module_name")
     return TypeRelationships(nodes, edges, dependents)
+
+
+def type_graph(g: CodeGraph, root: str | None = None, module_pattern: str | None = None,
+               include_external: bool = False, max_depth: int = 3, top: int | None = 10):
+    """O22 entry point: rooted -> the subgraph's edges; unrooted -> a
+    ``(stats, top)`` pair of DataFrames over the whole graph."""
+    if root:
+        return type_graph_edges(g, root, module_pattern, include_external, max_depth)
+    return type_graph_stats(g), type_graph_top(g, module_pattern, top)

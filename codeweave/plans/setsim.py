@@ -20,6 +20,7 @@ at the threshold is never lost to float rounding.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -83,13 +84,31 @@ def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
     need = ((F.col("n") * num + (den - 1)) / den).cast("long")       # ceil(t * n), integer
     prefix = ranked.filter(F.col("pos") <= F.col("n") - need + 1).select("tok", "rep", "n", "pos")
 
+    # Length classes: geometric buckets of ratio 1/t (exact lengths when
+    # t = 1). A set of length n can only pair with lengths in
+    # [ceil(t*n), floor(n/t)], which spans at most three classes; the
+    # probe side is replicated into those, the build side sits in its own
+    # class, and the join key is (token, class). Sets of incompatible
+    # length never meet, even under a token that opens many prefixes.
+    # The class is monotone in n, so no admissible pair is missed.
+    if num == den:
+        def length_class(c):
+            return c
+    else:
+        log_ratio = math.log(den / num)
+
+        def length_class(c):
+            return F.floor(F.log(c.cast("double")) / F.lit(log_ratio)).cast("long")
+    lo = ((F.col("n") * num + (den - 1)) / den).cast("long")
+    hi = ((F.col("n") * den) / num).cast("long")
     a = prefix.select("tok", F.col("rep").alias("rep_a"), F.col("n").alias("na"),
-                      F.col("pos").alias("pa"))
+                      F.col("pos").alias("pa"),
+                      F.explode(F.sequence(length_class(lo), length_class(hi))).alias("cls"))
     b = prefix.select("tok", F.col("rep").alias("rep_b"), F.col("n").alias("nb"),
-                      F.col("pos").alias("pb"))
+                      F.col("pos").alias("pb"), length_class(F.col("n")).alias("cls"))
     # overlap needed: ceil(t/(1+t) * (na+nb)) = ceil(num*(na+nb) / (num+den))
     alpha = ((F.col("na") + F.col("nb")) * num + (num + den - 1)) / (num + den)
-    cand = (a.join(b, "tok")
+    cand = (a.join(b, ["tok", "cls"])
             .filter(F.col("rep_a") < F.col("rep_b"))
             .filter((F.col("nb") * den >= F.col("na") * num)
                     & (F.col("na") * den >= F.col("nb") * num))
