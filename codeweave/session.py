@@ -57,6 +57,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        # A machine-local folder would not survive the loss of an executor.
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store): "
+                           "iterative operators checkpoint their state there")
     path = tempfile.mkdtemp(prefix="codeweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path

@@ -203,3 +203,61 @@ def test_generate_imports_skips_imported_and_own(spark):
         **{"import": [{"id": 1, "module_id": 0, "module_name": "C"}]})
     got = rows(location.generate_imports(g, style="explicit"), "statement")
     assert got == [("import B (g)",)]
+
+
+def test_custom_sql_binds_parameters(spark):
+    g = make_graph(spark, module=mods("A.x", "B.y", "A.z"))
+    named = sqlapi.custom_sql(g, "SELECT name FROM cg_module WHERE name LIKE :p ORDER BY name",
+                              {"p": "A.%"}, limit=None)
+    assert [r["name"] for r in named.collect()] == ["A.x", "A.z"]
+    pos = sqlapi.custom_sql(g, "SELECT count(*) AS n FROM cg_module WHERE name <> ?", ["B.y"])
+    assert pos.collect()[0]["n"] == 2
+
+
+def test_basic_query_and_count(spark):
+    g = make_graph(spark, module=mods("M"), function=[
+        {"id": i, "name": f"f{i}", "module_id": i % 2} for i in range(5)])
+    rows_ = sqlapi.basic_query(g, "functions", "f*", module_id=0, limit=2).collect()
+    assert [r["id"] for r in rows_] == [0, 2]
+    assert sqlapi.basic_query_count(g, "functions", "f*", module_id=0).collect()[0]["total"] == 3
+    with pytest.raises(ValueError):
+        sqlapi.basic_query(g, "modules", module_id=1)
+
+
+def test_pattern_match_dispatch(spark):
+    g = make_graph(spark, module=mods("M"), function=[
+        {"id": 1, "name": "alpha", "module_name": "M", "function_signature": "(a -> b) -> c"},
+        {"id": 2, "name": "beta", "module_name": "M", "function_signature": "Int"}],
+        function_called=[{"function_id": 1, "name": "beta", "module_name": "M", "site": 1}],
+        where_function=[{"parent_function_id": 1, "name": "go"}, {"parent_function_id": 1, "name": "h"}],
+        function_body=[{"id": 2, "raw_string": "x = 1\n  case y of\n z"}])
+    calls_ = pat.pattern_match(g, "function_call", {"function": "alpha", "target": "be*"})
+    assert rows(calls_, "caller", "callee") == [("alpha", "beta")]
+    by = pat.pattern_match(g, "function_call", {"function": "beta", "mode": "called_by"})
+    assert rows(by, "caller") == [("alpha",)]
+    nested = pat.pattern_match(g, "code_structure", {"structure": "nested_function"})
+    assert rows(nested, "nested", "n_nested") == [("go", 2), ("h", 2)]
+    ho = pat.pattern_match(g, "code_structure", {"structure": "higher_order"})
+    assert rows(ho, "id") == [(1,)]
+    co = pat.pattern_match(g, "code_structure", {"structure": "pattern_match"})
+    assert rows(co, "id") == [(2,)]
+    with pytest.raises(ValueError):
+        pat.pattern_match(g, "nope", {})
+
+
+def test_nested_types_gateway_and_exclusion(spark):
+    g = make_graph(spark, module=mods("Gate.A", "Other"), type=[
+        {"id": 1, "type_name": "Root", "module_id": 0, "raw_code": "data Root = R\n  | S"},
+        {"id": 2, "type_name": "Child", "module_id": 0, "raw_code": "data Child"},
+        {"id": 3, "type_name": "Far", "module_id": 1, "raw_code": "data Far"},
+        {"id": 4, "type_name": "SkipMe", "module_id": 0, "raw_code": "data SkipMe"},
+        {"id": 5, "type_name": "Deep", "module_id": 0, "raw_code": "data Deep"}],
+        type_dependency=[{"dependent_id": 1, "dependency_id": 2}, {"dependent_id": 2, "dependency_id": 3},
+                         {"dependent_id": 3, "dependency_id": 5}, {"dependent_id": 1, "dependency_id": 4}])
+    out = types.nested_types(g, ["Root"], "Gate", exclude_pattern="Skip*", include_raw=False)
+    assert rows(out, "id", "definition") == [(1, "data Root = R"), (2, "data Child"), (5, "data Deep")]
+
+
+def test_checkpoint_dir_is_read_from_session(spark):
+    from codeweave.session import ensure_checkpoint_dir
+    assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
