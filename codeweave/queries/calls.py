@@ -34,7 +34,7 @@ def call_neighbours(g, spark, sf_dir):
 {_E},
 t(root, depth, path, parent_id, function_id) AS (
   SELECT f.id, 0, [f.id], CAST(NULL AS BIGINT), f.id FROM cg_function f
-  WHERE f.name = 'red plate' AND {_KEEP.format(m='f.module_name')}
+  WHERE {_KEEP.format(m='f.module_name')}
   UNION ALL
   SELECT t.root, t.depth + 1, list_append(t.path, e.dst), t.function_id, e.dst
   FROM t JOIN e ON e.src = t.function_id JOIN cg_function f ON f.id = e.dst
@@ -44,8 +44,8 @@ SELECT t.root AS root_id, CAST(t.depth AS BIGINT) AS depth, array_to_string(t.pa
 FROM t JOIN cg_function f ON f.id = t.function_id
 """, recursive=True)
 def call_tree(g, spark, sf_dir):
-    """O15 tree: roots named 'red plate', depth 3, module filter; path as text."""
-    return op.call_tree(g, ["red plate"], 3, _MODS).withColumn(
+    """O15 tree: every function as a root, depth 3, module filter; path as text."""
+    return op.call_tree(g, None, 3, _MODS).withColumn(
         "path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
@@ -54,7 +54,7 @@ _FLAT = f"""
 e AS (SELECT DISTINCT caller_id AS src, callee_id AS dst FROM cg_function_dependency
       WHERE callee_id IN (SELECT id FROM ok)),
 w(root, node, depth) AS (SELECT id, id, 0 FROM cg_function
-    WHERE name = 'red plate' AND id IN (SELECT id FROM ok)
+    WHERE id IN (SELECT id FROM ok)
   UNION SELECT w.root, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3),
 flat AS (SELECT w.root AS root_id, w.node AS function_id, f.name AS function, f.module_name,
     CAST(min(w.depth) AS BIGINT) AS depth
@@ -64,8 +64,8 @@ flat AS (SELECT w.root AS root_id, w.node AS function_id, f.name AS function, f.
 
 @register("call_graph_flat", _FLAT + "SELECT * FROM flat", recursive=True)
 def call_graph_flat(g, spark, sf_dir):
-    """O15 flat: each node once per root with its shortest depth."""
-    return op.call_graph_flat(g, ["red plate"], 3, _MODS)
+    """O15 flat: every function as a root; each node once with its shortest depth."""
+    return op.call_graph_flat(g, None, 3, _MODS)
 
 
 @register("call_graph_edges", _FLAT + """
@@ -74,5 +74,5 @@ FROM flat JOIN cg_function_dependency d ON d.caller_id = flat.function_id
 WHERE flat.depth < 3
 """, recursive=True)
 def call_graph_edges(g, spark, sf_dir):
-    """O15 graph: edges out of kept nodes above the depth bound."""
-    return op.call_graph_edges(g, ["red plate"], 3, _MODS)
+    """O15 graph, every root: edges out of kept nodes above the depth bound."""
+    return op.call_graph_edges(g, None, 3, _MODS)
