@@ -25,10 +25,10 @@ def key_frame(spark: SparkSession, keys: Keys, cols: Sequence[str]) -> DataFrame
     if keys is None:
         return None
     if isinstance(keys, DataFrame):
-        missing = [c for c in cols if c not in keys.columns]
-        if missing:
-            raise ValueError(f"key table lacks columns {missing}; has {keys.columns}")
-        return keys.select(*cols).dropDuplicates()
+        # The first key column is required, the others are optional.
+        if cols[0] not in keys.columns:
+            raise ValueError(f"key table lacks column {cols[0]!r}; has {keys.columns}")
+        return keys.select(*[c for c in cols if c in keys.columns]).dropDuplicates()
     if isinstance(keys, str):
         keys = [keys]
     rows = [k if isinstance(k, (tuple, list)) else (k,) for k in keys]
