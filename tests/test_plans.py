@@ -4,7 +4,6 @@ import itertools
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from codeweave.plans.graph import bfs, connected_components
 from codeweave.plans.interval import point_in_span, window_overlaps
