@@ -155,3 +155,19 @@ def test_registered_plans_avoid_nested_loops_and_python(spark):
         if hits:
             bad[name] = hits
     assert bad == {}
+
+
+def test_pattern_pushdown_and_column_pruning(spark, scratch):
+    from codeweave.operators import functions
+    from codeweave.sources.ingest import write_graph
+    from helpers import make_graph, modules as mods
+    g0 = make_graph(spark, module=mods("M"), function=[
+        {"id": 1, "name": "hotkey", "module_id": 0, "function_signature": "A -> B"}],
+        function_called=[{"function_id": 1, "name": "x"}])
+    g = write_graph(g0, f"{scratch}/graph")
+    plan = functions.search_functions(g, "hot*")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(name,hot)" in plan
+    cplan = functions.function_complexity(g)._jdf.queryExecution().executedPlan().toString()
+    # the function scan reads only the four columns the score needs
+    assert "ReadSchema: struct<id:bigint,name:string,module_name:string,function_signature:string>" in cplan
+    assert "src_file" not in cplan and "raw_string" not in cplan
