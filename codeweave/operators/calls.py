@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +86,8 @@ def call_tree(g: CodeGraph, keys: Keys = None, max_depth: int = 3,
     The tree is exponential in depth on dense graphs by nature; it is
     built level by level (one join per level) and each level is
     checkpointed, so a level never holds more than the tree rows."""
-    info = _fn_info(g, "n_")
+    # Both are re-read at every level: persist them once.
+    info = _fn_info(g, "n_").persist(StorageLevel.MEMORY_AND_DISK)
     keep = module_filter(F.col("n_module"), filter_modules)
     level = (_roots(g, keys, first_only).join(info, F.col("node") == F.col("n_id"))
              .filter(keep)
@@ -93,7 +95,7 @@ def call_tree(g: CodeGraph, keys: Keys = None, max_depth: int = 3,
                      F.lit(None).cast("bigint").alias("parent_id"),
                      F.col("node").alias("function_id")))
     levels = [level]
-    e = call_edges(g)
+    e = call_edges(g).persist(StorageLevel.MEMORY_AND_DISK)
     for d in range(1, max_depth + 1):
         nxt = (level.select("root", "path", F.col("function_id").alias("src"))
                .join(e, "src")

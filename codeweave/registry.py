@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from .sources.fixture import fixture_graph, oracle_prefix
@@ -21,9 +22,17 @@ _GRAPHS: dict[tuple[int, str], CodeGraph] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """The fixture graph for ``sf_dir``, built once per session. Its
+    tables are persisted (lazily: the first query that reads a table fills
+    the cache), so queries do not re-derive the projection from the base
+    tables every time, and iterative operators do not re-derive it every
+    round."""
     key = (id(spark), sf_dir)
     if key not in _GRAPHS:
-        _GRAPHS[key] = fixture_graph(spark, sf_dir)
+        g = fixture_graph(spark, sf_dir)
+        for attr, df in g.tables().items():
+            setattr(g, attr, df.persist(StorageLevel.MEMORY_AND_DISK))
+        _GRAPHS[key] = g
     return _GRAPHS[key]
 
 
