@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import constants as C
 from .operators import (calls, classes, functions, imports, location, modules, patterns,
                         similarity, sqlapi, types)
 from .sources.tables import CodeGraph
@@ -36,16 +37,17 @@ class CodeAnalytics:
         return self._corpus
 
     # -- modules ---------------------------------------------------------
-    def list_modules(self, limit=100):
+    def list_modules(self, limit=C.LIMIT_MODULES):
         return modules.list_modules(self.g, limit)
 
     def get_module_details(self, module_name):
         return modules.module_details(self.g, [module_name])
 
-    def get_functions_by_module(self, module_name, limit=100, include_signatures=True):
+    def get_functions_by_module(self, module_name, limit=C.LIMIT_LISTING,
+                                include_signatures=True):
         return modules.functions_by_module(self.g, [module_name], limit, include_signatures)
 
-    def search_modules(self, pattern, limit=50):
+    def search_modules(self, pattern, limit=C.LIMIT_SEARCH):
         return modules.search_modules(self.g, pattern, limit)
 
     def get_module_dependencies(self, module_name, include_imports=True, include_dependents=False):
@@ -59,10 +61,10 @@ class CodeAnalytics:
     def get_function_details(self, function_name, module_name=None):
         return functions.function_details(self.g, _fn_key(function_name, module_name))
 
-    def search_functions(self, pattern, limit=50):
+    def search_functions(self, pattern, limit=C.LIMIT_SEARCH):
         return functions.search_functions(self.g, pattern, limit)
 
-    def get_most_called_functions(self, limit=20):
+    def get_most_called_functions(self, limit=C.LIMIT_MOST_CALLED):
         return functions.most_called_functions(self.g, limit)
 
     def get_function_call_graph(self, function_name, module_name=None, depth=2,
@@ -70,16 +72,18 @@ class CodeAnalytics:
         return calls.call_neighbours(self.g, _fn_key(function_name, module_name), depth,
                                      include_callers, include_callees)
 
-    def get_function_callers(self, function_name, limit=50):
+    def get_function_callers(self, function_name, limit=C.LIMIT_CALLERS):
         return functions.function_callers(self.g, [function_name], limit)
 
-    def get_function_callees(self, function_name, module_name=None, limit=50):
+    def get_function_callees(self, function_name, module_name=None, limit=C.LIMIT_CALLERS):
         return functions.function_callees(self.g, _fn_key(function_name, module_name), limit)
 
-    def find_cross_module_calls(self, source_module=None, target_module=None, limit=100):
+    def find_cross_module_calls(self, source_module=None, target_module=None,
+                                limit=C.LIMIT_CROSS_MODULE_CALLS):
         return functions.cross_module_calls(self.g, source_module, target_module, limit)
 
-    def analyze_function_complexity(self, module_name=None, min_complexity=5, limit=50):
+    def analyze_function_complexity(self, module_name=None, min_complexity=C.MIN_COMPLEXITY,
+                                    limit=C.LIMIT_COMPLEXITY):
         return functions.function_complexity(self.g, module_name, min_complexity, limit)
 
     def enhanced_function_call_graph(self, function_name, module_name=None, max_depth=3,
@@ -94,7 +98,8 @@ class CodeAnalytics:
                 location.function_context_items(self.g, key))
 
     # -- types -----------------------------------------------------------
-    def list_types(self, module_name=None, pattern=None, type_category=None, limit=100):
+    def list_types(self, module_name=None, pattern=None, type_category=None,
+                   limit=C.LIMIT_LISTING):
         return types.list_types(self.g, module_name, pattern, type_category, limit)
 
     def get_type_details(self, type_name, module_name=None, include_constructors=True,
@@ -102,7 +107,8 @@ class CodeAnalytics:
         key = [(type_name, module_name)] if module_name else [type_name]
         return types.type_details(self.g, key, include_constructors, include_fields)
 
-    def search_types(self, pattern, module_pattern=None, type_category=None, limit=50):
+    def search_types(self, pattern, module_pattern=None, type_category=None,
+                     limit=C.LIMIT_SEARCH):
         return types.search_types(self.g, pattern, module_pattern, type_category, limit)
 
     def get_type_dependencies(self, type_name, module_name=None, include_dependents=False,
@@ -113,7 +119,7 @@ class CodeAnalytics:
     def analyze_type_usage(self, type_name=None, module_name=None, usage_threshold=1, limit=50):
         if type_name:
             return types.type_usage(self.g, [type_name], module_name, usage_threshold)
-        return types.types_by_category(self.g, module_name, per_category=10)
+        return types.types_by_category(self.g, module_name, C.SAMPLE_TYPES_PER_CATEGORY)
 
     def build_type_dependency_graph(self, root_type=None, module_pattern=None,
                                     include_external=False, max_depth=3):
@@ -130,27 +136,27 @@ class CodeAnalytics:
                                         include_dependents, module_filter)
 
     # -- classes ---------------------------------------------------------
-    def list_classes(self, module_name=None, pattern=None, limit=100):
+    def list_classes(self, module_name=None, pattern=None, limit=C.LIMIT_LISTING):
         return classes.list_classes(self.g, module_name, pattern, limit)
 
     def get_class_details(self, class_name, module_name=None, include_instances=True):
         key = [(class_name, module_name)] if module_name else [class_name]
         return classes.class_details(self.g, key, include_instances)
 
-    def search_classes(self, pattern, module_pattern=None, limit=50):
+    def search_classes(self, pattern, module_pattern=None, limit=C.LIMIT_SEARCH):
         return classes.search_classes(self.g, pattern, module_pattern, limit)
 
     # -- imports ---------------------------------------------------------
     def analyze_imports(self, module_name=None, import_pattern=None, include_qualified=True,
-                        limit=100):
+                        limit=C.LIMIT_LISTING):
         return imports.analyze_imports(self.g, module_name, import_pattern, include_qualified,
                                        limit)
 
     def get_import_graph(self, root_module=None, depth=3, include_external=False, limit=50):
         return imports.import_graph_overview(self.g, root_module, depth, include_external,
-                                             None if root_module else 20)
+                                             None if root_module else C.LIMIT_POPULAR_IMPORTS)
 
-    def find_unused_imports(self, module_name=None, package_pattern=None, limit=100):
+    def find_unused_imports(self, module_name=None, package_pattern=None, limit=C.LIMIT_LISTING):
         return imports.suspicious_imports(self.g, module_name, package_pattern, limit)
 
     def get_import_details(self, module_name, include_source_info=True):
@@ -167,7 +173,7 @@ class CodeAnalytics:
 
     # -- similarity and patterns -------------------------------------------
     def find_similar_functions(self, function_name=None, module_name=None,
-                               similarity_threshold=0.7, limit=10):
+                               similarity_threshold=C.SIMILARITY_THRESHOLD, limit=C.LIMIT_SIMILAR):
         keys = None
         if function_name:
             f = self.g.function.filter(F.col("name") == function_name)
@@ -176,12 +182,14 @@ class CodeAnalytics:
             keys = f.select("id")
         return similarity.similar_functions(self.corpus, keys, similarity_threshold, limit)
 
-    def find_code_patterns(self, pattern_code, min_matches=3, module_pattern=None, limit=20):
+    def find_code_patterns(self, pattern_code, min_matches=C.MIN_PATTERN_MATCHES,
+                           module_pattern=None, limit=C.LIMIT_CODE_PATTERNS):
         return similarity.code_patterns(self.corpus, pattern_code, min_matches, module_pattern,
                                         limit)
 
-    def group_similar_functions(self, similarity_threshold=0.7, module_pattern=None,
-                                min_group_size=2, limit=10):
+    def group_similar_functions(self, similarity_threshold=C.SIMILARITY_THRESHOLD,
+                                module_pattern=None, min_group_size=C.MIN_GROUP_SIZE,
+                                limit=C.LIMIT_GROUPS):
         return similarity.similarity_groups(self.corpus, similarity_threshold, module_pattern,
                                             min_group_size, limit)
 
@@ -189,7 +197,9 @@ class CodeAnalytics:
         return patterns.pattern_match(self.g, pattern_type, pattern_config, limit)
 
     def analyze_cross_module_dependencies(self, analysis_type="dependencies", module_pattern=None,
-                                          include_metrics=True, threshold=1, limit=50):
+                                          include_metrics=True,
+                                          threshold=C.DEPENDENCY_THRESHOLD,
+                                          limit=C.LIMIT_CROSS_DEPENDENCIES):
         if analysis_type == "dependencies":
             return patterns.cross_module_dependencies(self.g, module_pattern, threshold, limit)
         if analysis_type == "coupling":
@@ -212,12 +222,12 @@ class CodeAnalytics:
         return ctx
 
     # -- queries ---------------------------------------------------------
-    def execute_query(self, query_type, name_pattern=None, module_id=None, limit=100):
+    def execute_query(self, query_type, name_pattern=None, module_id=None, limit=C.LIMIT_LISTING):
         return (sqlapi.basic_query(self.g, query_type, name_pattern, module_id, limit),
                 sqlapi.basic_query_count(self.g, query_type, name_pattern, module_id))
 
     def execute_advanced_query(self, query: dict):
         return sqlapi.entity_query(self.g, query)
 
-    def execute_custom_query(self, sql, parameters=None, limit=100):
+    def execute_custom_query(self, sql, parameters=None, limit=C.LIMIT_LISTING):
         return sqlapi.custom_sql(self.g, sql, parameters, limit)

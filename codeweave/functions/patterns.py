@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import constants as C
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -74,7 +76,8 @@ def has_text(c: str | Column) -> Column:
 def preview(c: str | Column, n: int) -> Column:
     """First ``n`` characters, plus ``...`` only when cut."""
     col = _col(c)
-    return F.when(F.length(col) > n, F.concat(F.substring(col, 1, n), F.lit("..."))).otherwise(col)
+    cut = F.concat(F.substring(col, 1, n), F.lit(C.PREVIEW_ELLIPSIS))
+    return F.when(F.length(col) > n, cut).otherwise(col)
 
 
 def first_lines(c: str | Column, n: int) -> Column:

@@ -9,6 +9,7 @@ from ..functions.patterns import like, preview
 from ..plans.keys import Keys, key_frame, restrict
 from ..plans.substring import contains_pairs
 from ..sources.tables import CodeGraph
+from ..functions import constants as C
 from .functions import _per_group_limit, _top
 
 
@@ -18,7 +19,7 @@ def _classes(g: CodeGraph) -> DataFrame:
 
 
 def list_classes(g: CodeGraph, module: str | None = None, pattern: str | None = None,
-                 limit: int | None = 100) -> DataFrame:
+                 limit: int | None = C.LIMIT_LISTING) -> DataFrame:
     """Exact module name AND class-name pattern."""
     c = _classes(g)
     if module:
@@ -30,7 +31,7 @@ def list_classes(g: CodeGraph, module: str | None = None, pattern: str | None =
 
 
 def search_classes(g: CodeGraph, pattern: str, module_pattern: str | None = None,
-                   limit: int | None = 50) -> DataFrame:
+                   limit: int | None = C.LIMIT_SEARCH) -> DataFrame:
     """Class-name pattern and optional module-name pattern."""
     c = _classes(g).filter(like("class_name", pattern))
     if module_pattern:
@@ -53,20 +54,20 @@ def class_instances(g: CodeGraph, keys: Keys = None) -> DataFrame:
 
 
 def class_details(g: CodeGraph, keys: Keys = None, include_instances: bool = True,
-                  max_instances: int | None = 10) -> DataFrame:
+                  max_instances: int | None = C.SAMPLE_INSTANCES_PER_CLASS) -> DataFrame:
     """The class with its definition preview (300) and up to
     ``max_instances`` instances (by id) with previews (100). One row per
     (class, instance); a class without instances keeps one row."""
     kf = key_frame(g.spark, keys, ["class_name", "module_name"])
     c = restrict(_classes(g), kf, ["class_name", "module_name"]).select(
         F.col("id").alias("class_id"), "class_name", "module_name",
-        preview("class_definition", 300).alias("definition"))
+        preview("class_definition", C.CLASS_DEFINITION_PREVIEW).alias("definition"))
     if not include_instances:
         return c
     inst = _per_group_limit(class_instances(g, kf), ["class_name"], max_instances, "instance_id")
     m = g.module.select(F.col("id").alias("instance_module_id"),
                         F.col("name").alias("instance_module"))
     inst = inst.join(m, "instance_module_id", "left").select(
-        "class_name", "instance_id", preview("instance_definition", 100).alias("instance"),
+        "class_name", "instance_id", preview("instance_definition", C.INSTANCE_PREVIEW).alias("instance"),
         "instance_module", "instance_signature")
     return c.join(inst, "class_name", "left")

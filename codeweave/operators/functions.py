@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import count_substring, has_text, like, or_default, preview
 from ..plans.keys import Keys, key_frame, restrict
 from ..sources.tables import CodeGraph
+from ..functions import constants as C
 
 
 def _top(df: DataFrame, limit: int | None, *order) -> DataFrame:
@@ -37,21 +38,21 @@ def function_details(g: CodeGraph, keys: Keys = None) -> DataFrame:
     kf = key_frame(g.spark, keys, ["name", "module_name"])
     f = restrict(g.function, kf, ["name", "module_name"])
     return f.select(
-        "id", "name", or_default("module_name", "Unknown").alias("module_name"),
-        or_default("function_signature", "No signature").alias("signature"),
+        "id", "name", or_default("module_name", C.UNKNOWN).alias("module_name"),
+        or_default("function_signature", C.NO_SIGNATURE).alias("signature"),
         "src_file", "line_start", "line_end",
-        or_default("type_enum", "Unknown").alias("type_enum"))
+        or_default("type_enum", C.UNKNOWN).alias("type_enum"))
 
 
-def search_functions(g: CodeGraph, pattern: str, limit: int | None = 50) -> DataFrame:
+def search_functions(g: CodeGraph, pattern: str, limit: int | None = C.LIMIT_SEARCH) -> DataFrame:
     """Functions whose name matches the pattern."""
     f = g.function.filter(like("name", pattern))
-    out = f.select("id", "name", or_default("module_name", "Unknown").alias("module_name"),
-                   or_default("function_signature", "No signature").alias("signature"))
+    out = f.select("id", "name", or_default("module_name", C.UNKNOWN).alias("module_name"),
+                   or_default("function_signature", C.NO_SIGNATURE).alias("signature"))
     return _top(out, limit, "name", "id")
 
 
-def most_called_functions(g: CodeGraph, limit: int | None = 20) -> DataFrame:
+def most_called_functions(g: CodeGraph, limit: int | None = C.LIMIT_MOST_CALLED) -> DataFrame:
     """Call sites counted per callee (name, module), ranked by count.
 
     With a limit: top-k first (partial top-k per map task), then the k
@@ -67,7 +68,7 @@ def most_called_functions(g: CodeGraph, limit: int | None = 20) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-def function_callers(g: CodeGraph, keys: Keys, limit: int | None = 50) -> DataFrame:
+def function_callers(g: CodeGraph, keys: Keys, limit: int | None = C.LIMIT_CALLERS) -> DataFrame:
     """Call sites whose callee name is the key name (J8), joined to
     the calling function (J1). One row per site; ``limit`` per key."""
     kf = key_frame(g.spark, keys, ["name"])
@@ -83,7 +84,7 @@ def function_callers(g: CodeGraph, keys: Keys, limit: int | None = 50) -> DataFr
     return _per_group_limit(out, ["callee"], limit, "caller_id", "site", "callee_module")
 
 
-def function_callees(g: CodeGraph, keys: Keys, limit: int | None = 50) -> DataFrame:
+def function_callees(g: CodeGraph, keys: Keys, limit: int | None = C.LIMIT_CALLERS) -> DataFrame:
     """Call sites inside the key functions (by caller id)."""
     kf = key_frame(g.spark, keys, ["name", "module_name"])
     f = restrict(g.function, kf, ["name", "module_name"]).select(
@@ -96,7 +97,8 @@ def function_callees(g: CodeGraph, keys: Keys, limit: int | None = 50) -> DataFr
 
 
 def cross_module_calls(g: CodeGraph, source_module: str | None = None,
-                       target_module: str | None = None, limit: int | None = 100) -> DataFrame:
+                       target_module: str | None = None,
+                       limit: int | None = C.LIMIT_CROSS_MODULE_CALLS) -> DataFrame:
     """Call sites whose caller module differs from the callee module
     (J1 + J2 + J7). A NULL callee module never qualifies."""
     sites = g.function_called
@@ -118,8 +120,9 @@ def cross_module_calls(g: CodeGraph, source_module: str | None = None,
                 "target_module")
 
 
-def function_complexity(g: CodeGraph, module: str | None = None, min_complexity: int = 5,
-                        limit: int | None = 50) -> DataFrame:
+def function_complexity(g: CodeGraph, module: str | None = None,
+                        min_complexity: int = C.MIN_COMPLEXITY,
+                        limit: int | None = C.LIMIT_COMPLEXITY) -> DataFrame:
     """Heuristic complexity score per function.
 
     score = len(sig) // 20 + 2 * count('->') (0 without a signature)
@@ -139,7 +142,8 @@ def function_complexity(g: CodeGraph, module: str | None = None, min_complexity:
         F.count(F.lit(1)).alias("where_count"))
     sig = F.col("function_signature")
     sig_score = F.when(has_text(sig),
-                       F.floor(F.length(sig) / 20) + 2 * count_substring(sig, "->")
+                       F.floor(F.length(sig) / C.SIGNATURE_CHARS_PER_POINT)
+                       + C.ARROW_WEIGHT * count_substring(sig, C.ARROW_TOKEN)
                        ).otherwise(F.lit(0)).cast("bigint")
     scored = (f.select("id", "name", "module_name", "function_signature")
               .join(calls, "id", "left").join(wheres, "id", "left")
@@ -147,9 +151,9 @@ def function_complexity(g: CodeGraph, module: str | None = None, min_complexity:
                       sig_score.alias("signature_score"),
                       F.coalesce("call_count", F.lit(0)).cast("bigint").alias("call_count"),
                       F.coalesce("where_count", F.lit(0)).cast("bigint").alias("where_count"),
-                      preview("function_signature", 100).alias("signature"))
+                      preview("function_signature", C.SIGNATURE_PREVIEW).alias("signature"))
               .withColumn("complexity", F.col("signature_score")
-                          + F.floor(F.col("call_count") / 3).cast("bigint")
-                          + 2 * F.col("where_count"))
+                          + F.floor(F.col("call_count") / C.CALLS_PER_POINT).cast("bigint")
+                          + C.LOCAL_DEFINITION_WEIGHT * F.col("where_count"))
               .filter(F.col("complexity") >= min_complexity))
     return _top(scored, limit, F.desc("complexity"), "id")

@@ -10,6 +10,7 @@ from ..functions.patterns import has_text, like
 from ..plans.graph import bfs
 from ..plans.keys import Keys, key_frame, restrict
 from ..sources.tables import CodeGraph
+from ..functions import constants as C
 from .functions import _top
 
 IMPORT_COLS = ["import_id", "module_name", "package_name", "qualified_style", "as_module_name",
@@ -28,7 +29,8 @@ def is_external(c: str = "package_name"):
 
 
 def analyze_imports(g: CodeGraph, module: str | None = None, import_pattern: str | None = None,
-                    include_qualified: bool = True, limit: int | None = 100) -> DataFrame:
+                    include_qualified: bool = True,
+                    limit: int | None = C.LIMIT_LISTING) -> DataFrame:
     """Every import of the first ``limit`` importing modules (by name),
     with the module's import count. Flat rows: a module with millions of
     imports is many rows, never one array."""
@@ -65,7 +67,7 @@ def import_graph(g: CodeGraph, root: str | list[str], depth: int = 3,
 
 
 def import_popularity(g: CodeGraph, include_external: bool = False,
-                      limit: int | None = 20) -> DataFrame:
+                      limit: int | None = C.LIMIT_POPULAR_IMPORTS) -> DataFrame:
     """O29 unrooted: most imported module names over all imports."""
     i = g.imports if include_external else g.imports.filter(~is_external())
     c = i.groupBy("module_name").agg(F.count(F.lit(1)).alias("import_count"))
@@ -73,7 +75,8 @@ def import_popularity(g: CodeGraph, include_external: bool = False,
 
 
 def suspicious_imports(g: CodeGraph, module: str | None = None,
-                       package_pattern: str | None = None, limit: int | None = 100,
+                       package_pattern: str | None = None,
+                       limit: int | None = C.LIMIT_LISTING,
                        check_usage: bool = False) -> DataFrame:
     """Imports flagged by the review heuristics (not a usage analysis):
     qualified and aliased; hiding with a hiding list; external package
@@ -90,7 +93,7 @@ def suspicious_imports(g: CodeGraph, module: str | None = None,
                F.lit("qualified_and_aliased")),
         F.when(F.coalesce("is_hiding", F.lit(False)) & has_text("hiding_specs"),
                F.lit("hiding_with_specs")),
-        F.when(has_text("package_name") & ~F.lower("package_name").contains("test"),
+        F.when(has_text("package_name") & ~F.lower("package_name").contains(C.TEST_PACKAGE_MARKER),
                F.lit("external_package"))), lambda x: x.isNotNull())
     out = (i.withColumn("reasons", reasons).filter(F.size("reasons") > 0)
            .select("module_id", "module", *IMPORT_COLS, "reasons"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.interval import point_in_span, window_overlaps
+from ..functions import constants as C
 from ..plans.keys import Keys, key_frame, restrict
 from ..sources.tables import CodeGraph
 from .types import type_usage_sites
@@ -77,7 +78,8 @@ def location_context(g: CodeGraph, probes: DataFrame, context_radius: int = 5,
                         & (F.col("line_end") >= F.col("line"))).alias("encloses"))
 
 
-def location_dependencies(g: CodeGraph, probes: DataFrame, limit: int = 5,
+def location_dependencies(g: CodeGraph, probes: DataFrame,
+                          limit: int = C.LOCATION_DEPENDENCIES,
                           base_directory: str = "") -> DataFrame:
     """O38 dependencies: the first ``limit`` callees (by name, site) of the
     innermost function enclosing each probe."""

@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 from ..functions.patterns import has_text, like
 from ..plans.keys import Keys, key_frame, restrict
 from ..sources.tables import CodeGraph
+from ..functions import constants as C
 from .functions import _per_group_limit, _top
 
 
-def list_modules(g: CodeGraph, limit: int | None = 100) -> DataFrame:
+def list_modules(g: CodeGraph, limit: int | None = C.LIMIT_MODULES) -> DataFrame:
     """Modules in name order."""
     return _top(g.module.select("id", "name", "path"), limit, "name", "id")
 
 
-def search_modules(g: CodeGraph, pattern: str, limit: int | None = 50) -> DataFrame:
+def search_modules(g: CodeGraph, pattern: str, limit: int | None = C.LIMIT_SEARCH) -> DataFrame:
     """Modules whose name matches the pattern."""
     return _top(g.module.filter(like("name", pattern)).select("id", "name", "path"),
                 limit, "name", "id")
@@ -27,7 +28,8 @@ def _count_by(df: DataFrame, key: str, alias: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias(alias))
 
 
-def module_details(g: CodeGraph, keys: Keys = None, sample: int = 10) -> DataFrame:
+def module_details(g: CodeGraph, keys: Keys = None,
+                   sample: int = C.SAMPLE_FUNCTIONS_PER_MODULE) -> DataFrame:
     """Per module its path, function / import / type / class counts
     and the first ``sample`` function names (by name, id).
 
@@ -56,7 +58,7 @@ def module_details(g: CodeGraph, keys: Keys = None, sample: int = 10) -> DataFra
                     .alias("sample_functions")))
 
 
-def functions_by_module(g: CodeGraph, keys: Keys = None, limit: int | None = 100,
+def functions_by_module(g: CodeGraph, keys: Keys = None, limit: int | None = C.LIMIT_LISTING,
                         include_signatures: bool = True) -> DataFrame:
     """The functions of each key module, first ``limit`` by name."""
     kf = key_frame(g.spark, keys, ["name"])

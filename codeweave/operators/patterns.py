@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import contains_literal, like
+from ..functions import constants as C
 from ..sources.tables import CodeGraph
 from .functions import _top
 
@@ -119,7 +120,8 @@ def _has(c: str, pattern: str) -> Column:
 
 
 def cross_module_dependencies(g: CodeGraph, module_pattern: str | None = None,
-                              threshold: int = 1, limit: int | None = 50) -> DataFrame:
+                              threshold: int = C.DEPENDENCY_THRESHOLD,
+                              limit: int | None = C.LIMIT_CROSS_DEPENDENCIES) -> DataFrame:
     """O36 dependencies (A9): call count per (caller module, callee
     module). The module filter applies to either side and is pushed below
     the aggregation; the count threshold is applied after it."""

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
+from ..functions import constants as C
 from ..plans.keys import MAX_LITERAL_KEYS
 from ..plans.setsim import SimilarSets, similar_sets
 from ..sources.tables import CodeGraph
@@ -34,7 +35,7 @@ def _rank_limit(df: DataFrame, part: str, limit: int, *order) -> DataFrame:
 
 
 def similar_functions(corpus: DataFrame, keys: DataFrame | list | None = None,
-                      threshold: float = 0.7, limit: int = 10,
+                      threshold: float = C.SIMILARITY_THRESHOLD, limit: int = C.LIMIT_SIMILAR,
                       sets: SimilarSets | None = None) -> DataFrame:
     """Top ``limit`` other ids per id, by (score desc, other id asc).
 
@@ -70,9 +71,11 @@ def similar_functions(corpus: DataFrame, keys: DataFrame | list | None = None,
         "rank", F.col("rank").cast("bigint"))
 
 
-def similarity_groups(corpus: DataFrame, threshold: float = 0.7,
-                      module_pattern: str | None = None, min_group_size: int = 2,
-                      limit: int | None = 10, sets: SimilarSets | None = None) -> DataFrame:
+def similarity_groups(corpus: DataFrame, threshold: float = C.SIMILARITY_THRESHOLD,
+                      module_pattern: str | None = None,
+                      min_group_size: int = C.MIN_GROUP_SIZE,
+                      limit: int | None = C.LIMIT_GROUPS,
+                      sets: SimilarSets | None = None) -> DataFrame:
     """Groups = connected components of the similarity graph (copies of
     one text are always together). Rows ``(group_id, member_id, module,
     group_size, similarity)``; ``group_id`` is the smallest member id,
@@ -117,8 +120,9 @@ def _matching_lines(corpus: DataFrame, pattern_code: str) -> DataFrame:
                                     .alias("line_no"), "line")
 
 
-def code_patterns(corpus: DataFrame, pattern_code: str, min_matches: int = 3,
-                  module_pattern: str | None = None, limit: int | None = 20) -> DataFrame:
+def code_patterns(corpus: DataFrame, pattern_code: str,
+                  min_matches: int = C.MIN_PATTERN_MATCHES, module_pattern: str | None = None,
+                  limit: int | None = C.LIMIT_CODE_PATTERNS) -> DataFrame:
     """``(id, module, matches)`` for texts with at least
     ``min_matches`` lines containing any pattern line (literal, trimmed),
     by matches desc, id."""
@@ -131,9 +135,10 @@ def code_patterns(corpus: DataFrame, pattern_code: str, min_matches: int = 3,
     return out if limit is None else out.limit(limit)
 
 
-def code_pattern_lines(corpus: DataFrame, pattern_code: str, min_matches: int = 3,
-                       module_pattern: str | None = None, per_function: int = 3
-                       ) -> DataFrame:
+def code_pattern_lines(corpus: DataFrame, pattern_code: str,
+                       min_matches: int = C.MIN_PATTERN_MATCHES,
+                       module_pattern: str | None = None,
+                       per_function: int = C.MATCHED_LINES_SHOWN) -> DataFrame:
     """O33 sample: the first ``per_function`` matching lines (trimmed) of
     every text that qualifies."""
     m = _matching_lines(corpus, pattern_code)

@@ -13,6 +13,7 @@ from ..plans.graph import bfs
 from ..plans.keys import Keys, key_frame, restrict
 from ..plans.substring import contains_pairs
 from ..sources.tables import CodeGraph
+from ..functions import constants as C
 from .functions import _per_group_limit, _top
 
 
@@ -23,7 +24,7 @@ def _typed(g: CodeGraph) -> DataFrame:
 
 
 def list_types(g: CodeGraph, module: str | None = None, pattern: str | None = None,
-               category: str | None = None, limit: int | None = 100) -> DataFrame:
+               category: str | None = None, limit: int | None = C.LIMIT_LISTING) -> DataFrame:
     """Exact module name AND name pattern AND category equality."""
     t = _typed(g)
     if module:
@@ -32,20 +33,20 @@ def list_types(g: CodeGraph, module: str | None = None, pattern: str | None = No
         t = t.filter(like("type_name", pattern))
     if category:
         t = t.filter(F.col("type_of_type") == category)
-    out = t.select("id", "type_name", or_default("type_of_type", "Unknown").alias("category"),
+    out = t.select("id", "type_name", or_default("type_of_type", C.UNKNOWN).alias("category"),
                    "module_name", "src_file", "line_start", "line_end")
     return _top(out, limit, "type_name", "id")
 
 
 def search_types(g: CodeGraph, pattern: str, module_pattern: str | None = None,
-                 category: str | None = None, limit: int | None = 50) -> DataFrame:
+                 category: str | None = None, limit: int | None = C.LIMIT_SEARCH) -> DataFrame:
     """Name pattern, optional module-name pattern and category."""
     t = _typed(g).filter(like("type_name", pattern))
     if module_pattern:
         t = t.filter(like("module_name", module_pattern))
     if category:
         t = t.filter(F.col("type_of_type") == category)
-    out = t.select("id", "type_name", or_default("type_of_type", "Unknown").alias("category"),
+    out = t.select("id", "type_name", or_default("type_of_type", C.UNKNOWN).alias("category"),
                    "module_name")
     return _top(out, limit, "type_name", "id")
 
@@ -63,8 +64,8 @@ def type_details(g: CodeGraph, keys: Keys = None, include_constructors: bool = T
     kf = key_frame(g.spark, keys, ["type_name", "module_name"])
     t = restrict(_typed(g), kf, ["type_name", "module_name"]).select(
         F.col("id").alias("type_id"), "type_name",
-        or_default("type_of_type", "Unknown").alias("category"), "module_name",
-        preview("raw_code", 200).alias("definition"))
+        or_default("type_of_type", C.UNKNOWN).alias("category"), "module_name",
+        preview("raw_code", C.TYPE_DEFINITION_PREVIEW).alias("definition"))
     if not include_constructors:
         return t
     c = g.constructor.select(F.col("type_id"), F.col("id").alias("constructor_id"),
@@ -72,8 +73,8 @@ def type_details(g: CodeGraph, keys: Keys = None, include_constructors: bool = T
     out = t.join(c, "type_id", "left")
     if include_fields:
         f = g.field.select("constructor_id",
-                           or_default("field_name", "unnamed").alias("field_name"),
-                           or_default("field_type_raw", "Unknown type").alias("field_type"))
+                           or_default("field_name", C.UNNAMED_FIELD).alias("field_name"),
+                           or_default("field_type_raw", C.UNKNOWN_FIELD_TYPE).alias("field_type"))
         out = out.join(f, "constructor_id", "left")
     if not nested:
         return out
@@ -148,14 +149,15 @@ def type_usage(g: CodeGraph, keys: Keys = None, module: str | None = None,
     counts = sites.groupBy("type_name").agg(
         F.count_distinct("function_id").alias("n_using_functions"))
     return (t.join(counts, "type_name", "left")
-            .select("id", "type_name", or_default("type_of_type", "Unknown").alias("category"),
+            .select("id", "type_name", or_default("type_of_type", C.UNKNOWN).alias("category"),
                     "module_name",
                     F.coalesce("n_using_functions", F.lit(0)).cast("bigint")
                     .alias("n_using_functions"))
             .filter(F.col("n_using_functions") >= usage_threshold))
 
 
-def types_by_category(g: CodeGraph, module: str | None = None, per_category: int = 10
+def types_by_category(g: CodeGraph, module: str | None = None,
+                      per_category: int = C.SAMPLE_TYPES_PER_CATEGORY
                       ) -> DataFrame:
     """O21 without a type: types grouped by category with the category
     size and the first ``per_category`` types (by name, id)."""
@@ -163,7 +165,7 @@ def types_by_category(g: CodeGraph, module: str | None = None, per_category: int
     if module:
         t = t.filter(F.col("module_name") == module)
     t = t.select("id", "type_name", "module_name",
-                 or_default("type_of_type", "Unknown").alias("category"))
+                 or_default("type_of_type", C.UNKNOWN).alias("category"))
     sizes = t.groupBy("category").agg(F.count(F.lit(1)).alias("n_types"))
     first = _per_group_limit(t, ["category"], per_category, "type_name", "id")
     return first.join(sizes, "category")
