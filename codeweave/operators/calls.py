@@ -94,6 +94,7 @@ def call_tree(g: CodeGraph, keys: Keys = None, max_depth: int = 3,
              .select("root", F.lit(0).alias("depth"), F.array("node").alias("path"),
                      F.lit(None).cast("bigint").alias("parent_id"),
                      F.col("node").alias("function_id")))
+    level = cut_lineage(level)
     levels = [level]
     e = call_edges(g).persist(StorageLevel.MEMORY_AND_DISK)
     for d in range(1, max_depth + 1):
@@ -106,6 +107,8 @@ def call_tree(g: CodeGraph, keys: Keys = None, max_depth: int = 3,
                        F.col("src").alias("parent_id"), F.col("dst").alias("function_id")))
         level = cut_lineage(nxt)
         levels.append(level)
+    info.unpersist()
+    e.unpersist()
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)

@@ -38,6 +38,7 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "s
     ``max_depth=None`` runs to the fixpoint.
     """
     e = _edges(edges, src, dst, reverse).persist(StorageLevel.MEMORY_AND_DISK)
+    cached = [e]
     start = roots.select("root", "node").distinct()
     # visited holds (root, node, depth); depth 0 rows are the roots.
     visited = start.withColumn("depth", F.lit(0))
@@ -49,8 +50,11 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "s
                 .select("root", F.col("__dst").alias("node"))
                 .join(visited.select("root", "node"), ["root", "node"], "left_anti")
                 .distinct())
-        step = (cut_lineage(step) if depth % checkpoint_every == 0
-                else step.persist(StorageLevel.MEMORY_AND_DISK))
+        if depth % checkpoint_every == 0:
+            step = cut_lineage(step)
+        else:
+            step = step.persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(step)
         # count() fills the whole cache (isEmpty would compute one partition
         # and leave the rest to be recomputed by every later round).
         if step.count() == 0:
@@ -59,7 +63,11 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "s
         if depth % checkpoint_every == 0:
             visited = cut_lineage(visited)
         frontier = step
-    return visited.filter(F.col("depth") > 0)
+    # The result lives in the checkpoint folder; the round caches can go.
+    result = cut_lineage(visited.filter(F.col("depth") > 0))
+    for df in cached:
+        df.unpersist()
+    return result
 
 
 def _is_star_forest(e: DataFrame) -> bool:
@@ -88,6 +96,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
          .filter(F.col("u") != F.col("v"))
          .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     e = cut_lineage(e)
+    cached: list[DataFrame] = []
     rounds = 0
     while not _is_star_forest(e):
         rounds += 1
@@ -112,6 +121,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         else:
             e = small.persist(StorageLevel.MEMORY_AND_DISK)
             e.count()
+            cached.append(e)
     members = e.select(F.col("v").alias("node"), F.col("u").alias("component"))
     centres = e.select(F.col("u").alias("node"), F.col("u").alias("component"))
-    return members.unionByName(centres).distinct()
+    result = cut_lineage(members.unionByName(centres).distinct())
+    for df in cached:
+        df.unpersist()
+    return result
