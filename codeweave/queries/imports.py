@@ -93,3 +93,30 @@ GROUP BY i.module_id, m.name, b.bucket
 def import_bucket_counts(g, spark, sf_dir):
     """Bucket sizes per module."""
     return op.import_bucket_counts(g)
+
+
+@register("suspicious_imports_usage", f"""
+, used AS (SELECT DISTINCT f.module_id, c.module_name
+           FROM cg_function_called c JOIN cg_function f ON f.id = c.function_id)
+SELECT module_id, module, import_id, module_name, package_name, qualified_style, as_module_name,
+  is_hiding, hiding_specs, line, array_to_string(reasons, ',') AS reasons,
+  NOT EXISTS (SELECT 1 FROM used u WHERE u.module_id = s.module_id
+              AND u.module_name = s.module_name) AS truly_unused
+FROM (
+  SELECT i.module_id, m.name AS module, {_COLS},
+    list_filter([CASE WHEN coalesce(i.qualified_style, false) AND coalesce(i.as_module_name, '') <> ''
+                   THEN 'qualified_and_aliased' END,
+                 CASE WHEN coalesce(i.is_hiding, false) AND coalesce(i.hiding_specs, '') <> ''
+                   THEN 'hiding_with_specs' END,
+                 CASE WHEN coalesce(i.package_name, '') <> ''
+                   AND position('test' IN lower(i.package_name)) = 0
+                   THEN 'external_package' END], lambda x: x IS NOT NULL) AS reasons
+  FROM cg_import i JOIN cg_module m ON m.id = i.module_id) s
+WHERE len(reasons) > 0
+""")
+def suspicious_imports_usage(g, spark, sf_dir):
+    """O30 with the usage check: flagged imports whose module is never
+    named by a call site of the importing module."""
+    from pyspark.sql import functions as F
+    return op.suspicious_imports(g, limit=None, check_usage=True).withColumn(
+        "reasons", F.array_join("reasons", ","))

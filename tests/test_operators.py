@@ -261,3 +261,33 @@ def test_nested_types_gateway_and_exclusion(spark):
 def test_checkpoint_dir_is_read_from_session(spark):
     from codeweave.session import ensure_checkpoint_dir
     assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_type_details_nested_form(spark):
+    g = make_graph(spark, module=mods("M"), type=[
+        {"id": 1, "type_name": "T", "module_id": 0, "raw_code": "data T"},
+        {"id": 2, "type_name": "Empty", "module_id": 0}],
+        constructor=[{"id": 10, "type_id": 1, "name": "MkA"}, {"id": 11, "type_id": 1, "name": "MkB"}],
+        field=[{"constructor_id": 10, "field_name": "x", "field_type_raw": "Int"},
+               {"constructor_id": 10, "field_name": None, "field_type_raw": None}])
+    out = {r["type_name"]: r for r in types.type_details(g, nested=True).collect()}
+    assert out["Empty"]["constructors"] == []
+    ctors = out["T"]["constructors"]
+    assert [c["constructor"] for c in ctors] == ["MkA", "MkB"]
+    assert sorted((f["field_name"], f["field_type"]) for f in ctors[0]["fields"]) == [
+        ("unnamed", "Unknown type"), ("x", "Int")]
+    assert ctors[1]["fields"] == []
+
+
+def test_first_only_roots(spark):
+    g = make_graph(spark, module=mods("A", "B"), function=[
+        {"id": 7, "name": "f", "module_id": 0, "module_name": "A"},
+        {"id": 3, "name": "f", "module_id": 1, "module_name": "B"},
+        {"id": 9, "name": "g", "module_id": 1, "module_name": "B"}],
+        function_dependency=[{"caller_id": 7, "callee_id": 9}, {"caller_id": 3, "callee_id": 9}])
+    every = calls.call_neighbours(g, ["f"], depth=1, include_callers=False)
+    assert rows(every, "root_id") == [(3,), (7,)]
+    first = calls.call_neighbours(g, ["f"], depth=1, include_callers=False, first_only=True)
+    assert rows(first, "root_id") == [(3,)]
+    scoped = calls.call_neighbours(g, [("f", "A")], depth=1, include_callers=False)
+    assert rows(scoped, "root_id") == [(7,)]
