@@ -56,14 +56,20 @@ def main() -> None:
     fns = graph_queries()
     names = only or HEADLINE
     times: dict[str, float] = {}
+    failed: dict[str, str] = {}
     for name in names:
         run = lambda: fns[name](g, spark, sf_dir).write.format("noop").mode("overwrite").save()
-        run()  # warm-up
-        samples = []
-        for _ in range(reps):
-            t = time.time()
-            run()
-            samples.append(time.time() - t)
+        try:
+            run()  # warm-up
+            samples = []
+            for _ in range(reps):
+                t = time.time()
+                run()
+                samples.append(time.time() - t)
+        except Exception as e:  # noqa: BLE001 - report and keep the JSON line
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            print(f"# {name}: FAILED {failed[name]}", file=sys.stderr)
+            continue
         times[name] = round(statistics.median(samples), 3)
         print(f"# {name}: {times[name]}s", file=sys.stderr)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
@@ -73,7 +79,7 @@ def main() -> None:
         pass
     print(json.dumps({"metric": "headline_query_seconds_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "load_seconds": round(load_s, 3),
-                      "sf": sf, "cpus": int(cpus), "reps": reps}))
+                      "sf": sf, "cpus": int(cpus), "reps": reps, "failed": failed}))
 
 
 if __name__ == "__main__":
