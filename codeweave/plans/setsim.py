@@ -75,14 +75,27 @@ def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
     if materialize:
         reps = cut_lineage(reps)        # read by postings and by verification
 
-    # Global frequency of each token over the distinct sets.
-    posting = reps.select("rep", "n", F.explode("toks").alias("tok"))
-    freq = posting.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    # Rank each set's tokens rarest-first; keep the prefix.
-    w = Window.partitionBy("rep").orderBy("df", "tok")
-    ranked = posting.join(freq, "tok").withColumn("pos", F.row_number().over(w))
-    need = ((F.col("n") * num + (den - 1)) / den).cast("long")       # ceil(t * n), integer
-    prefix = ranked.filter(F.col("pos") <= F.col("n") - need + 1).select("tok", "rep", "n", "pos")
+    # Global token order: rarest first (frequency over the distinct sets),
+    # ties by token. A range-partitioned sort numbered with
+    # monotonically_increasing_id gives every token a long rank in that
+    # order without a single-partition window; the numbering depends on
+    # the partitioning, so it is materialised once.
+    posting = reps.select("rep", F.explode("toks").alias("tok"))
+    vocab = (posting.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+             .orderBy("df", "tok").select("tok", F.monotonically_increasing_id().alias("g")))
+    vocab = cut_lineage(vocab)      # always: both join sides must see one numbering
+    # Each set as the sorted array of its token ranks (one document's
+    # tokens per group). The prefix is then a slice, and verification
+    # intersects arrays of longs.
+    ranked = (posting.join(vocab, "tok").groupBy("rep")
+              .agg(F.array_sort(F.collect_list("g")).alias("gs"))
+              .select("rep", F.size("gs").alias("n"), "gs"))
+    if materialize:
+        ranked = cut_lineage(ranked)
+    need = ((F.col("n") * num + (den - 1)) / den).cast("int")       # ceil(t * n), integer
+    prefix = (ranked.select("rep", "n", F.posexplode(
+        F.slice("gs", F.lit(1), F.col("n") - need + 1)).alias("pos0", "tok"))
+        .select("tok", "rep", "n", (F.col("pos0") + 1).alias("pos")))
 
     # Length classes: geometric buckets of ratio 1/t (exact lengths when
     # t = 1). A set of length n can only pair with lengths in
@@ -117,8 +130,8 @@ def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
             .filter(F.lit(1) + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
                     >= F.floor(alpha))
             .select("rep_a", "rep_b").distinct())
-    ta = reps.select(F.col("rep").alias("rep_a"), F.col("toks").alias("ta"))
-    tb = reps.select(F.col("rep").alias("rep_b"), F.col("toks").alias("tb"))
+    ta = ranked.select(F.col("rep").alias("rep_a"), F.col("gs").alias("ta"))
+    tb = ranked.select(F.col("rep").alias("rep_b"), F.col("gs").alias("tb"))
     inter = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - inter
     pairs = (cand.join(ta, "rep_a").join(tb, "rep_b")
