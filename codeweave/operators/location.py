@@ -110,7 +110,9 @@ def function_context_items(g: CodeGraph, keys: Keys = None) -> DataFrame:
                      F.when(F.col("callee_module_id") == F.col("caller_module_id"),
                             F.lit("local_function")).otherwise(F.lit("external_function"))
                      .alias("kind")))
-    used = type_usage_sites(g).select("function_id", "type_name").join(f, "function_id")
+    subset = None if kf is None else f.select(F.col("function_id").alias("id"))
+    used = (type_usage_sites(g, functions=subset)
+            .select("function_id", "type_name").join(f, "function_id"))
     defs = g.types.select("type_name", F.col("module_id").alias("def_module_id"))
     m = g.module.select(F.col("id").alias("def_module_id"), F.col("name").alias("module_name"))
     local = (used.join(defs, "type_name")
@@ -173,7 +175,9 @@ def generate_imports(g: CodeGraph, keys: Keys = None, element_type: str = "any",
     if element_type in ("any", "type"):
         m = g.module.select(F.col("id").alias("def_module_id"),
                             F.col("name").alias("imported_module"))
-        used = type_usage_sites(g).select("function_id", "type_name").join(fn, "function_id")
+        subset = None if kf is None else fn.select(F.col("function_id").alias("id"))
+        used = (type_usage_sites(g, functions=subset)
+                .select("function_id", "type_name").join(fn, "function_id"))
         defs = g.types.select("type_name", F.col("module_id").alias("def_module_id"))
         own = used.join(defs, "type_name").filter(F.col("def_module_id") == F.col("module_id"))
         uses.append(used.join(own.select("module_id", "type_name").distinct(),

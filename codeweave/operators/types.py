@@ -124,12 +124,17 @@ def type_dependencies(g: CodeGraph, keys: Keys = None, include_dependents: bool
                     F.col("depth").cast("bigint").alias("depth")))
 
 
-def type_usage_sites(g: CodeGraph, keys: Keys = None) -> DataFrame:
+def type_usage_sites(g: CodeGraph, keys: Keys = None,
+                     functions: DataFrame | None = None) -> DataFrame:
     """Pairs (type name, function) where the function signature contains
-    the type name literally (J9, exact q-gram join)."""
+    the type name literally (J9, exact q-gram join). ``functions`` (a
+    frame with an ``id`` column) restricts the signature side first, so a
+    question about a few functions does not scan the q-grams of all."""
     kf = key_frame(g.spark, keys, ["type_name"])
     tn = restrict(g.types.select("type_name"), kf, ["type_name"])
     sigs = g.function.select("id", "name", "module_name", "function_signature")
+    if functions is not None:
+        sigs = sigs.join(functions.select("id").distinct(), "id", "left_semi")
     pairs = contains_pairs(tn, sigs, "type_name", "function_signature").select(
         F.col("name").alias("type_name"), F.col("text").alias("function_signature"))
     return (pairs.join(sigs, "function_signature")
