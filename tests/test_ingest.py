@@ -67,3 +67,13 @@ def test_stream_dump_is_incremental(spark, scratch):
     _write(f"{root}/module/m2.json", [{"id": 3, "name": "C", "path": "src/C.hs"}])
     stream_dump(spark, root, dest, entities=["module"], checkpoint_root=f"{scratch}/ckpt")
     assert sorted(r["id"] for r in spark.read.parquet(f"{dest}/module").collect()) == [1, 2, 3]
+
+
+def test_load_dump_append_adds_rows(spark, scratch):
+    root, more, dest = f"{scratch}/dump", f"{scratch}/dump2", f"{scratch}/tables"
+    _dump(root)
+    _write(f"{more}/module/extra.json", [{"id": 7, "name": "Z", "path": "src/Z.hs"}])
+    load_dump(spark, root, dest, "setup")
+    report = {r["entity"]: r["rows"] for r in load_dump(spark, more, dest, "append").collect()}
+    assert report == {"module": 3}
+    assert sorted(r["id"] for r in spark.read.parquet(f"{dest}/module").collect()) == [1, 2, 7]
