@@ -77,3 +77,13 @@ def test_load_dump_append_adds_rows(spark, scratch):
     report = {r["entity"]: r["rows"] for r in load_dump(spark, more, dest, "append").collect()}
     assert report == {"module": 3}
     assert sorted(r["id"] for r in spark.read.parquet(f"{dest}/module").collect()) == [1, 2, 7]
+
+
+def test_load_command_line(spark, scratch, capsys):
+    from codeweave.load import main
+    root, dest = f"{scratch}/dump", f"{scratch}/cli-tables"
+    _dump(root)
+    main(["--src", root, "--dest", dest, "--mode", "setup", "--local"])
+    out = capsys.readouterr().out
+    assert "function" in out and "loaded in" in out
+    assert spark.read.parquet(f"{dest}/function").count() == 2
