@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.graph import bfs
+from ..plans.graph import _bounded, bfs
 from ..plans.keys import Keys, key_frame, restrict
 from ..session import cut_lineage
 from ..sources.tables import CodeGraph
@@ -112,6 +112,7 @@ def call_tree(g: CodeGraph, keys: Keys = None, max_depth: int = 3,
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
+    out = _bounded(out)
     info2 = _fn_info(g)
     cols = [F.col("root").alias("root_id"), F.col("depth").cast("bigint").alias("depth"),
             "path", "parent_id", "function_id", F.col("name").alias("function"),

@@ -26,6 +26,15 @@ def _edges(edges: DataFrame, src: str, dst: str, reverse: bool) -> DataFrame:
     return edges.select(F.col(s).alias("__src"), F.col(d).alias("__dst")).distinct()
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """Merge partitions (no shuffle) back to the session's shuffle width.
+    Each round unions one more shuffled layer onto the state; without this
+    the partition count, and the files every checkpoint writes, would grow
+    by a full shuffle width per round."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(n) if df.rdd.getNumPartitions() > n else df
+
+
 def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "src",
         dst: str = "dst", reverse: bool = False, checkpoint_every: int = CHECKPOINT_EVERY
         ) -> DataFrame:
@@ -61,10 +70,10 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "s
             break
         visited = visited.unionByName(step.withColumn("depth", F.lit(depth)))
         if depth % checkpoint_every == 0:
-            visited = cut_lineage(visited)
+            visited = cut_lineage(_bounded(visited))
         frontier = step
     # The result lives in the checkpoint folder; the round caches can go.
-    result = cut_lineage(visited.filter(F.col("depth") > 0))
+    result = cut_lineage(_bounded(visited.filter(F.col("depth") > 0)))
     for df in cached:
         df.unpersist()
     return result
@@ -124,7 +133,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
             cached.append(e)
     members = e.select(F.col("v").alias("node"), F.col("u").alias("component"))
     centres = e.select(F.col("u").alias("node"), F.col("u").alias("component"))
-    result = cut_lineage(members.unionByName(centres).distinct())
+    result = cut_lineage(_bounded(members.unionByName(centres).distinct()))
     for df in cached:
         df.unpersist()
     return result
