@@ -135,6 +135,12 @@ def scan(buf: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE
     after |= edge[1:]
     starts = np.flatnonzero(isw & before)
     ends = np.flatnonzero(isw & after) + 1
+    return span_hashes(buf, starts, ends), starts, ends, np.searchsorted(starts, offs)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans [starts, ends): equal bytes, equal hash."""
+    n = len(buf)
     p, inv = _powers(n)
     with np.errstate(over="ignore"):
         c = buf.astype(np.uint64)
@@ -145,7 +151,7 @@ def scan(buf: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE
         np.cumsum(c, out=total[1:])
         h = (total[ends] - total[starts]) * inv[starts]
         h += (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93)
-    return mix(h), starts, ends, np.searchsorted(starts, offs)
+    return mix(h)
 
 
 def pieces(data: np.ndarray, offs: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:

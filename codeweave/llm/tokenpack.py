@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, running_total, work_dir, written
+from .common import (SPACE, U, pieces, running_total, span_hashes, text_buffers, work_dir,
+                     written)
 
 QUERY = "op1_simple8b_tokens"
 ORACLE_SQL = None       # needs the tokenizer
@@ -47,8 +48,13 @@ ESCAPE = 1
 BLOCK = 1024
 STRIDE = 1 << 20        # ids coded or decoded at once (a multiple of BLOCK)
 FILE_IDS = 1 << 26
-CACHE_CHUNKS = 450_000     # chunks in one generation of the memo, about 100 MB
+SLOT_BITS = 21          # the memo: 2M pieces
+SLOTS = 1 << SLOT_BITS
+POOL_IDS = 1 << 23      # their ids
+RUN = 2000              # unknown pieces encoded in one call
+TEXT_BYTES = 1 << 20    # text encoded at once
 END_ID = 0
+_END = np.array([END_ID], dtype=np.uint32)
 
 MANIFEST = "part long, seq long, file string, n_docs long, n_ids long"
 REPORT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -57,6 +63,11 @@ REPORT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _ORDER = [0, *range(2, 16), ESCAPE]
 _LIMITS = np.array([(1 << SELECTORS[s][1]) - 1 for s in _ORDER[:-1]], dtype=np.uint64)
 _COUNT = np.array([SELECTORS[s][0] for s in _ORDER], dtype=np.int64)
+_NEAR = 8               # ids looked at directly; longer words come from runs
+_NEAR_CLASS = _COUNT.tolist().index(_NEAR)
+# Widest class that still fits j ids in one word, for j = 1.._NEAR.
+_CLASS_FOR = [max(k for k in range(len(_ORDER) - 1) if _COUNT[k] >= j) for j in range(1, _NEAR + 1)]
+_CLASS_OF_16 = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64)).astype(np.int8)
 
 
 # ------------------------------------------------------------------ coding
@@ -73,22 +84,47 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             np.concatenate(counts) if counts else z.astype(np.int64))
 
 
-def _encode_stride(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(v)
-    cls = np.searchsorted(_LIMITS, v)        # index in _ORDER of the narrowest fit
+def _classes(v: np.ndarray) -> np.ndarray:
+    """Index in _ORDER of the narrowest selector that holds each id."""
+    if len(v) and v.max() >= 1 << 16:
+        return np.searchsorted(_LIMITS, v).astype(np.int8)
+    return _CLASS_OF_16[v.astype(np.int64)]
+
+
+def _long_runs(cls: np.ndarray) -> list[np.ndarray] | None:
+    """For each class of more than _NEAR ids a word: the first position at
+    or after each that the class cannot hold; None where no run is long
+    enough for any."""
+    n = len(cls)
     idx = np.arange(n, dtype=np.int32)
-    # reach[k, i]: first position at or after i that class k cannot hold.
-    reach = np.empty((len(_ORDER), n), dtype=np.int32)
-    for k in range(len(_ORDER) - 1):
+
+    def reach(k):
         stop = np.where(cls > k, idx, np.int32(n))
-        reach[k] = np.minimum.accumulate(stop[::-1])[::-1]
-    reach[-1] = n
+        return np.minimum.accumulate(stop[::-1])[::-1]
+    widest = reach(_NEAR_CLASS - 1)
+    if not (widest - idx > _NEAR).any():
+        return None
+    return [reach(k) for k in range(_NEAR_CLASS - 1)] + [widest]
+
+
+def _encode_stride(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(v)
+    cls = np.concatenate([_classes(v), np.zeros(_NEAR, np.int8)])
+    runs = _long_runs(cls[:n])
     at = np.arange(0, n, BLOCK, dtype=np.int64)
     end = np.minimum(at + BLOCK, n)
     pos, sel = [], []
-    while len(at):
-        want = np.minimum(at[None, :] + _COUNT[:, None], end[None, :])
-        k = np.argmax(reach[:, at] >= want, axis=0)
+    while len(at):       # every block takes its next word
+        left = end - at
+        top = cls[at]
+        k = np.maximum(top, _CLASS_FOR[0])
+        for j in range(1, _NEAR):
+            # Past the block's end any id fits: the word stays part empty.
+            top = np.maximum(top, np.where(left > j, cls[at + j], 0))
+            k = np.where(top <= _CLASS_FOR[j], _CLASS_FOR[j], k)
+        if runs is not None:
+            for c in range(_NEAR_CLASS - 1, -1, -1):
+                k = np.where(runs[c][at] >= np.minimum(at + _COUNT[c], end), c, k)
         pos.append(at)
         sel.append(k)
         at = at + _COUNT[k]
@@ -101,6 +137,7 @@ def _encode_stride(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place = np.cumsum(width) - width
     out = np.zeros(int(width.sum()), dtype=np.uint64)
     ends = np.minimum((pos // BLOCK + 1) * BLOCK, n)
+    padded = np.concatenate([v, np.zeros(SELECTORS[0][0], np.uint64)])
     for k in np.unique(sel):
         s = _ORDER[k]
         m = np.flatnonzero(sel == k)
@@ -110,11 +147,12 @@ def _encode_stride(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         count, bits = SELECTORS[s]
         w = np.full(len(m), U(s << 60), dtype=np.uint64)
-        if bits:
-            for j in range(count):
-                p = pos[m] + j
-                ok = p < ends[m]
-                w[ok] |= v[p[ok]] << U(j * bits)
+        p = pos[m]
+        short = np.flatnonzero(p + count > ends[m])     # the last word of its block
+        for j in range(count if bits else 0):
+            x = padded[p + j]
+            x[short[p[short] + j >= ends[m[short]]]] = 0
+            w |= x << U(j * bits)
         out[place[m]] = w
     return out, np.bincount(pos // BLOCK, weights=width, minlength=-(-n // BLOCK)).astype(np.int64)
 
@@ -137,8 +175,8 @@ def decode(words: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     run = np.cumsum(per) - per
     first = np.searchsorted(block, np.arange(len(counts)))
     start = run - run[first][block] + block * BLOCK
-    stop = np.minimum((block + 1) * BLOCK, n)
     out = np.zeros(n, dtype=np.uint64)
+    stop = np.minimum((block + 1) * BLOCK, n)
     for s in np.unique(sel):
         m = np.flatnonzero(sel == s)
         if s == ESCAPE:
@@ -147,85 +185,165 @@ def decode(words: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
         count, bits = SELECTORS[s]
         if not bits:
             continue
-        w, mask = words[at[m]], U((1 << bits) - 1)
+        w, mask, p = words[at[m]], U((1 << bits) - 1), start[m]
+        whole = p + count <= stop[m]
         for j in range(count):
-            p = start[m] + j
-            ok = p < stop[m]
-            out[p[ok]] = (w[ok] >> U(j * bits)) & mask
+            x = (w >> U(j * bits)) & mask
+            q = p + j
+            if not whole.all():
+                keep = whole | (q < stop[m])
+                q, x = q[keep], x[keep]
+            out[q] = x
     return out
 
 
 # ------------------------------------------------------------- tokenising
 
-class ChunkEncoder:
-    """Whole-text encoding with a bounded memo of space-led chunks.
-
-    The byte-level pre-tokeniser always ends a piece before a space that
-    follows a non-space and precedes a non-space, so a text's ids are those
-    of its chunks cut there. A chunk that starts or ends with white space may
-    not be cut off; such a text is encoded as a whole. The memo keeps two
-    generations: a full one becomes the old one, which still answers."""
+_MAYBE_WS_NEXT = SPACE.copy()      # ASCII space, or a lead byte of other white space
+_MAYBE_WS_NEXT[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_MAYBE_WS_PREV = SPACE.copy()
+_MAYBE_WS_PREV[0x1C:0x20] = True
+_MAYBE_WS_PREV[0x80:] = True
+_ALNUM = np.zeros(256, dtype=bool)
+for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
+    _ALNUM[_lo:_hi] = True
+_POINT = np.zeros(256, dtype=bool)
+_POINT[list(b".,")] = True
+
+
+def cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Places where the byte-level pre-tokeniser surely starts a piece, the
+    start of every non-empty text included: before a space unless white
+    space stands on both sides, before . or , after a letter or digit,
+    before a line feed after a visible character, and after a single one."""
+    n = len(buf)
+    begin = offs[:-1][offs[:-1] < offs[1:]]
+    end = offs[1:][offs[:-1] < offs[1:]] - 1
+    prev = np.empty(n, np.uint8)
+    prev[1:] = buf[:-1]
+    prev[begin] = 0x61
+    nxt = np.empty(n, np.uint8)
+    nxt[:-1] = buf[1:]
+    nxt[end] = 0x20
+    before = np.empty(n, np.uint8)
+    before[2:] = buf[:-2]
+    before[:2] = 0x61
+    before[begin] = 0x61
+    second = begin + 1
+    before[second[second < n]] = 0x61
+    shut = _MAYBE_WS_PREV[prev]
+    cut = (buf == 0x20) & ~(shut & _MAYBE_WS_NEXT[nxt])
+    cut |= _POINT[buf] & _ALNUM[prev]
+    line = buf == 0x0A
+    cut |= line & ~shut
+    cut |= (prev == 0x0A) & ~_MAYBE_WS_PREV[before] & ~_MAYBE_WS_PREV[buf]
+    cut[begin] = True
+    return np.flatnonzero(cut)
+
+
+class PieceEncoder:
+    """Whole-text encoding with a bounded memo of pieces.
+
+    A text's ids are those of its pieces between ``cuts``. Pieces are told
+    apart by a 64-bit hash; a direct-mapped table of SLOTS entries remembers
+    their ids, a collision replaces the older piece. Memory is bounded by
+    SLOTS and POOL_IDS."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # tasks are the parallelism
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.young) + len(chunks) > CACHE_CHUNKS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        ask = []
-        for c in chunks:
-            if c in old:
-                young[c] = old[c]
-            elif c == " " or c[1].isspace() or c[-1].isspace():
-                young[c] = None
-            else:
-                ask.append(c)
-        for c, e in zip(ask, self.tok.encode_batch_fast(ask, add_special_tokens=False),
-                        strict=True):
-            young[c] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        # A text is its first chunk, encoded alone, and space-led chunks.
-        parts = [t.split(" ") for t in texts]
-        tails = [list(map(" ".__add__, p[1:])) for p in parts]
-        new = set().union(*tails).difference(self.young)
-        if new:
-            self._learn(new)
-            if not new <= self.young.keys():     # more than one generation at once
-                return [self._whole(t) for t in texts]
-        get = self.young.__getitem__
-        heads = self.tok.encode_batch_fast([p[0] for p in parts], add_special_tokens=False)
-        out = []
-        for t, p, tail, head in zip(texts, parts, tails, heads, strict=True):
-            if p[0] and p[0][-1].isspace():
-                out.append(self._whole(t))
-                continue
-            try:
-                b = b"".join(map(get, tail))
-            except (KeyError, TypeError):        # an uncuttable chunk
-                out.append(self._whole(t))
+        # Ids whose piece starts with the (byte-level form of) a space: in a
+        # run of space-led pieces they open one each.
+        vocab = self.tok.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.opens[[i for w, i in vocab.items() if w.startswith("\u0120")]] = True
+        self._reset()
+
+    def _reset(self) -> None:
+        self.key = np.zeros(SLOTS, dtype=np.uint64)
+        self.at = np.zeros(SLOTS, dtype=np.int32)
+        self.len = np.zeros(SLOTS, dtype=np.int32)
+        self.pool = np.zeros(POOL_IDS, dtype=np.uint32)
+        self.used = 0
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        e = self.tok.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype=np.uint32) for x in e]
+
+    def _coded(self, pieces_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per piece) of unknown pieces, many in one call."""
+        runs, alone = [], []
+        for k, p in enumerate(pieces_):
+            # A line feed or a second space inside keeps a piece out of runs.
+            (runs if p[0] == " " and len(p) > 1 and not p[1].isspace()
+             and not p[-1].isspace() and " " not in p[1:] else alone).append(k)
+        parts: list[np.ndarray | None] = [None] * len(pieces_)
+        for lo in range(0, len(runs), RUN):
+            some = runs[lo:lo + RUN]
+            ids = self._ids(["".join(pieces_[k] for k in some)])[0]
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) != len(some):
+                alone += some
                 continue
-            out.append(np.concatenate([np.array(head.ids, dtype="<u4"),
-                                       np.frombuffer(b, dtype="<u4")]))
-        return out
+            for k, part in zip(some, np.split(ids, first[1:]), strict=True):
+                parts[k] = part
+        for k, part in zip(alone, self._ids([pieces_[k] for k in alone]), strict=True):
+            parts[k] = part
+        return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int32)
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, ids per text) for ``data[offs...]``."""
+        lo = int(offs[0])
+        buf, offs = data[lo:int(offs[-1])], offs - lo
+        if not len(buf):
+            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
+        start = cuts(buf, offs)
+        h = span_hashes(buf, start, np.append(start[1:], len(buf)))
+        slot = (h >> U(64 - SLOT_BITS)).astype(np.int64)
+        at, count = self.at[slot], self.len[slot]
+        miss = np.flatnonzero((self.key[slot] != h) | (count == 0))
+        pool = self.pool
+        if len(miss):
+            keys, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            stop = np.append(start[1:], len(buf))
+            raw = buf.tobytes()
+            ids, lens = self._coded([raw[start[m]:stop[m]].decode("utf-8", "replace")
+                                     for m in miss[first]])
+            where = (np.cumsum(lens) - lens).astype(np.int32)
+            if self.used + len(ids) > POOL_IDS:
+                old = pool
+                self._reset()
+                if len(ids) > POOL_IDS:          # more than the memo may hold
+                    pool = np.concatenate([old, ids])
+                    at[miss], count[miss] = where[back] + len(old), lens[back]
+                    return self._laid(pool, at, count, start, offs)
+                pool = np.concatenate([old, ids])
+                at[miss], count[miss] = where[back] + len(old), lens[back]
+            else:
+                at[miss], count[miss] = where[back] + self.used, lens[back]
+            self.pool[self.used:self.used + len(ids)] = ids
+            s = (keys >> U(64 - SLOT_BITS)).astype(np.int64)
+            self.key[s], self.at[s], self.len[s] = keys, where + self.used, lens
+            self.used += len(ids)
+        return self._laid(pool, at, count, start, offs)
+
+    @staticmethod
+    def _laid(pool, at, count, start, offs) -> tuple[np.ndarray, np.ndarray]:
+        total = np.cumsum(count, dtype=np.int64)
+        begin = total - count
+        take = np.repeat(at - begin, count) + np.arange(total[-1])
+        upto = np.concatenate([[0], total])[np.searchsorted(start, offs)]
+        return pool[take], np.diff(upto)
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = PieceEncoder(path)
     return _encoders[path]
 
 
@@ -247,10 +365,10 @@ class _File:
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(doc_id)
-        self.sizes.append(len(ids))
-        self.pend.append(ids)
-        self.held += len(ids)
-        self.n_ids += len(ids)
+        self.sizes.append(len(ids) + 1)
+        self.pend += [ids, _END]
+        self.held += len(ids) + 1
+        self.n_ids += len(ids) + 1
         if self.held >= STRIDE:
             self._flush(False)
 
@@ -287,14 +405,15 @@ def _writer(folder: str, path: str):
         from pyspark import TaskContext
         part, seq, rows = TaskContext.get().partitionId(), 0, []
         enc, f = encoder(path), None
-        end = np.array([END_ID], dtype="<u4")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
-                texts = [t or "" for t in piece.column(1).to_pylist()]
-                for d, ids in zip(piece.column(0).to_pylist(), enc.texts(texts), strict=True):
+            docs = batch.column(0).to_pylist()
+            data, offs = text_buffers(batch.column(1))
+            for i, j in pieces(data, offs, TEXT_BYTES):
+                ids, counts = enc.encode(data, offs[i:j + 1])
+                stop = np.cumsum(counts).tolist()
+                for d, a, b in zip(docs[i:j], [0, *stop], stop, strict=False):
                     f = f or _File(folder, part, seq)
-                    f.add(d, np.concatenate([ids, end]))
+                    f.add(d, ids[a:b])
                     if f.n_ids >= FILE_IDS:
                         rows.append(f.close())
                         f, seq = None, seq + 1
