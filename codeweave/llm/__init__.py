@@ -8,9 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, tokenpack, toxicity
+from . import annindex, chatformat, decontam, mixing, neardup, tokenpack, toxicity, warc
 
-_MODULES = (tokenpack, neardup, mixing, decontam, toxicity)
+_MODULES = (tokenpack, neardup, warc, annindex, mixing, decontam, toxicity, chatformat)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

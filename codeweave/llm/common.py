@@ -3,6 +3,7 @@ intermediates, and a vectorised word scanner over Arrow text buffers."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -21,6 +22,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def make_dir(spark: SparkSession, folder: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+
+def shared_uri(folder: str) -> str:
+    """``folder`` as a URI that pyarrow's file systems open too."""
+    return re.sub(r"^file:/(?!/)", "file:///", folder) if ":" in folder else f"file://{folder}"
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` written as Parquet at ``path`` and read back: cuts the lineage
     on shared storage, so a lost executor never recomputes what precedes."""

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import (SPACE, U, pieces, running_total, span_hashes, text_buffers, work_dir,
-                     written)
+from .common import (SPACE, U, make_dir, pieces, running_total, shared_uri, span_hashes,
+                     text_buffers, work_dir, written)
 
 QUERY = "op1_simple8b_tokens"
 ORACLE_SQL = None       # needs the tokenizer
@@ -437,22 +436,13 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, id_col:
     committed manifest (also written at ``folder``/manifest)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                       F.xxhash64(text_col).alias("tie"))
-    _make(docs.sparkSession, f"{folder}/data")
+    make_dir(docs.sparkSession, f"{folder}/data")
     keys = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     ranged = src.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     return written(ranged.mapInArrow(_writer(f"{folder}/data", path or tokenizer_path()),
                                      MANIFEST), f"{folder}/manifest")
 
 
-def _make(spark: SparkSession, folder: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
-
-
-def _uri(folder: str) -> str:
-    return re.sub(r"^file:/(?!/)", "file:///", folder) if ":" in folder else f"file://{folder}"
-
-
 class TokenFile:
     """Reader of one file: index first, then ids stride by stride."""
 
@@ -522,7 +512,7 @@ def read_report(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def tokens_report(docs: DataFrame, path: str | None = None, **kw) -> DataFrame:
-    folder = _uri(work_dir(docs.sparkSession, "tokens"))
+    folder = shared_uri(work_dir(docs.sparkSession, "tokens"))
     return read_report(write_tokens(docs, folder, path, **kw), folder)
 
 
