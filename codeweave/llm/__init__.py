@@ -8,9 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annindex, chatformat, decontam, mixing, neardup, quality, tokenpack, toxicity, warc
+from . import (annindex, chatformat, decontam, mixing, neardup, pii, quality, tokenpack, toxicity,
+               warc)
 
-_MODULES = (tokenpack, neardup, warc, annindex, mixing, decontam, quality, toxicity, chatformat)
+_MODULES = (tokenpack, neardup, warc, annindex, mixing, decontam, quality, pii, toxicity,
+            chatformat)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
