@@ -12,11 +12,12 @@ documents are linked when ``100 * |A & B| >= percent * |A | B|``.
 3. Bands of 6 bins give bucket keys. Each bucket emits a star: its centre
    paired with every member, never all pairs.
 4. Every candidate pair is confirmed on the full sets (exact integers).
-5. Exactness beyond the star: while a bucket still holds classes of several
-   components, classes outside the largest-centred component act as further
-   centres (16, then 64, ... a bucket and round), against members of other
-   components only. When a bucket has one component, or every class outside
-   its first component has been a centre, no link in it can be missing.
+   The centre is the class with most collisions over all its buckets.
+5. Exactness beyond the star: classes of buckets that still hold several
+   components meet once more in an exact prefix-filter join (sets at the
+   threshold share one of their rarest shingles); only pairs with an end
+   outside its bucket's first component, of different components, are made
+   and confirmed. So no link between classes that share a bucket is missed.
 6. Components by contraction (``plans.labels``).
 
 A pair at similarity 0.85 shares no band with probability below 1e-6.
@@ -35,7 +36,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..plans.labels import contract_components
 from .common import U, mix, text_buffers, word_hashes, work_dir, written
@@ -48,9 +48,15 @@ BINS = 192
 BAND = 6
 PERCENT = 85
 SALT_ROWS = 512         # members of one centre or bucket that share a join key
-FIRST_CENTRES = 16
+
+ORDER_BITS = 18         # counters that order shingles by frequency
+ORDER_LEAST = 4         # a task reports a counter from here on
 
 SKETCH_SCHEMA = "doc_id long, n_shingles long, node long, check long, bands array<long>"
+PARITY_WORDS = 4        # 64 parity bits each
+PARITY = [f"w{i}" for i in range(PARITY_WORDS)]
+PREFIX_SCHEMA = ("shingle long, node long, n long, comp long, probe boolean, "
+                 + ", ".join(f"{w} long" for w in PARITY))
 
 
 def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -111,6 +117,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix(k).view(np.int64)
 
 
+def _node(u: np.ndarray) -> int:
+    """The id of a set's class."""
+    with np.errstate(over="ignore"):
+        return int(mix(u.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
@@ -129,22 +141,27 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             bands = pa.ListArray.from_arrays(off, pa.array(keys[live].ravel()))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).cast(pa.int64()), pa.array(n), pa.array(mix(h1).view(np.int64)),
-                 pa.array(h2.view(np.int64)), bands, *part.columns[2:]],
+                 pa.array(h2.view(np.int64)), bands,
+                 *part.columns[2:]],
                 names=["doc_id", "n_shingles", "node", "check", "bands", *part.schema.names[2:]])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) -> (node, its shingle hashes)."""
+    """(node, text) -> (node, its shingle hashes); texts of another class
+    under the same doc_id are left out."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
             data, offs = text_buffers(part.column(1))
-            sets = [shingle_hashes(w).view(np.int64) for _, w in word_hashes(data, offs)]
+            sets = [shingle_hashes(w) for _, w in word_hashes(data, offs)]
+            own = [n == k for n, k in zip(part.column(0).to_pylist(), map(_node, sets),
+                                          strict=True)]
+            sets = [s.view(np.int64) for s, ok in zip(sets, own, strict=True) if ok]
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             vals = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(off, pa.array(vals))],
-                names=["node", "shingles"])
+                [part.column(0).filter(pa.array(own, pa.bool_())),
+                 pa.ListArray.from_arrays(off, pa.array(vals))], names=["node", "shingles"])
 
 
 def _spread(pairs: DataFrame, key: str) -> DataFrame:
@@ -159,19 +176,81 @@ def _spread(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def _stars(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) pairs a < b of each bucket's centres with its members
-    whose sizes and components allow a new link."""
-    c = centres.select("key", F.col("node").alias("cn"), F.col("n").alias("cs"),
-                       F.col("comp").alias("cc"), "salts")
+    """Distinct (a, b) pairs a < b of each bucket's centre with its members
+    whose sizes allow a link."""
+    c = centres.select("key", F.col("node").alias("cn"), F.col("n").alias("cs"), "salts")
     c = c.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     m = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     return (m.join(c, ["key", "salt"])
-            .filter((F.col("node") != F.col("cn")) & (F.col("comp") != F.col("cc"))
+            .filter((F.col("node") != F.col("cn"))
                     & (100 * F.least("n", "cs") >= percent * F.greatest("n", "cs")))
             .select(F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b"))
             .distinct())
 
 
+def _counter(u: np.ndarray) -> np.ndarray:
+    return (u.view(np.uint64) >> U(64 - ORDER_BITS)).astype(np.int64)
+
+
+def _list_values(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
+    return col.values.to_numpy(zero_copy_only=False), offs
+
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << ORDER_BITS, dtype=np.int64)
+    for batch in batches:
+        vals, offs = _list_values(batch.column(0))
+        total += np.bincount(_counter(vals[offs[0]:offs[-1]]), minlength=len(total))
+    at = np.flatnonzero(total >= ORDER_LEAST)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["c", "n"])
+
+
+def _prefixes(counts: np.ndarray, percent: int):
+    """The rarest shingles of each set, so many that sets at the threshold
+    share one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vals, offs = _list_values(batch.column("shingles"))
+            n = np.diff(offs)
+            size = n - -(-percent * n // 100) + 1
+            take, bits = [], np.zeros((len(n), 64 * PARITY_WORDS), dtype=np.uint8)
+            for i, (lo, hi, k) in enumerate(zip(offs[:-1], offs[1:], size, strict=True)):
+                u = vals[lo:hi]
+                bits[i] = np.bincount(u & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
+                take.append(u[np.lexsort((u, counts[_counter(u)]))[:k]])
+            rep = np.repeat(np.arange(len(n)), size)
+            cols = [pa.array(np.concatenate(take) if take else np.zeros(0, np.int64))]
+            cols += [batch.column(c).take(pa.array(rep)) for c in ("node", "n", "comp", "probe")]
+            words = np.packbits(bits, axis=1).view(np.int64)
+            cols += [pa.array(words[rep, i]) for i in range(PARITY_WORDS)]
+            yield pa.RecordBatch.from_arrays(
+                cols, names=["shingle", "node", "n", "comp", "probe", *PARITY])
+    return run
+
+
+def _prefix_pairs(open_nodes: DataFrame, sets: DataFrame, percent: int, base: str) -> DataFrame:
+    """All pairs (probe, other) of ``open_nodes`` (node, n, comp, probe) in
+    different components that may reach the threshold: an exact prefix
+    filter in one order of shingles, rare ones first, and an exact bound by
+    parity bits (bits that differ never outnumber the shingles that do)."""
+    s = written(sets.join(open_nodes, "node"), f"{base}/open-sets")
+    rows = s.select("shingles").mapInArrow(_shingle_counts, "c long, n long").groupBy("c").agg(
+        F.sum("n").alias("n")).collect()        # at most 2^ORDER_BITS counters
+    counts = np.zeros(1 << ORDER_BITS, dtype=np.int64)
+    for r in rows:
+        counts[r["c"]] = r["n"]
+    p = written(s.mapInArrow(_prefixes(counts, percent), PREFIX_SCHEMA), f"{base}/prefixes")
+    x = p.filter("probe").select("shingle", F.col("node").alias("xn"), F.col("n").alias("xs"),
+                                 F.col("comp").alias("xc"), *[F.col(w).alias(f"x{w}") for w in PARITY])
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"x{w}"))) for w in PARITY), F.lit(0))
+    return (p.join(x, "shingle").filter(
+        (F.col("comp") != F.col("xc"))
+        & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("xs")))
+        & (100 * F.least("n", "xs") >= percent * F.greatest("n", "xs")))
+        .select(F.least("node", "xn").alias("a"), F.greatest("node", "xn").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     percent: int = PERCENT, keep: Iterable[str] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept,
@@ -195,63 +274,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .unionByName(live.filter("doc_id is null").join(
             reps.filter("rep is null"), "node", "left_semi")
             .select("node", F.col("n_shingles").alias("n"), "bands")))
-    exploded = bands.select("node", "n", F.explode("bands").alias("key"))
+    # One shuffle by bucket serves both the sizes and the join.
+    exploded = bands.select("node", "n", F.explode("bands").alias("key")).repartition("key")
     sizes = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size"),
                                         F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = written(sizes.filter("lo <> hi").select(
-        "key", F.ceil(F.col("size") / SALT_ROWS).cast("int").alias("salts")), f"{base}/buckets")
-    members = written(exploded.join(shared, "key").select("key", "node", "n", "salts"),
+    members = written(exploded.join(sizes.filter("lo <> hi"), "key").select(
+        "key", "node", "n", "size", F.ceil(F.col("size") / SALT_ROWS).cast("int").alias("salts")),
+        f"{base}/collisions")
+    # A class that collides with many is central: it makes the better centre.
+    weight = members.groupBy(F.col("node").alias("wn")).agg(F.sum("size").alias("weight"))
+    members = written(members.join(weight, F.col("node") == F.col("wn")).drop("wn", "size"),
                       f"{base}/members")
 
-    comps = members.limit(0).select("node", F.col("node").alias("label"))
-    edges, tested = None, None
-    open_m = members.withColumn("comp", F.col("node"))
-    centres = (open_m.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp", "salts"),
-                                                  "node").alias("c")).select("key", "c.*"))
-    rnd, width, used = 0, FIRST_CENTRES, None
-    while True:
-        cand = _stars(open_m, centres, percent)
-        if tested is not None:
-            cand = cand.join(tested, ["a", "b"], "left_anti")
-        cand = written(cand, f"{base}/candidates-{rnd}")
-        if cand.isEmpty():
-            new = None
-        else:
-            tested = cand if tested is None else tested.unionByName(cand)
-            new = written(_confirmed(src, sk, reps, cand, percent, f"{base}/{rnd}"),
-                          f"{base}/links-{rnd}")
-            edges = new if edges is None else edges.unionByName(new)
-        if new is not None:
-            comps = contract_components(edges.select("a", "b"), lambda d, name, r=rnd: written(
-                d, f"{base}/components-{r}/{name}"))
-        centres_used = centres.select("key", "node")
-        used = centres_used if used is None else used.unionByName(centres_used)
-        used = written(used.distinct(), f"{base}/used-{rnd}")
-        # Buckets that still hold several components, and the classes in
-        # them that are outside the first centre's component.
-        at = (members.join(comps.select("node", F.col("label").alias("comp")), "node", "left")
-              .withColumn("comp", F.coalesce("comp", "node")))
-        spread = at.groupBy("key").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"),
-                                       F.min_by("comp", "node").alias("c_first"))
-        still = spread.filter("c_lo <> c_hi").select("key", "c_first")
-        open_m = written(at.join(still, "key"), f"{base}/open-{rnd}")
-        if open_m.isEmpty():
-            break
-        left = (open_m.filter("comp <> c_first").join(used, ["key", "node"], "left_anti"))
-        rank = F.row_number().over(W.partitionBy("key").orderBy("node"))
-        centres = written(left.withColumn("rank", rank).filter(F.col("rank") <= width)
-                          .drop("rank"), f"{base}/centres-{rnd}")
-        if centres.isEmpty():
-            break
-        rnd, width = rnd + 1, width * 4
+    centres = members.groupBy("key").agg(F.max_by(
+        F.struct("node", "n", "salts"), F.struct("weight", "node")).alias("c")).select(
+        "key", "c.*")
+    stars = written(_stars(members, centres, percent), f"{base}/stars")
+    sets = _sets(src, reps, stars.select(F.col("a").alias("node")).unionByName(
+        stars.select(F.col("b").alias("node"))), None, f"{base}/star")
+    edges = written(_confirmed(stars, sets, percent, f"{base}/star"), f"{base}/star-links")
+
+    def components(e: DataFrame, name: str) -> DataFrame:
+        return contract_components(e, lambda d, part: written(d, f"{base}/{name}/{part}"))
+    comps = components(edges, "star-components")
+    # Buckets that still hold several components; a link the stars missed
+    # has an end outside its bucket's first component.
+    at = (members.join(comps.withColumnRenamed("label", "comp"), "node", "left")
+          .withColumn("comp", F.coalesce("comp", "node")))
+    spread = at.groupBy("key").agg(
+        F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"),
+        F.max_by("comp", F.struct("weight", "node")).alias("c_first"))
+    still = spread.filter("c_lo <> c_hi").select("key", "c_first")
+    open_nodes = written(at.join(still, "key").groupBy("node").agg(
+        F.min("n").alias("n"), F.min("comp").alias("comp"),
+        F.max(F.col("comp") != F.col("c_first")).alias("probe")), f"{base}/open")
+    sets = _sets(src, reps, open_nodes.select("node"), sets, f"{base}/open")
+    rest = written(_prefix_pairs(open_nodes, sets, percent, base).join(
+        stars, ["a", "b"], "left_anti"), f"{base}/rest")
+    more = written(_confirmed(rest, sets, percent, f"{base}/rest"), f"{base}/rest-links")
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        comps = components(edges, "components")
 
     # Links per class, and each component's smallest document.
-    if edges is not None:
-        ends = edges.select(F.col("a").alias("node")).unionByName(
-            edges.select(F.col("b").alias("node")))
-        links = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    else:
-        links = reps.limit(0).select("node", F.lit(0).cast("long").alias("n_links"))
+    ends = edges.select(F.col("a").alias("node")).unionByName(
+        edges.select(F.col("b").alias("node")))
+    links = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     lab = (reps.select("node", "rep").join(comps, "node", "left")
            .withColumn("label", F.coalesce("label", "node")))
     low = lab.groupBy("label").agg(F.min("rep").alias("component"))
@@ -297,22 +365,23 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out.filter("__once").dropDuplicates([id_col, "__tie"]).select(*docs.columns)))
 
 
-def _confirmed(src: DataFrame, sk: DataFrame, reps: DataFrame, cand: DataFrame, percent: int,
-               base: str) -> DataFrame:
-    """Candidate pairs whose full sets reach the threshold."""
-    nodes = cand.select(F.col("a").alias("node")).unionByName(
-        cand.select(F.col("b").alias("node"))).distinct()
-    wanted = reps.join(nodes, "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
-    # A doc_id may repeat with other texts: (doc_id, node) is recomputed from
-    # the text and only the wanted node is kept.
-    texts = src.select("doc_id", "text").join(
-        wanted, src["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
-    sets = written(texts.mapInArrow(_set_batches, "node long, shingles array<long>"),
-                   f"{base}/sets-all")
-    ids = sk.select("node", F.col("n_shingles").cast("int").alias("n")).join(
-        nodes, "node", "left_semi").distinct()
-    sets = sets.join(ids, "node").filter(F.size("shingles") == F.col("n")).drop("n")
+def _sets(src: DataFrame, reps: DataFrame, nodes: DataFrame, have: DataFrame | None, base: str
+          ) -> DataFrame:
+    """(node, shingles) of ``have`` and of all classes in ``nodes``."""
+    nodes = nodes.distinct()
+    if have is not None:
+        nodes = nodes.join(have, "node", "left_anti")
+    nodes = written(nodes, f"{base}/nodes")
+    wanted = reps.join(nodes, "node", "left_semi").select(
+        "node", F.col("rep").alias("id"))
+    texts = src.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
+    sets = texts.select("node", "text").mapInArrow(_set_batches, "node long, shingles array<long>")
     sets = written(sets.dropDuplicates(["node"]), f"{base}/sets")
+    return sets if have is None else have.unionByName(sets)
+
+
+def _confirmed(cand: DataFrame, sets: DataFrame, percent: int, base: str) -> DataFrame:
+    """Candidate pairs whose full sets reach the threshold."""
     pairs = written(_spread(cand, "a"), f"{base}/pairs")
     hub = pairs.groupBy("a").agg(F.max("salts").alias("salts"))
     left = (sets.withColumnRenamed("node", "a").join(hub, "a")
