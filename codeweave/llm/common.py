@@ -58,7 +58,7 @@ def running_total(df: DataFrame, keys: list[str], value: str, out: str, path: st
     # count, not by the data.
     base = per.withColumn("__base", F.coalesce(
         F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)),
-        F.lit(0)).cast("long")).select("__part", "__base")
+        F.lit(0)).cast(kind)).select("__part", "__base")
     return (local.join(F.broadcast(base), "__part")
             .withColumn(out, (F.col("__upto") + F.col("__base")).cast(kind))
             .drop("__part", "__base", "__upto", "__rn"))
