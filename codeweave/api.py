@@ -164,12 +164,8 @@ class CodeAnalytics:
 
     def generate_function_imports(self, element_name=None, source_module=None,
                                   element_type="any", import_style="haskell"):
-        style = import_style if import_style in location.STYLES else "haskell"
-        out = location.generate_imports(self.g, [source_module] if source_module else None,
-                                        element_type, style)
-        if element_name and "element" in out.columns:
-            out = out.filter(F.col("element") == element_name)
-        return out
+        return location.generate_imports(self.g, [source_module] if source_module else None,
+                                         element_type, import_style, element_name)
 
     # -- similarity and patterns -------------------------------------------
     def find_similar_functions(self, function_name=None, module_name=None,
@@ -184,8 +180,8 @@ class CodeAnalytics:
 
     def find_code_patterns(self, pattern_code, min_matches=C.MIN_PATTERN_MATCHES,
                            module_pattern=None, limit=C.LIMIT_CODE_PATTERNS):
-        return similarity.code_patterns(self.corpus, pattern_code, min_matches, module_pattern,
-                                        limit)
+        return similarity.code_patterns(similarity.body_corpus(self.g), pattern_code, min_matches,
+                                        module_pattern, limit)
 
     def group_similar_functions(self, similarity_threshold=C.SIMILARITY_THRESHOLD,
                                 module_pattern=None, min_group_size=C.MIN_GROUP_SIZE,

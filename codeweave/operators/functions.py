@@ -13,9 +13,10 @@ from ..functions import constants as C
 
 
 def _top(df: DataFrame, limit: int | None, *order) -> DataFrame:
-    """Total order, then the limit (a TakeOrderedAndProject when limited)."""
-    df = df.orderBy(*order)
-    return df if limit is None else df.limit(limit)
+    """The first ``limit`` rows in a total order (a TakeOrderedAndProject);
+    all rows, unsorted, without a limit: no range exchange for an order that
+    no limit needs."""
+    return df if limit is None else df.orderBy(*order).limit(limit)
 
 
 def _per_group_limit(df: DataFrame, group: list[str], limit: int | None, *order) -> DataFrame:

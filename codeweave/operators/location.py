@@ -154,11 +154,12 @@ STYLES = ("haskell", "qualified", "explicit")
 
 
 def generate_imports(g: CodeGraph, keys: Keys = None, element_type: str = "any",
-                     style: str = "haskell") -> DataFrame:
+                     style: str = "haskell", element: str | None = None) -> DataFrame:
     """Import statements a module lacks. An element (called function,
     or type named in a signature) used in module M but defined in another
     module D, where M has no import of D, yields ``import D``,
-    ``import qualified D`` or ``import D (element)``."""
+    ``import qualified D`` or ``import D (element)``. ``element`` keeps the
+    statements that this name needs, in every style."""
     if style not in STYLES:
         raise ValueError(f"style must be one of {STYLES}")
     if element_type not in ("any", "function", "type"):
@@ -189,6 +190,8 @@ def generate_imports(g: CodeGraph, keys: Keys = None, element_type: str = "any",
     u = uses[0]
     for x in uses[1:]:
         u = u.unionByName(x)
+    if element is not None:
+        u = u.filter(F.col("element") == element)
     have = g.imports.select("module_id", F.col("module_name").alias("imported_module"))
     need = (u.filter(F.col("imported_module").isNotNull()
                      & (F.col("imported_module") != F.col("module")))

@@ -18,13 +18,16 @@ CASE_OF_LINE = r"\bcase\b.*\bof\b"
 
 
 def match_function_calls(g: CodeGraph, function: str | None = None, target: str | None = None,
-                         mode: str = "calls") -> DataFrame:
+                         mode: str = "calls", caller: str | None = None,
+                         callee: str | None = None) -> DataFrame:
     """Call sites (J1) whose two ends match name patterns (P2). ``calls``:
     ``function`` is the caller, ``target`` the callee; ``called_by``: the
-    other way round."""
+    other way round. ``caller`` and ``callee`` name the ends themselves,
+    whatever the mode."""
     if mode not in ("calls", "called_by"):
         raise ValueError("mode must be 'calls' or 'called_by'")
     caller_p, callee_p = (function, target) if mode == "calls" else (target, function)
+    caller_p, callee_p = caller or caller_p, callee or callee_p
     sites = g.function_called
     if callee_p:
         sites = sites.filter(like("name", callee_p))
@@ -85,22 +88,31 @@ def match_code_structure(g: CodeGraph, structure: str = "nested_function") -> Da
     raise ValueError("structure must be nested_function, higher_order or pattern_match")
 
 
+_CONFIG_KEYS = {"function_call": {"function", "target", "mode", "caller", "callee"},
+                "type_usage": {"type_name", "usage_in"},
+                "code_structure": {"structure_type", "structure"}}
+
+
 def pattern_match(g: CodeGraph, pattern_type: str, config: dict, limit: int | None = 50
                   ) -> DataFrame:
-    """O35 dispatcher over the three pattern kinds."""
+    """O35 dispatcher over the three pattern kinds; unknown keys raise."""
+    known = _CONFIG_KEYS.get(pattern_type)
+    if known is None:
+        raise ValueError(f"pattern_type must be one of {sorted(_CONFIG_KEYS)}")
+    if set(config) - known:
+        raise ValueError(f"unknown keys for {pattern_type}: {sorted(set(config) - known)}")
     if pattern_type == "function_call":
-        out = match_function_calls(g, config.get("function") or config.get("caller"),
-                                   config.get("target") or config.get("callee"),
-                                   config.get("mode", "calls"))
+        out = match_function_calls(g, config.get("function"), config.get("target"),
+                                   config.get("mode", "calls"), config.get("caller"),
+                                   config.get("callee"))
         order = ["caller_id", "site", "callee", "callee_module"]
     elif pattern_type == "type_usage":
         out = match_type_usage(g, config["type_name"], config.get("usage_in", "function"))
         order = ["element_id"]
-    elif pattern_type == "code_structure":
-        out = match_code_structure(g, config.get("structure", "nested_function"))
-        order = [c for c in ("parent_id", "id", "nested") if c in out.columns]
     else:
-        raise ValueError("pattern_type must be function_call, type_usage or code_structure")
+        out = match_code_structure(g, config.get("structure_type") or config.get(
+            "structure", "nested_function"))
+        order = [c for c in ("parent_id", "id", "nested") if c in out.columns]
     return _top(out, limit, *order)
 
 

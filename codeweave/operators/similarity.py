@@ -29,6 +29,13 @@ def function_corpus(g: CodeGraph) -> DataFrame:
         "id", F.concat_ws("\n", "function_signature", "raw_string").alias("text"), "module")
 
 
+def body_corpus(g: CodeGraph) -> DataFrame:
+    """(id, text, module): the body of every function, lines as stored."""
+    f = g.function.select("id", F.col("module_name").alias("module"))
+    return f.join(g.function_body.select("id", F.col("raw_string").alias("text")), "id").select(
+        "id", "text", "module")
+
+
 def _rank_limit(df: DataFrame, part: str, limit: int, *order) -> DataFrame:
     w = Window.partitionBy(part).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)

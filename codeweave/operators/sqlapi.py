@@ -17,14 +17,17 @@ VIEW_PREFIX = "cg_"
 
 
 def custom_sql(g: CodeGraph, sql: str, params: Mapping | Sequence | None = None,
-               limit: int | None = 100, view_prefix: str = VIEW_PREFIX) -> DataFrame:
+               limit: int | None = None, order_by: Sequence[str] | None = None,
+               view_prefix: str = VIEW_PREFIX) -> DataFrame:
     """Run ``sql`` over the entity tables, registered as temp views
     ``cg_module``, ``cg_function``, ``cg_import``, ... Parameters are
     bound by Spark (``:name`` with a mapping, ``?`` with a sequence), never
-    spliced into the text. ``limit`` caps the rows returned."""
+    spliced into the text. All rows are returned unless ``limit`` is given:
+    then the first rows by ``order_by`` (default: all columns in turn), so
+    that the answer is the same on every run."""
     g.register_views(view_prefix)
     df = g.spark.sql(sql, args=params) if params else g.spark.sql(sql)
-    return df if limit is None else df.limit(limit)
+    return df if limit is None else df.orderBy(*(order_by or df.columns)).limit(limit)
 
 
 # ---------------------------------------------------------------- O41

@@ -86,3 +86,47 @@ def test_tools_run(spark):
             (out.nodes, out.edges, out.dependents) if hasattr(out, "dependents") else (out,))
         for df in frames:
             df.collect()
+
+
+def _calls_graph(spark):
+    return make_graph(
+        spark, module=mods("A", "B"),
+        function=[{"id": 1, "name": "alpha", "module_id": 0, "module_name": "A",
+                   "function_signature": "foo -> (a -> b) -> b"},
+                  {"id": 2, "name": "beta", "module_id": 1, "module_name": "B",
+                   "function_signature": "Int"}],
+        function_body=[{"id": 1, "raw_string": "let x = 1\nfoo x"}],
+        function_called=[{"function_id": 1, "callee_id": 2, "name": "beta", "module_name": "B",
+                          "site": 1}])
+
+
+def test_pattern_match_honours_its_keys(spark):
+    import pytest
+
+    from codeweave.operators import patterns
+    g = _calls_graph(spark)
+    for mode in ("calls", "called_by"):
+        out = patterns.pattern_match(g, "function_call", {"caller": "alpha", "callee": "beta",
+                                                          "mode": mode})
+        assert out.count() == 1
+    assert patterns.pattern_match(g, "function_call", {"function": "beta", "target": "alpha",
+                                                       "mode": "called_by"}).count() == 1
+    high = patterns.pattern_match(g, "code_structure", {"structure_type": "higher_order"})
+    assert [r["id"] for r in high.collect()] == [1]
+    with pytest.raises(ValueError):
+        patterns.pattern_match(g, "code_structure", {"kind": "higher_order"})
+
+
+def test_code_patterns_read_bodies_only(spark):
+    ca = CodeAnalytics(_calls_graph(spark))
+    out = ca.find_code_patterns("foo", min_matches=1).collect()
+    assert [(r["id"], r["matches"]) for r in out] == [(1, 1)]
+
+
+def test_generate_imports_filters_by_element_in_every_style(spark):
+    import pytest
+    ca = CodeAnalytics(_calls_graph(spark))
+    assert ca.generate_function_imports("noSuchElement").count() == 0
+    assert [r["statement"] for r in ca.generate_function_imports("beta").collect()] == ["import B"]
+    with pytest.raises(ValueError):
+        ca.generate_function_imports("beta", import_style="prolog")

@@ -87,3 +87,29 @@ def test_load_command_line(spark, scratch, capsys):
     out = capsys.readouterr().out
     assert "function" in out and "loaded in" in out
     assert spark.read.parquet(f"{dest}/function").count() == 2
+
+
+def test_batch_and_stream_loads_mix(spark, scratch):
+    root, more, dest = f"{scratch}/dump", f"{scratch}/dump2", f"{scratch}/tables"
+    _dump(root)
+    load_dump(spark, root, dest, "setup")
+    before = spark.read.parquet(f"{dest}/module").count()
+    _write(f"{more}/module/a.json", [{"id": 11, "name": "S", "path": "src/S.hs"}],
+           broken='{"id": oops')
+    stream_dump(spark, more, dest, entities=["module"])
+    assert spark.read.parquet(f"{dest}/module").count() == before + 1
+    assert any("oops" in r["record"] for r in spark.read.option("mergeSchema", "true").parquet(
+        f"{dest}/_quarantine/module").collect())
+    # A later process (nothing but the folder in common) reads new files only.
+    _write(f"{more}/module/b.json", [{"id": 12, "name": "T", "path": "src/T.hs"}])
+    stream_dump(spark.newSession(), more, dest, entities=["module"])
+    ids = [r["id"] for r in spark.read.parquet(f"{dest}/module").collect()]
+    assert len(ids) == before + 2 and {11, 12} <= set(ids)
+    third = f"{scratch}/dump3"
+    _write(f"{third}/module/c.json", [{"id": 13, "name": "U", "path": "src/U.hs"}])
+    load_dump(spark, third, dest, "append")
+    assert spark.read.parquet(f"{dest}/module").count() == before + 3
+    # A second destination gets everything.
+    other = f"{scratch}/tables2"
+    stream_dump(spark, more, other, entities=["module"])
+    assert sorted(r["id"] for r in spark.read.parquet(f"{other}/module").collect()) == [11, 12]
