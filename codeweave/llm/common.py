@@ -174,7 +174,11 @@ def pieces(data: np.ndarray, offs: np.ndarray, size: int = PIECE) -> Iterator[tu
         i = min(j, n)
 
 
-def scanned(data: np.ndarray, offs: np.ndarray, fold: np.ndarray = LOWER,
+def fold_ascii(data: np.ndarray) -> np.ndarray:
+    return LOWER[data]
+
+
+def scanned(data: np.ndarray, offs: np.ndarray, fold=fold_ascii,
             sep: np.ndarray = SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(i, j, word hashes of texts i..j-1, first word of each and the total).
     Long texts are scanned in pieces cut at separators, so memory follows
@@ -182,7 +186,7 @@ def scanned(data: np.ndarray, offs: np.ndarray, fold: np.ndarray = LOWER,
     for i, j in pieces(data, offs):
         lo, hi = int(offs[i]), int(offs[j])
         if j > i + 1 or hi - lo <= PIECE:
-            h, _, _, first = scan(fold[data[lo:hi]], offs[i:j + 1] - lo, sep)
+            h, _, _, first = scan(fold(data[lo:hi]), offs[i:j + 1] - lo, sep)
             yield i, j, h, first
             continue
         parts, a = [], lo
@@ -195,13 +199,13 @@ def scanned(data: np.ndarray, offs: np.ndarray, fold: np.ndarray = LOWER,
                     b = min(b + PIECE, hi)
             if b < hi:
                 b = a + int(cut[-1]) + 1
-            parts.append(scan(fold[data[a:b]], np.array([0, b - a]), sep)[0])
+            parts.append(scan(fold(data[a:b]), np.array([0, b - a]), sep)[0])
             a = b
         h = np.concatenate(parts)
         yield i, j, h, np.array([0, len(h)])
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray, fold: np.ndarray = LOWER,
+def word_hashes(data: np.ndarray, offs: np.ndarray, fold=fold_ascii,
                 sep: np.ndarray = SPACE) -> Iterator[tuple[int, np.ndarray]]:
     """(text index, word hashes) of every text."""
     for i, j, h, first in scanned(data, offs, fold, sep):

@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. The distinct words of the benchmark items are the vocabulary (words:
-   lower-cased runs of other than space and \\t-\\r; a word outside it can add
-   nothing to a match). Every document is encoded once as vocabulary ids and
+1. The distinct words of the benchmark items are the vocabulary (words: runs
+   of other than space and \\t-\\r, ASCII and Latin-1 letters lowered; a word
+   outside it can add nothing to a match). Every document is encoded once as vocabulary ids and
    written; all later passes read that table.
 2. Document frequencies over all passages (PASSAGE words each) give idf.
 3. Distributed randomised SVD of the TF-IDF passage matrix A (features:
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import (HashSet, U, mix, py_word_hash, scanned, text_buffers, work_dir, written)
+from .common import (HashSet, U, fold_latin, mix, py_word_hash, scanned, text_buffers, work_dir, written)
 
 QUERY = "op6_latent_decontamination"
 ORACLE_SQL = None       # singular vectors have no SQL form
@@ -87,7 +87,7 @@ class Items:
 
     @staticmethod
     def _encode(text: str | None, words: dict[bytes, int]) -> list[int]:
-        b = (text or "").encode("utf-8", "replace").lower()
+        b = fold_latin(np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)).tobytes()
         return [words.setdefault(w, len(words) + 1) for w in b.split()]
 
 
@@ -115,7 +115,7 @@ def _encoder(hashes: np.ndarray):
                 part = batch.slice(lo, 1024)
                 data, offs = text_buffers(part.column(1))
                 out = []
-                for i, j, h, first in scanned(data, offs):
+                for i, j, h, first in scanned(data, offs, fold_latin):
                     ids = np.zeros(len(h), dtype="<u4" if len(hashes) > 65534 else "<u2")
                     pos, k = table.find(h)
                     ids[pos] = k + 1
