@@ -207,9 +207,13 @@ def _distinct_surrogates(entities: DataFrame, base: str, key: str) -> DataFrame:
     """(kind, canon, s) with one s per entity, unlike any other and any real
     entity of the kind."""
     real = entities.select(F.col("kind").alias("k"), F.col("canon").alias("r"))
+    tasks = max(entities.rdd.getNumPartitions(), 4 * entities.sparkSession.sparkContext
+                .defaultParallelism)
     todo, done, attempt = entities, None, 0
     while True:
-        drawn = written(todo.withColumn("s", surrogate(
+        # Draws cost far more than reading: a few megabytes of entities are
+        # work for many tasks.
+        drawn = written(todo.repartition(tasks).withColumn("s", surrogate(
             F.col("kind"), F.col("canon"), F.lit(attempt), key)), f"{base}/drawn-{attempt}")
         first = drawn.groupBy("kind", "s").agg(F.min("canon").alias("canon"))
         good = first.join(real, (F.col("kind") == F.col("k")) & (F.col("s") == F.col("r")),
