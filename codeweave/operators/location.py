@@ -87,9 +87,12 @@ def location_dependencies(g: CodeGraph, probes: DataFrame,
         "probe_id", F.col("element_id").alias("function_id"))
     calls = g.function_called.select("function_id", F.col("name").alias("callee"),
                                      F.col("module_name").alias("callee_module"), "site")
-    w = Window.partitionBy("probe_id").orderBy("callee", "site", "callee_module")
-    return (at.join(calls, "function_id").withColumn("__rn", F.row_number().over(w))
-            .filter(F.col("__rn") <= limit).drop("__rn"))
+    # A probe has one enclosing function: its callees are cut per function,
+    # so many probes in a function with many call sites never multiply.
+    w = Window.partitionBy("function_id").orderBy("callee", "site", "callee_module")
+    first = (calls.withColumn("__rn", F.row_number().over(w))
+             .filter(F.col("__rn") <= limit).drop("__rn"))
+    return at.join(first, "function_id")
 
 
 def function_context_items(g: CodeGraph, keys: Keys = None) -> DataFrame:

@@ -52,7 +52,15 @@ def similar_functions(corpus: DataFrame, keys: DataFrame | list | None = None,
     per representative contain every member's top ``limit`` once the
     member itself is removed. Output is at most ``limit`` rows per id.
     """
-    s = sets or similar_sets(corpus, threshold)
+    kdf = None
+    if isinstance(keys, DataFrame):
+        kdf = keys.select(F.col(keys.columns[0]).cast("long").alias("id")).distinct()
+    elif keys is not None:
+        if len(keys) > MAX_LITERAL_KEYS:
+            raise ValueError("too many literal keys; pass a DataFrame")
+        kdf = F.broadcast(corpus.sparkSession.createDataFrame([(int(x),) for x in keys],
+                                                              "id long"))
+    s = sets or similar_sets(corpus, threshold, keys=kdf)
     k = limit + 1
     small = _rank_limit(s.members, "rep", k, "id").select("rep", F.col("id").alias("member"))
     sym = s.pairs.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other"), "score") \
@@ -63,14 +71,7 @@ def similar_functions(corpus: DataFrame, keys: DataFrame | list | None = None,
             .unionByName(small.select("rep", F.lit(1.0).alias("score"), "member")))
     best = _rank_limit(cand, "rep", k, F.desc("score"), "member").drop("rank")
     ids = s.members.select("id", "rep")
-    if keys is not None:
-        if isinstance(keys, DataFrame):
-            kdf = keys.select(F.col(keys.columns[0]).cast("long").alias("id")).distinct()
-        else:
-            if len(keys) > MAX_LITERAL_KEYS:
-                raise ValueError("too many literal keys; pass a DataFrame")
-            kdf = F.broadcast(corpus.sparkSession.createDataFrame([(int(x),) for x in keys],
-                                                                  "id long"))
+    if kdf is not None:
         ids = ids.join(kdf, "id", "left_semi")
     out = (ids.join(best, "rep").filter(F.col("member") != F.col("id"))
            .select("id", F.col("member").alias("other_id"), "score"))

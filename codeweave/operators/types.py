@@ -150,9 +150,13 @@ def type_usage(g: CodeGraph, keys: Keys = None, module: str | None = None,
     t = restrict(_typed(g), kf, ["type_name"])
     if module:
         t = t.filter(F.col("module_name") == module)
-    sites = type_usage_sites(g, kf)
-    counts = sites.groupBy("type_name").agg(
-        F.count_distinct("function_id").alias("n_using_functions"))
+    # Functions are counted per distinct signature before the names meet them.
+    tn = restrict(g.types.select("type_name"), kf, ["type_name"])
+    per_sig = g.function.groupBy("function_signature").agg(F.count_distinct("id").alias("n"))
+    counts = (contains_pairs(tn, per_sig, "type_name", "function_signature")
+              .select(F.col("name").alias("type_name"), F.col("text").alias("function_signature"))
+              .join(per_sig, "function_signature").groupBy("type_name")
+              .agg(F.sum("n").alias("n_using_functions")))
     return (t.join(counts, "type_name", "left")
             .select("id", "type_name", or_default("type_of_type", C.UNKNOWN).alias("category"),
                     "module_name",

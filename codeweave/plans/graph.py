@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 CHECKPOINT_EVERY = 3
+HUB_SLOTS = 32
 
 
 def _edges(edges: DataFrame, src: str, dst: str, reverse: bool) -> DataFrame:
@@ -27,12 +28,21 @@ def _edges(edges: DataFrame, src: str, dst: str, reverse: bool) -> DataFrame:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """Merge partitions (no shuffle) back to the session's shuffle width.
-    Each round unions one more shuffled layer onto the state; without this
-    the partition count, and the files every checkpoint writes, would grow
-    by a full shuffle width per round."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(n) if df.rdd.getNumPartitions() > n else df
+    """Let AQE size the partitions of the state. Each round unions one more
+    shuffled layer onto it; without this the partition count, and the files
+    every checkpoint writes, would grow by a full shuffle width per round."""
+    return df.hint("rebalance")
+
+
+def _with_min(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the smallest v of the edge's u. The
+    rows of a hub are spread over ``HUB_SLOTS`` join keys: the minimum is
+    taken per (u, slot), then per u, and carried back to the slots."""
+    e = edges.withColumn("slot", F.pmod(F.xxhash64("v"), F.lit(HUB_SLOTS)))
+    per_slot = e.groupBy("u", "slot").agg(F.min("v").alias("m"))
+    per_node = per_slot.groupBy("u").agg(F.min("m").alias("m"))
+    slots = per_slot.select("u", "slot").join(per_node, "u")
+    return e.join(slots, ["u", "slot"]).select("u", "v", "m")
 
 
 def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "src",
@@ -112,14 +122,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         # Large star: every node links its larger neighbours to the
         # smallest node of its closed neighbourhood.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        mins = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (both.join(mins, "u").filter(F.col("v") > F.col("u"))
+        large = (_with_min(both).filter(F.col("v") > F.col("u"))
                  .select(F.col("v").alias("u"), F.least("m", "u").alias("v")))
         # Small star: every node links its smaller neighbours (and itself)
         # to the smallest of them.
         norm = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         smin = norm.groupBy("u").agg(F.min("v").alias("m"))
-        small = (norm.join(smin, "u")
+        small = (_with_min(norm)
                  .select(F.col("v").alias("a"), F.col("m").alias("b"))
                  .unionByName(smin.select(F.col("u").alias("a"), F.col("m").alias("b")))
                  .filter(F.col("a") != F.col("b"))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+COPY_SLOTS = 32
 TOKEN_PATTERN = r"[\p{L}]+"
 
 
@@ -38,6 +39,11 @@ def letter_tokens(text: Column) -> Column:
                                                               F.lit(TOKEN_PATTERN), 0)))
 
 
+def _set_key(toks: Column) -> Column:
+    """SHA-256 of a token set (letters only, so the joined form is unique)."""
+    return F.unhex(F.sha2(F.array_join(toks, " "), 256))
+
+
 def _fraction(t: float) -> tuple[int, int]:
     if not 0 < t <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -52,28 +58,34 @@ class SimilarSets:
 
 
 def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
-                 text_col: str = "text", materialize: bool = True) -> SimilarSets:
+                 text_col: str = "text", materialize: bool = True,
+                 keys: DataFrame | None = None) -> SimilarSets:
     """Members and qualifying pairs. With ``materialize`` (default) both
     are checkpointed once, since every consumer reads them several times
-    (top-k, components, group means)."""
+    (top-k, components, group means). ``keys`` (a frame with an ``id``
+    column) keeps the pairs that touch the set of one of these ids; only
+    those sets then probe the others."""
     num, den = _fraction(threshold)
-    spark = corpus.sparkSession
     base = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # Tokenising is CPU-bound per row: when the input has fewer splits
-    # than the session has cores (a small file), spread it first. Large
-    # inputs already arrive in many splits and are left alone.
-    par = spark.sparkContext.defaultParallelism
-    if base.rdd.getNumPartitions() < par:
-        base = base.repartition(par)
-    toks = base.select("id", letter_tokens(F.col("text")).alias("toks")).filter(F.size("toks") > 0)
+    # Tokenising is CPU-bound per row and a file's splits may be few and
+    # uneven, so the rows are spread by id first.
+    base = base.repartition("id")
+    toks = (base.select("id", letter_tokens(F.col("text")).alias("toks"))
+            .filter(F.size("toks") > 0).withColumn("h", _set_key(F.col("toks"))))
     if materialize:
         toks = cut_lineage(toks)        # read by the grouping and the member join
     # One representative per distinct token set (exact: grouped by the set).
-    sets = toks.groupBy("toks").agg(F.min("id").alias("rep"))
-    members = toks.join(sets, "toks").select("id", "rep", F.size("toks").alias("n_tokens"))
-    reps = sets.select("rep", "toks", F.size("toks").alias("n"))
+    reps = toks.groupBy("toks").agg(F.min("id").alias("rep")).select(
+        "rep", "toks", F.size("toks").alias("n"), _set_key(F.col("toks")).alias("h"))
     if materialize:
-        reps = cut_lineage(reps)        # read by postings and by verification
+        reps = cut_lineage(reps)        # read by members, postings and verification
+    # Members meet their representative by key, without the tokens. The
+    # copies of a hot text are spread over COPY_SLOTS join keys; the slots in
+    # use fetch the representative first.
+    slotted = toks.select("id", "h", F.size("toks").alias("n_tokens"),
+                          F.pmod(F.xxhash64("id"), F.lit(COPY_SLOTS)).alias("slot"))
+    slots = slotted.select("h", "slot").distinct().join(reps.select("h", "rep"), "h")
+    members = slotted.join(slots, ["h", "slot"]).select("id", "rep", "n_tokens")
 
     # Global token order: rarest first (frequency over the distinct sets),
     # ties by token. A range-partitioned sort numbered with
@@ -121,15 +133,22 @@ def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
                       F.col("pos").alias("pb"), length_class(F.col("n")).alias("cls"))
     # overlap needed: ceil(t/(1+t) * (na+nb)) = ceil(num*(na+nb) / (num+den))
     alpha = ((F.col("na") + F.col("nb")) * num + (num + den - 1)) / (num + den)
+    order = F.col("rep_a") < F.col("rep_b")
+    if keys is not None:
+        probe = members.join(keys.select("id").distinct(), "id", "left_semi").select(
+            F.col("rep").alias("rep_a")).distinct()
+        a = a.join(probe, "rep_a", "left_semi")
+        order = F.col("rep_a") != F.col("rep_b")
     cand = (a.join(b, ["tok", "cls"])
-            .filter(F.col("rep_a") < F.col("rep_b"))
+            .filter(order)
             .filter((F.col("nb") * den >= F.col("na") * num)
                     & (F.col("na") * den >= F.col("nb") * num))
             # positional filter: the rest of both sets after this shared
             # token can still supply the needed overlap
             .filter(F.lit(1) + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
                     >= F.floor(alpha))
-            .select("rep_a", "rep_b").distinct())
+            .select(F.least("rep_a", "rep_b").alias("rep_a"),
+                    F.greatest("rep_a", "rep_b").alias("rep_b")).distinct())
     ta = ranked.select(F.col("rep").alias("rep_a"), F.col("gs").alias("ta"))
     tb = ranked.select(F.col("rep").alias("rep_b"), F.col("gs").alias("tb"))
     inter = F.size(F.array_intersect("ta", "tb"))

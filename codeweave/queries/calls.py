@@ -9,14 +9,25 @@ _E = ", e AS (SELECT DISTINCT caller_id AS src, callee_id AS dst FROM cg_functio
 _KEEP = ("({m} IS NULL OR position('NATION_1' IN {m}) > 0 "
          "OR position('NATION_2' IN {m}) > 0)")
 _MODS = ["NATION_1", "NATION_2"]
+_ROOT = f"""(SELECT id FROM cg_function WHERE module_name = (
+  SELECT min(module_name) FROM cg_function WHERE {_KEEP.format(m='module_name')}))"""
+
+
+def _root_keys(g):
+    """The functions of the first module (by name) that passes the filter.
+    The graph is dense: from every root, a walk of depth 3 lists nearly
+    every pair of functions."""
+    first = (g.function.filter(op.module_filter(F.col("module_name"), _MODS))
+             .agg(F.min("module_name").alias("module_name")))
+    return g.function.join(first, "module_name").select("name", "module_name")
 
 
 @register("call_neighbours", f"""
 {_E},
 fw(root, node, depth) AS (SELECT id, id, 0 FROM cg_function
-  UNION SELECT fw.root, e.dst, fw.depth + 1 FROM fw JOIN e ON e.src = fw.node WHERE fw.depth < 2),
+  UNION SELECT fw.root, e.dst, fw.depth + 1 FROM fw JOIN e ON e.src = fw.node WHERE fw.depth < 1),
 bw(root, node, depth) AS (SELECT id, id, 0 FROM cg_function
-  UNION SELECT bw.root, e.src, bw.depth + 1 FROM bw JOIN e ON e.dst = bw.node WHERE bw.depth < 2),
+  UNION SELECT bw.root, e.src, bw.depth + 1 FROM bw JOIN e ON e.dst = bw.node WHERE bw.depth < 1),
 r AS (SELECT root, node, 'callee' AS direction, min(depth) AS depth FROM fw
         WHERE node <> root GROUP BY root, node
       UNION ALL SELECT root, node, 'caller', min(depth) FROM bw
@@ -26,15 +37,34 @@ SELECT r.root AS root_id, rf.name AS root_name, r.direction, r.node AS function_
 FROM r JOIN cg_function rf ON rf.id = r.root LEFT JOIN cg_function f ON f.id = r.node
 """, recursive=True)
 def call_neighbours(g, spark, sf_dir):
-    """Every function as a root, depth 2, callers and callees."""
-    return op.call_neighbours(g, None, depth=2)
+    """Every function as a root, depth 1, callers and callees."""
+    return op.call_neighbours(g, None, depth=1)
+
+
+@register("call_neighbours_keyed", f"""
+{_E},
+fw(root, node, depth) AS (SELECT id, id, 0 FROM cg_function WHERE id IN {_ROOT}
+  UNION SELECT fw.root, e.dst, fw.depth + 1 FROM fw JOIN e ON e.src = fw.node WHERE fw.depth < 2),
+bw(root, node, depth) AS (SELECT id, id, 0 FROM cg_function WHERE id IN {_ROOT}
+  UNION SELECT bw.root, e.src, bw.depth + 1 FROM bw JOIN e ON e.dst = bw.node WHERE bw.depth < 2),
+r AS (SELECT root, node, 'callee' AS direction, min(depth) AS depth FROM fw
+        WHERE node <> root GROUP BY root, node
+      UNION ALL SELECT root, node, 'caller', min(depth) FROM bw
+        WHERE node <> root GROUP BY root, node)
+SELECT r.root AS root_id, rf.name AS root_name, r.direction, r.node AS function_id,
+  f.name AS function, f.module_name, CAST(r.depth AS BIGINT) AS depth
+FROM r JOIN cg_function rf ON rf.id = r.root LEFT JOIN cg_function f ON f.id = r.node
+""", recursive=True)
+def call_neighbours_keyed(g, spark, sf_dir):
+    """O10 keyed by one module's functions, depth 2, callers and callees."""
+    return op.call_neighbours(g, _root_keys(g), depth=2)
 
 
 @register("call_tree", f"""
 {_E},
 t(root, depth, path, parent_id, function_id) AS (
   SELECT f.id, 0, [f.id], CAST(NULL AS BIGINT), f.id FROM cg_function f
-  WHERE {_KEEP.format(m='f.module_name')}
+  WHERE f.id IN {_ROOT}
   UNION ALL
   SELECT t.root, t.depth + 1, list_append(t.path, e.dst), t.function_id, e.dst
   FROM t JOIN e ON e.src = t.function_id JOIN cg_function f ON f.id = e.dst
@@ -44,8 +74,8 @@ SELECT t.root AS root_id, CAST(t.depth AS BIGINT) AS depth, array_to_string(t.pa
 FROM t JOIN cg_function f ON f.id = t.function_id
 """, recursive=True)
 def call_tree(g, spark, sf_dir):
-    """O15 tree: every function as a root, depth 3, module filter; path as text."""
-    return op.call_tree(g, None, 3, _MODS).withColumn(
+    """O15 tree: one module's functions as roots, depth 3, module filter; path as text."""
+    return op.call_tree(g, _root_keys(g), 3, _MODS).withColumn(
         "path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
@@ -54,7 +84,7 @@ _FLAT = f"""
 e AS (SELECT DISTINCT caller_id AS src, callee_id AS dst FROM cg_function_dependency
       WHERE callee_id IN (SELECT id FROM ok)),
 w(root, node, depth) AS (SELECT id, id, 0 FROM cg_function
-    WHERE id IN (SELECT id FROM ok)
+    WHERE id IN {_ROOT}
   UNION SELECT w.root, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3),
 flat AS (SELECT w.root AS root_id, w.node AS function_id, f.name AS function, f.module_name,
     CAST(min(w.depth) AS BIGINT) AS depth
@@ -64,8 +94,8 @@ flat AS (SELECT w.root AS root_id, w.node AS function_id, f.name AS function, f.
 
 @register("call_graph_flat", _FLAT + "SELECT * FROM flat", recursive=True)
 def call_graph_flat(g, spark, sf_dir):
-    """O15 flat: every function as a root; each node once with its shortest depth."""
-    return op.call_graph_flat(g, None, 3, _MODS)
+    """O15 flat: one module's functions as roots; each node once with its shortest depth."""
+    return op.call_graph_flat(g, _root_keys(g), 3, _MODS)
 
 
 @register("call_graph_edges", _FLAT + """
@@ -74,5 +104,5 @@ FROM flat JOIN cg_function_dependency d ON d.caller_id = flat.function_id
 WHERE flat.depth < 3
 """, recursive=True)
 def call_graph_edges(g, spark, sf_dir):
-    """O15 graph, every root: edges out of kept nodes above the depth bound."""
-    return op.call_graph_edges(g, None, 3, _MODS)
+    """O15 graph, the same roots: edges out of kept nodes above the depth bound."""
+    return op.call_graph_edges(g, _root_keys(g), 3, _MODS)

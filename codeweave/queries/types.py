@@ -1,5 +1,7 @@
 """Type operators on the fixture graph."""
 
+from pyspark.sql import functions as F
+
 from ..operators import types as op
 from ..registry import register
 
@@ -7,6 +9,14 @@ _CAT = "coalesce(nullif(t.type_of_type, ''), 'Unknown')"
 _EDGES = ", e AS (SELECT DISTINCT dependent_id AS src, dependency_id AS dst FROM cg_type_dependency)"
 
 
+def _first_type(g) -> tuple[str, str]:
+    """(type name, module name) of the first type by id: an argument that
+    exists at every scale."""
+    m = g.module.select(F.col("id").alias("module_id"), F.col("name").alias("module_name"))
+    return tuple(g.types.join(m, "module_id").orderBy("id")
+                 .select("type_name", "module_name").first())
+
+
 @register("list_types", f"""
 SELECT t.id, t.type_name, {_CAT} AS category, m.name AS module_name, t.src_file, t.line_start,
   t.line_end
@@ -23,12 +33,13 @@ def list_types(g, spark, sf_dir):
 SELECT t.id, t.type_name, {_CAT} AS category, m.name AS module_name, t.src_file, t.line_start,
   t.line_end
 FROM cg_type t LEFT JOIN cg_module m ON m.id = t.module_id
-WHERE m.name = 'NATION_9.Supplier_000000010'
+WHERE m.name = (SELECT m1.name FROM cg_type t1 JOIN cg_module m1 ON m1.id = t1.module_id
+  ORDER BY t1.id LIMIT 1)
 ORDER BY t.type_name, t.id LIMIT 100
 """)
 def list_types_module(g, spark, sf_dir):
     """Exact module name only."""
-    return op.list_types(g, module="NATION_9.Supplier_000000010")
+    return op.list_types(g, module=_first_type(g)[1])
 
 
 @register("search_types", f"""
@@ -179,7 +190,8 @@ def nested_types(g, spark, sf_dir):
 _REL = f"""
 {_EDGES},
 fw(root, node, depth) AS (SELECT t.id, t.id, 0 FROM cg_type t JOIN cg_module m ON m.id = t.module_id
-    WHERE t.type_name = 'BUILDING_10' AND m.name = 'NATION_9.Supplier_000000010'
+    WHERE (t.type_name, m.name) = (SELECT (t1.type_name, m1.name) FROM cg_type t1
+      JOIN cg_module m1 ON m1.id = t1.module_id ORDER BY t1.id LIMIT 1)
   UNION SELECT fw.root, e.dst, fw.depth + 1 FROM fw JOIN e ON e.src = fw.node WHERE fw.depth < 2),
 nodes AS (SELECT fw.node AS type_id, t.type_name, m.name AS module_name,
     CAST(min(fw.depth) AS BIGINT) AS depth
@@ -190,8 +202,8 @@ nodes AS (SELECT fw.node AS type_id, t.type_name, m.name AS module_name,
 
 @register("type_relationships_nodes", _REL + "SELECT * FROM nodes", recursive=True)
 def type_relationships_nodes(g, spark, sf_dir):
-    """O24 subgraph nodes (depth 2) of BUILDING_10 in one module."""
-    return op.type_relationships(g, "BUILDING_10", "NATION_9.Supplier_000000010").nodes
+    """O24 subgraph nodes (depth 2) of the first type (by id), in its module."""
+    return op.type_relationships(g, *_first_type(g)).nodes
 
 
 @register("type_relationships_edges", _REL + """
@@ -202,7 +214,7 @@ WHERE e.src IN (SELECT type_id FROM nodes)
 """, recursive=True)
 def type_relationships_edges(g, spark, sf_dir):
     """O24 edges leaving the subgraph nodes."""
-    return op.type_relationships(g, "BUILDING_10", "NATION_9.Supplier_000000010").edges
+    return op.type_relationships(g, *_first_type(g)).edges
 
 
 @register("type_relationships_dependents", _REL + """
@@ -212,4 +224,4 @@ WHERE e.dst IN (SELECT type_id FROM nodes) AND e.src NOT IN (SELECT type_id FROM
 """, recursive=True)
 def type_relationships_dependents(g, spark, sf_dir):
     """O24 reverse dependencies: outside types with an edge into the subgraph."""
-    return op.type_relationships(g, "BUILDING_10", "NATION_9.Supplier_000000010").dependents
+    return op.type_relationships(g, *_first_type(g)).dependents

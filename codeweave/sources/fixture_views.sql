@@ -35,7 +35,7 @@ cg_function_body AS (SELECT x.id, d.text AS raw_string
   JOIN documents d ON x.dk = d.doc_id),
 cg_where_function AS (SELECT l_partkey AS parent_function_id,
     concat('go', cast(l_suppkey AS string)) AS name
-  FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 45),
+  FROM lineitem),
 cg_function_called AS (SELECT x.function_id, f.id AS callee_id, f.name,
     CASE WHEN x.site = 7 THEN NULL ELSE f.module_name END AS module_name, x.site
   FROM (SELECT l_partkey AS function_id, l_linenumber AS site,
@@ -44,7 +44,7 @@ cg_function_called AS (SELECT x.function_id, f.id AS callee_id, f.name,
 cg_function_dependency AS (SELECT DISTINCT x.caller_id, x.callee_id
   FROM (SELECT l_partkey AS caller_id,
       (l_orderkey * 7 + l_linenumber * 13 + l_suppkey) % (SELECT nf FROM dims) AS callee_id
-    FROM lineitem WHERE l_quantity >= 48) x),
+    FROM lineitem) x),
 cg_import AS (SELECT x.o_orderkey AS id, x.module_id, m.name AS module_name,
     CASE WHEN x.o_orderstatus = 'F' THEN NULL
       WHEN x.o_orderkey % 4 = 0 THEN concat('Test-', lower(x.o_orderpriority))
@@ -67,7 +67,7 @@ cg_field AS (SELECT x.constructor_id, x.field_name, t.type_name AS field_type_ra
 cg_type_dependency AS (SELECT DISTINCT x.dependent_id, x.dependency_id
   FROM (SELECT o_custkey AS dependent_id,
       (o_orderkey * 11 + o_custkey) % ((SELECT nt FROM dims) + 50) AS dependency_id
-    FROM orders WHERE o_orderkey % 5 = 0) x
+    FROM orders) x
   WHERE x.dependent_id <> x.dependency_id),
 cg_class AS (SELECT x.id, x.class_name, x.module_id,
     concat('class ', x.class_name, ' a where') AS class_definition, m.path AS src_file,
