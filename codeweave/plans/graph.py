@@ -58,7 +58,9 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "s
     """
     e = _edges(edges, src, dst, reverse).persist(StorageLevel.MEMORY_AND_DISK)
     cached = [e]
-    start = roots.select("root", "node").distinct()
+    # Read by every round: derived once.
+    start = roots.select("root", "node").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    cached.append(start)
     # visited holds (root, node, depth); depth 0 rows are the roots.
     visited = start.withColumn("depth", F.lit(0))
     frontier = start

@@ -4,8 +4,9 @@ AllPairs / PPJoin (Bayardo et al. 2007; Xiao et al. 2008): order every
 token set by global token frequency (rarest first). Two sets with
 Jaccard >= t must share a token among the first ``n - ceil(t*n) + 1``
 tokens of each ("prefix"), so an equi-join on prefix tokens finds every
-qualifying pair; a length filter ``t*|a| <= |b| <= |a|/t`` and a
-positional filter prune candidates before exact verification.
+qualifying pair; a length filter ``t*|a| <= |b| <= |a|/t``, a positional
+filter and a bound from 512 parity bits per set prune candidates before
+their token arrays are fetched for exact verification.
 
 Identical token sets are collapsed first: every distinct set is one
 *representative* (the smallest id holding it), so a corpus where a third
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 COPY_SLOTS = 32
+PARITY = [f"w{i}" for i in range(8)]
 TOKEN_PATTERN = r"[\p{L}]+"
 
 
@@ -44,6 +46,24 @@ def _set_key(toks: Column) -> Column:
     return F.unhex(F.sha2(F.array_join(toks, " "), 256))
 
 
+def _parity_words(g: Column) -> list[Column]:
+    """Aggregates over a set's token ranks: ``len(PARITY)`` words of 64 bits,
+    each bit the parity of how many tokens hash to it."""
+    bit = F.pmod(F.xxhash64(g), F.lit(64 * len(PARITY)))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    return [F.bit_xor(F.when(F.floor(bit / 64) == w, mask).otherwise(F.lit(0).cast("long")))
+            .alias(name) for w, name in enumerate(PARITY)]
+
+
+def _parity_distance(a: str, b: str) -> Column:
+    """Number of differing parity bits: a lower bound of the number of
+    tokens that are in one set only."""
+    out = F.lit(0)
+    for name in PARITY:
+        out = out + F.bit_count(F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}")))
+    return out
+
+
 def _fraction(t: float) -> tuple[int, int]:
     if not 0 < t <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -70,8 +90,10 @@ def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
     # Tokenising is CPU-bound per row and a file's splits may be few and
     # uneven, so the rows are spread by id first.
     base = base.repartition("id")
-    toks = (base.select("id", letter_tokens(F.col("text")).alias("toks"))
-            .filter(F.size("toks") > 0).withColumn("h", _set_key(F.col("toks"))))
+    # The filter looks for one letter; on the tokens it would cut them twice.
+    toks = (base.filter(F.lower("text").rlike(TOKEN_PATTERN))
+            .select("id", letter_tokens(F.col("text")).alias("toks"))
+            .withColumn("h", _set_key(F.col("toks"))))
     if materialize:
         toks = cut_lineage(toks)        # read by the grouping and the member join
     # One representative per distinct token set (exact: grouped by the set).
@@ -100,14 +122,14 @@ def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
     # tokens per group). The prefix is then a slice, and verification
     # intersects arrays of longs.
     ranked = (posting.join(vocab, "tok").groupBy("rep")
-              .agg(F.array_sort(F.collect_list("g")).alias("gs"))
-              .select("rep", F.size("gs").alias("n"), "gs"))
+              .agg(F.array_sort(F.collect_list("g")).alias("gs"), *_parity_words(F.col("g")))
+              .select("rep", F.size("gs").alias("n"), "gs", F.struct(*PARITY).alias("sig")))
     if materialize:
         ranked = cut_lineage(ranked)
     need = ((F.col("n") * num + (den - 1)) / den).cast("int")       # ceil(t * n), integer
-    prefix = (ranked.select("rep", "n", F.posexplode(
+    prefix = (ranked.select("rep", "n", "sig", F.posexplode(
         F.slice("gs", F.lit(1), F.col("n") - need + 1)).alias("pos0", "tok"))
-        .select("tok", "rep", "n", (F.col("pos0") + 1).alias("pos")))
+        .select("tok", "rep", "n", "sig", (F.col("pos0") + 1).alias("pos")))
 
     # Length classes: geometric buckets of ratio 1/t (exact lengths when
     # t = 1). A set of length n can only pair with lengths in
@@ -127,10 +149,11 @@ def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
     lo = ((F.col("n") * num + (den - 1)) / den).cast("long")
     hi = ((F.col("n") * den) / num).cast("long")
     a = prefix.select("tok", F.col("rep").alias("rep_a"), F.col("n").alias("na"),
-                      F.col("pos").alias("pa"),
+                      F.col("pos").alias("pa"), F.col("sig").alias("sa"),
                       F.explode(F.sequence(length_class(lo), length_class(hi))).alias("cls"))
     b = prefix.select("tok", F.col("rep").alias("rep_b"), F.col("n").alias("nb"),
-                      F.col("pos").alias("pb"), length_class(F.col("n")).alias("cls"))
+                      F.col("pos").alias("pb"), F.col("sig").alias("sb"),
+                      length_class(F.col("n")).alias("cls"))
     # overlap needed: ceil(t/(1+t) * (na+nb)) = ceil(num*(na+nb) / (num+den))
     alpha = ((F.col("na") + F.col("nb")) * num + (num + den - 1)) / (num + den)
     order = F.col("rep_a") < F.col("rep_b")
@@ -147,6 +170,10 @@ def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
             # token can still supply the needed overlap
             .filter(F.lit(1) + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
                     >= F.floor(alpha))
+            # parity filter: the sets may differ in na + nb - 2 alpha
+            # tokens, and their parity bits differ in no more than that
+            .filter(_parity_distance("sa", "sb")
+                    <= F.col("na") + F.col("nb") - 2 * F.floor(alpha))
             .select(F.least("rep_a", "rep_b").alias("rep_a"),
                     F.greatest("rep_a", "rep_b").alias("rep_b")).distinct())
     ta = ranked.select(F.col("rep").alias("rep_a"), F.col("gs").alias("ta"))

@@ -6,10 +6,9 @@ hold it). An equi-join on that q-gram yields a candidate set that is a
 superset of the true matches (every text containing the name contains
 all its q-grams), and ``contains`` verifies. Names of length 1 or 2 are
 keyed by themselves among the texts' distinct 1- and 2-grams. What is
-shuffled per q-gram is the q-gram and a text id, never the text, and only
-for q-grams that occur in some name: the bytes grow linearly with the
-length of the texts. The postings are computed twice (once to count, with
-map-side combine, once to join), which is cheaper than storing them. The
+shuffled per q-gram is the q-gram and a text id, never the text: the bytes
+grow linearly with the length of the texts. The postings are computed twice
+(to count, with map-side combine, and to join) rather than stored. The
 answer equals ``text LIKE '%' || name || '%'`` with the name taken
 literally. Empty names are skipped (they are not names).
 """
@@ -39,24 +38,18 @@ def contains_pairs(names: DataFrame, texts: DataFrame, name_col: str = "name",
     dt = (texts.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).distinct()
           .withColumn("tid", F.xxhash64("text")))
 
-    # Postings hold (q-gram, text id) for the q-grams that occur in a name.
-    def postings(q: int, wanted: DataFrame) -> DataFrame:
-        return (dt.select("tid", F.explode(_grams(F.col("text"), q)).alias("g"))
-                .join(wanted.select("g").distinct(), "g", "left_semi"))
-
-    long_names = dn.filter(F.length("name") >= Q)
-    name_grams = long_names.select("name", F.explode(_grams(F.col("name"), Q)).alias("g"))
-    post = postings(Q, name_grams)
+    # Postings: the distinct 1-, 2- and 3-grams of every text, with its id.
+    t = F.col("text")
+    post = dt.select("tid", F.explode(F.concat(*[_grams(t, q) for q in range(1, Q + 1)])).alias("g"))
     freq = post.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = name_grams.join(freq, "g", "left").select(
-        "name", "g", F.coalesce("df", F.lit(0)).alias("df"))
-    # A q-gram that no text holds rules the name out (the minimum picks it).
-    rarest = ranked.groupBy("name").agg(F.min(F.struct("df", "g")).alias("r")).select(
-        "name", F.col("r.g").alias("g"), F.col("r.df").alias("df")).filter(F.col("df") > 0)
+    n = F.col("name")
+    name_grams = dn.select("name", F.explode(
+        F.when(F.length(n) >= Q, _grams(n, Q)).otherwise(F.array(n))).alias("g"))
+    # Inner join: a name with a q-gram that no text holds loses only that
+    # q-gram here, and its candidates fail the verification below.
+    rarest = (name_grams.join(freq, "g").groupBy("name")
+              .agg(F.min(F.struct("df", "g")).alias("r")).select("name", F.col("r.g").alias("g")))
     cand = rarest.join(post, "g").select("name", "tid")
-    for q in range(1, Q):
-        short = dn.filter(F.length("name") == q).withColumn("g", F.col("name"))
-        cand = cand.unionByName(short.join(postings(q, short), "g").select("name", "tid"))
     # One join back to the texts. Two texts that share an id are both
     # fetched and both verified, so the answer does not rest on the hash.
     return (cand.distinct().join(dt, "tid").filter(F.col("text").contains(F.col("name")))

@@ -171,3 +171,20 @@ def test_pattern_pushdown_and_column_pruning(spark, scratch):
     # the function scan reads only the four columns the score needs
     assert "ReadSchema: struct<id:bigint,name:string,module_name:string,function_signature:string>" in cplan
     assert "src_file" not in cplan and "raw_string" not in cplan
+
+
+def test_keyed_similarity_equals_the_full_answer_for_the_keys(spark):
+    _, df = _corpus(spark, n=40, seed=9)
+    cols = ("id", "other_id", "score", "rank")
+    full = {tuple(r[c] for c in cols)
+            for r in similar_functions(df, threshold=0.6, limit=3).collect() if r["id"] in (4, 10)}
+    keyed = {tuple(r[c] for c in cols)
+             for r in similar_functions(df, keys=[4, 10], threshold=0.6, limit=3).collect()}
+    assert keyed == full and full
+
+
+def test_components_of_a_hub(spark):
+    edges = [(500, i) for i in range(1, 200)] + [(700, 701)]
+    got = {r["node"]: r["component"] for r in connected_components(
+        spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 200)}, 500: 1, 700: 700, 701: 700}
