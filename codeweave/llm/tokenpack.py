@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -210,11 +211,13 @@ _POINT = np.zeros(256, dtype=bool)
 _POINT[list(b".,")] = True
 
 
-def cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+def cuts(buf: np.ndarray, offs: np.ndarray, added: re.Pattern | None = None) -> np.ndarray:
     """Places where the byte-level pre-tokeniser surely starts a piece, the
     start of every non-empty text included: before a space unless white
     space stands on both sides, before . or , after a letter or digit,
-    before a line feed after a visible character, and after a single one."""
+    before a line feed after a visible character, and after a single one.
+    White space before a match of ``added`` (the added tokens) ends there as
+    at a text's end, so its last character is no start, nor is the match."""
     n = len(buf)
     begin = offs[:-1][offs[:-1] < offs[1:]]
     end = offs[1:][offs[:-1] < offs[1:]] - 1
@@ -236,6 +239,9 @@ def cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     line = buf == 0x0A
     cut |= line & ~shut
     cut |= (prev == 0x0A) & ~_MAYBE_WS_PREV[before] & ~_MAYBE_WS_PREV[buf]
+    if added:
+        for m in added.finditer(buf):
+            cut[max(0, m.start() - 1):m.end()] = False
     cut[begin] = True
     return np.flatnonzero(cut)
 
@@ -252,7 +258,9 @@ class PieceEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # tasks are the parallelism
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(marks, key=len, reverse=True)))
+                                .encode()) if marks else None
         # Ids whose piece starts with the (byte-level form of) a space: in a
         # run of space-led pieces they open one each.
         vocab = self.tok.get_vocab()
@@ -275,9 +283,11 @@ class PieceEncoder:
         """(ids, ids per piece) of unknown pieces, many in one call."""
         runs, alone = [], []
         for k, p in enumerate(pieces_):
-            # A line feed or a second space inside keeps a piece out of runs.
+            # A line feed, a second space or an added token inside keeps a
+            # piece out of runs.
             (runs if p[0] == " " and len(p) > 1 and not p[1].isspace()
-             and not p[-1].isspace() and " " not in p[1:] else alone).append(k)
+             and not p[-1].isspace() and " " not in p[1:]
+             and not (self.added and self.added.search(p.encode())) else alone).append(k)
         parts: list[np.ndarray | None] = [None] * len(pieces_)
         for lo in range(0, len(runs), RUN):
             some = runs[lo:lo + RUN]
@@ -298,7 +308,7 @@ class PieceEncoder:
         buf, offs = data[lo:int(offs[-1])], offs - lo
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
-        start = cuts(buf, offs)
+        start = cuts(buf, offs, self.added)
         h = span_hashes(buf, start, np.append(start[1:], len(buf)))
         slot = (h >> U(64 - SLOT_BITS)).astype(np.int64)
         at, count = self.at[slot], self.len[slot]

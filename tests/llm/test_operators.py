@@ -54,6 +54,32 @@ def test_token_report(docs):
     assert tokenpack.tokens_report(docs([])).count() == 0
 
 
+def _fresh_tokenizer():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(tokenpack.tokenizer_path())
+
+
+def test_added_tokens_keep_their_id():
+    tok, enc = _fresh_tokenizer(), tokenpack.PieceEncoder(tokenpack.tokenizer_path())
+    random.seed(8)
+    texts = ["y <|endoftext|> z", "<|endoftext|>", "a  <|endoftext|>  b", "a\n <|endoftext|>\n\nb"]
+    texts += ["".join(random.choice([*"ab' \n\t.,é\u00a0", "  ", "<|endoftext|>", "<|endof"])
+                      for _ in range(random.randrange(30))) for _ in range(3000)]
+    data, offs = text_buffers(pa.array(texts))
+    ids, n = enc.encode(data, offs)
+    assert ids[:4].tolist() == [88, 220, 50256, 1976]
+    for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert tok.encode(t, add_special_tokens=False).ids == got.tolist()
+
+
+def test_report_of_a_text_with_an_added_token(docs):
+    tok, text = _fresh_tokenizer(), "y <|endoftext|> z"
+    ids = tok.encode(text, add_special_tokens=False).ids + [0]
+    got = tokenpack.tokens_report(docs([(1, text, "a"), (2, "after", "a")])).orderBy("start").collect()
+    assert tuple(got[0]) == (1, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert got[1].start == len(ids)
+
+
 # ---------------------------------------------------------------- op2
 
 def _brute(rows, percent=85):
