@@ -9,7 +9,9 @@ documents are linked when ``100 * |A & B| >= percent * |A | B|``.
    optimal densification (a hash sequence per bin, tried in order).
 2. Documents with equal sets form one class (128-bit set hash and size);
    everything later works on classes, so copies never form pairs.
-3. Bands of 6 bins give bucket keys. Each bucket emits a star: its centre
+3. Bands of bins give bucket keys: the longest bands under which a pair at
+   the threshold shares no bucket with probability below MISS (6 bins at 85
+   percent, 4 at 80). Each bucket emits a star: its centre
    paired with every member, never all pairs.
 4. Every candidate pair is confirmed on the full sets (exact integers).
    The centre is the class with most collisions over all its buckets.
@@ -20,8 +22,6 @@ documents are linked when ``100 * |A & B| >= percent * |A | B|``.
    and confirmed. So no link between classes that share a bucket is missed.
 6. Components by contraction (``plans.labels``).
 
-A pair at similarity 0.85 shares no band with probability below 1e-6.
-
 Defined cases: null or blank text has an empty set, is linked to nothing and
 is its own component; repeated rows fall in one class; a null doc_id never
 names a component unless all ids of the component are null. Sets are
@@ -45,7 +45,7 @@ ORACLE_SQL = None       # the components need a fixpoint over all similar pairs
 
 SHINGLE = 5
 BINS = 192
-BAND = 6
+MISS = 1e-6
 PERCENT = 85
 SALT_ROWS = 512         # members of one centre or bucket that share a join key
 
@@ -106,12 +106,18 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return sig
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    n_bands = BINS // BAND
+def band_size(percent: int) -> int:
+    """Bins a band, as many as keep the chance to miss a pair below MISS."""
+    fit = [b for b in (6, 4, 3, 2) if (1 - (percent / 100) ** b) ** (BINS // b) < MISS]
+    return fit[0] if fit else 1
+
+
+def band_keys(sig: np.ndarray, band: int) -> np.ndarray:
+    n_bands = BINS // band
     with np.errstate(over="ignore"):
         k = np.zeros((len(sig), n_bands), dtype=np.uint64)
-        part = sig.reshape(len(sig), n_bands, BAND)
-        for j in range(BAND):
+        part = sig.reshape(len(sig), n_bands, band)
+        for j in range(band):
             k = mix(k * U(0x9FB21C651E98DF25) + part[:, :, j])
         k += np.arange(n_bands, dtype=np.uint64)[None, :] * U(0x9E3779B97F4A7C15)
     return mix(k).view(np.int64)
@@ -123,27 +129,29 @@ def _node(u: np.ndarray) -> int:
         return int(mix(u.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1024):
-            part = batch.slice(lo, 1024)
-            data, offs = text_buffers(part.column(1))
-            sets = [shingle_hashes(w) for _, w in word_hashes(data, offs)]
-            n = np.array([len(u) for u in sets], dtype=np.int64)
-            with np.errstate(over="ignore"):
-                h1 = np.array([u.sum(dtype=np.uint64) for u in sets], dtype=np.uint64)
-                h2 = np.array([mix(u ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                               for u in sets], dtype=np.uint64)
-            keys = band_keys(sketches(sets))
-            live = n > 0
-            width = keys.shape[1]
-            off = np.concatenate([[0], np.cumsum(np.where(live, width, 0))]).astype(np.int32)
-            bands = pa.ListArray.from_arrays(off, pa.array(keys[live].ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array(n), pa.array(mix(h1).view(np.int64)),
-                 pa.array(h2.view(np.int64)), bands,
-                 *part.columns[2:]],
-                names=["doc_id", "n_shingles", "node", "check", "bands", *part.schema.names[2:]])
+def _sketcher(band: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                data, offs = text_buffers(part.column(1))
+                sets = [shingle_hashes(w) for _, w in word_hashes(data, offs)]
+                n = np.array([len(u) for u in sets], dtype=np.int64)
+                with np.errstate(over="ignore"):
+                    h1 = np.array([u.sum(dtype=np.uint64) for u in sets], dtype=np.uint64)
+                    h2 = np.array([mix(u ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+                                   for u in sets], dtype=np.uint64)
+                keys = band_keys(sketches(sets), band)
+                live = n > 0
+                width = keys.shape[1]
+                off = np.concatenate([[0], np.cumsum(np.where(live, width, 0))]).astype(np.int32)
+                bands = pa.ListArray.from_arrays(off, pa.array(keys[live].ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).cast(pa.int64()), pa.array(n), pa.array(mix(h1).view(np.int64)),
+                     pa.array(h2.view(np.int64)), bands,
+                     *part.columns[2:]],
+                    names=["doc_id", "n_shingles", "node", "check", "bands", *part.schema.names[2:]])
+    return run
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = work_dir(spark, "neardup")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
     schema = SKETCH_SCHEMA + "".join(f", {c} long" for c in keep)
-    sk = written(src.mapInArrow(_sketch_batches, schema), f"{base}/sketch")
+    sk = written(src.mapInArrow(_sketcher(band_size(percent)), schema), f"{base}/sketch")
 
     live = sk.filter("n_shingles > 0")
     # Row of a class that supplies bands and text: the smallest id, nulls

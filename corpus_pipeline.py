@@ -23,10 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(~toxicity.rejector(model)(F.col("text")))
 
 
+SIMILAR_PERCENT = 80     # word 5-shingles in common, of all of a pair
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays; texts without words
     are in no group and stay."""
-    return neardup.one_of_each(docs)
+    return neardup.one_of_each(docs, percent=SIMILAR_PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

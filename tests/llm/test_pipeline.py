@@ -34,3 +34,28 @@ def test_toxic_rows_go(spark):
     kept = corpus_pipeline.drop_toxic(spark, d, SF)
     low = toxicity.scores(d, model).filter(f"score < {toxicity.THRESHOLD}").count()
     assert kept.count() == low
+
+
+def test_pairs_from_080_to_085_are_dropped(spark, docs):
+    rows, want = [], set()
+    for i, n in enumerate((49, 53, 57, 61, 65, 110, 150)):
+        base = [f"d{i}w{j}" for j in range(n)]
+        edit = list(base)
+        for at in range(20, n - 10, 40):         # shingles of its own: 5 a changed word
+            edit[at] = "changed"
+        a, b = ({tuple(t[j:j + 5]) for j in range(n - 4)} for t in (base, edit))
+        assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
+        rows += [(2 * i, " ".join(base), "a"), (2 * i + 1, " ".join(edit), "a")]
+        want.add(2 * i)
+    far = [f"far{j}" for j in range(48)]         # 39 of 49: below 0.80
+    rows += [(90, " ".join(far), "a"), (91, " ".join([*far[:24], "changed", *far[25:]]), "a")]
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(rows), SF)
+    assert {r.doc_id for r in got.collect()} == want | {90, 91}
+
+
+def test_bands_suit_the_threshold():
+    for percent in (85, 80, 70, 50):
+        band = neardup.band_size(percent)
+        assert neardup.BINS % band == 0
+        assert (1 - (percent / 100) ** band) ** (neardup.BINS // band) < 1e-6
+    assert neardup.band_size(85) == 6            # op2 as it was
