@@ -12,19 +12,22 @@
    by the inverse root of the singular values so that the few directions of
    very common words don't decide the cosine.
 4. Windows of 16, 32 and 64 words at steps of a quarter of their length are
-   projected and compared by cosine with the items of their length class.
+   projected and compared by cosine with the items of their length class;
+   an item longer than a window is compared whole and by windows of its own.
 5. A candidate is confirmed by the longest common subsequence between the
-   item and the window's surroundings: a share of LCS_STRONG of the item's
+   item and the window's surroundings (at least the item's length on both
+   sides if it is longer than the window): a share of LCS_STRONG of the item's
    words, or LCS_WEAK when the answer (an ``answer`` column, else the item's
    last ANSWER_WORDS words) is found there too.
+6. Items shorter than MIN_WORDS words are found as exact runs of their words
+   (cosine 1).
 
 The benchmark is taken in blocks of at most BLOCK_ITEMS items: what is sent
 to the tasks is bounded by that, whatever the size of the benchmark.
 
 Result: one row per contaminated (doc_id, item_id). Defined cases: null or
-blank texts and items match nothing; items shorter than MIN_WORDS words are
-not searched; repeated rows give repeated doc_ids only once; empty tables
-give no rows.
+blank texts and items match nothing; repeated rows give repeated doc_ids
+only once; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -51,7 +54,8 @@ LCS_STRONG, LCS_WEAK = 0.75, 0.6
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.8
 MIN_WORDS = 8
 CHUNK = 1 << 13         # words searched at once
-OVERLAP = 256
+OVERLAP = 256           # at least; else twice the longest item
+COLUMNS = 1 << 12       # item vectors compared at once
 FANIN = 64
 
 RESULT_SCHEMA = "doc_id long, item_id long, cosine double, lcs int, item_words int, start long"
@@ -67,7 +71,7 @@ class Items:
         self.ids, self.seqs, self.answers = [], [], []
         for item_id, text, answer in rows:
             seq = self._encode(text, words)
-            if len(seq) < MIN_WORDS:
+            if not seq:
                 continue
             ans = self._encode(answer, words) if answer and answer.strip() else []
             self.ids.append(item_id)
@@ -81,9 +85,20 @@ class Items:
         self.feature = (h % U(FEATURES)).astype(np.int64) if self.size > FEATURES else \
             v.astype(np.int64) % FEATURES
         self.sketch_col = (mix(h) % U(RANK + OVERSAMPLE)).astype(np.int64)
+        # (item, the words compared) of each window size.
         self.classes = [[] for _ in WINDOWS]
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        wide = WINDOWS[-1]
         for k, s in enumerate(self.seqs):
-            self.classes[int(np.searchsorted(WINDOWS[:-1], len(s)))].append(k)
+            if len(s) < MIN_WORDS:
+                self.short.setdefault(len(s), {}).setdefault(s.tobytes(), []).append(k)
+                continue
+            members = self.classes[int(np.searchsorted(WINDOWS[:-1], len(s)))]
+            members.append((k, s))
+            if len(s) > wide:
+                at = [*range(0, len(s) - wide, wide // 2), len(s) - wide]
+                members += [(k, s[x:x + wide]) for x in at]
+        self.overlap = max([OVERLAP, *(2 * len(s) for s in self.seqs)])
 
     @staticmethod
     def _encode(text: str | None, words: dict[bytes, int]) -> list[int]:
@@ -263,6 +278,16 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - bin(v).count("1")
 
 
+def _run_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` ids."""
+    m = max(0, len(ids) - n + 1)
+    h = np.zeros(m, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            h = mix(h + ids[j:j + m].astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    return h
+
+
 class Searcher:
     def __init__(self, items: Items, idf: np.ndarray, basis: np.ndarray):
         self.items, self.table = items, np.zeros((items.size + 1, basis.shape[1]), np.float32)
@@ -270,9 +295,11 @@ class Searcher:
         self.seen = np.zeros(items.size + 1, dtype=bool)
         self.vecs = []
         for members in items.classes:
-            m = np.array([self.table[items.seqs[k]].sum(axis=0) for k in members],
-                         dtype=np.float32).reshape(len(members), -1)
+            m = np.array([self.table[part].sum(axis=0) for _, part in members],
+                         dtype=np.float32).reshape(len(members), basis.shape[1])
             self.vecs.append((m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).T)
+        self.runs = [(n, np.concatenate([_run_hashes(np.frombuffer(b, np.int64), n) for b in of]), of)
+                     for n, of in items.short.items()]
 
     def documents(self, docs: list[np.ndarray]) -> list[dict[int, tuple[float, int, int]]]:
         """For each document: item index -> (cosine, lcs, start) of a
@@ -280,9 +307,11 @@ class Searcher:
         time; longer ones overlap from chunk to chunk."""
         best: list[dict] = [{} for _ in docs]
         held, size = [], 0
+        step = max(CHUNK, self.items.overlap)
         for d, ids in enumerate(docs):
-            for lo in range(0, max(1, len(ids)), CHUNK):
-                part = ids[lo:lo + CHUNK + OVERLAP]
+            self._short_runs(ids, best[d])
+            for lo in range(0, max(1, len(ids)), step):
+                part = ids[lo:lo + step + self.items.overlap]
                 if not part.any():
                     continue
                 held.append((d, lo, part))
@@ -294,6 +323,13 @@ class Searcher:
             self._chunk(held, best)
         return best
 
+    def _short_runs(self, ids: np.ndarray, best: dict) -> None:
+        ids = ids.astype(np.int64) if self.runs else ids
+        for n, keys, of in self.runs:
+            for at in np.flatnonzero(np.isin(_run_hashes(ids, n), keys)).tolist():
+                for k in of.get(ids[at:at + n].tobytes(), ()):
+                    best.setdefault(k, (1.0, n, at))
+
     def _chunk(self, held: list[tuple[int, int, np.ndarray]], best: list[dict]) -> None:
         unit = WINDOWS[0] // 4
         # A text shorter than the largest window is padded to it, so that
@@ -326,26 +362,40 @@ class Searcher:
             at = np.arange(0, n, size // 4 // unit)
             win = sums[at]
             norm = np.sqrt(np.einsum("ij,ij->i", win, win))
-            cos = win @ self.vecs[c]
-            hit = cos >= COSINE * np.maximum(norm, 1e-12)[:, None]
-            rows, cols = np.nonzero(hit)
+            least = COSINE * np.maximum(norm, 1e-12)[:, None]
+            parts = []
+            for lo in range(0, self.vecs[c].shape[1], COLUMNS):
+                cos = win @ self.vecs[c][:, lo:lo + COLUMNS]
+                rows, cols = np.nonzero(cos >= least)
+                parts.append((rows, cols + lo, cos[rows, cols] / norm[rows]))
+            rows, cols, value = (np.concatenate(x) for x in zip(*parts, strict=True))
             if not len(rows):
                 continue
-            value = cos[rows, cols] / norm[rows]
             owner = np.searchsorted(first, at[rows], "right") - 1
+            tried: set[tuple[int, int, int]] = set()
             for w, j, o, v in zip(at[rows].tolist(), cols.tolist(), owner.tolist(),
                                   value.tolist(), strict=True):
                 d, lo, part = held[o]
-                self._confirm(part, (w - int(first[o])) * unit, size,
-                              self.items.classes[c][j], v, lo, best[d])
-
-    def _confirm(self, ids, start, size, k, cosine, lo, best) -> None:
+                k, start = self.items.classes[c][j][0], (w - int(first[o])) * unit
+                n_words = len(self.items.seqs[k])
+                a, b = start - size // 2, start + size + size // 2
+                if n_words > size:
+                    # Hits of a long item in one stretch share one region,
+                    # which holds the item's length on both sides of each.
+                    half = max(size, n_words // 2)
+                    block = start // half
+                    if (o, k, block) in tried:
+                        continue
+                    tried.add((o, k, block))
+                    a, b = block * half - n_words, (block + 1) * half + size + n_words
+                self._confirm(part, max(0, a), b, start, k, v, lo, best[d])
+
+    def _confirm(self, ids, a, b, start, k, cosine, lo, best) -> None:
         seq = self.items.seqs[k]
         had = best.get(k)
         if had and had[1] == len(seq):
             return
-        a = max(0, start - size // 2)
-        region = ids[a:start + size + size // 2]
+        region = ids[a:b]
         # Words in common bound the subsequence from above.
         self.seen[region] = True
         self.seen[0] = False

@@ -237,6 +237,30 @@ def test_decontamination_finds_exact_and_edited_items(spark, docs):
     assert decontam.contaminated(docs(rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_items_of_any_length(spark, docs):
+    random.seed(66)
+    words = [f"{a}{b}" for a in "bcdfgklm" for b in "aeiou"] * 3 + [f"rare{i}" for i in range(900)]
+    sizes = (1, 5, 7, 150, 200, 300, 400, 1200)
+    items = [(n, " ".join([f"own{n}", *random.choices(words, k=n - 1)])) for n in sizes]
+    bench = spark.createDataFrame([*items, (90, " ")], "item_id long, text string")
+    rows = [(i, " ".join(random.choices(words, k=400)), "a") for i in range(150)]
+    want = set()
+    for n, text in items:
+        for k, lead in enumerate((0, 37, 8100)):     # the last lies across two chunks
+            w = text.split()
+            if k == 1 and n >= 8:
+                w[5::9] = ["edited"] * len(w[5::9])
+            t = random.choices(words, k=lead) + w + random.choices(words, k=60)
+            rows.append((10_000 + 10 * n + k, " ".join(t), "a"))
+            want.add((10_000 + 10 * n + k, n))
+        if 1 < n < 8:
+            w = text.split()
+            rows.append((10_000 + 10 * n + 9, " ".join([*w[:-1], "x", w[-1]]), "a"))
+    found = decontam.contaminated(docs(rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert all(r.lcs == r.item_words for r in found if r.doc_id % 10 != 1 or r.item_id < 8)
+
+
 # ---------------------------------------------------------------- op7, op9
 
 def test_quality_agrees_with_held_labels(spark):
