@@ -6,13 +6,15 @@ keyed surrogates of the same type and format: digits stay digits, letters
 keep case and script, separators, country prefixes and titles stay, cards
 that pass the Luhn check get surrogates that pass it, names follow the
 title's gender. An entity is its type and canonical form (digits only for
-numbers, lower case for addresses, single spaces for names), so all its
-spellings in all documents get the same surrogate (coreference).
+numbers, after a + for international phones; lower case for addresses, single
+spaces for names), so all its spellings in all documents get the same
+surrogate (coreference). The country code of an international phone is told
+from its digits, so it is the same in all spellings.
 
 Distinctness is checked over the corpus: an entity whose surrogate equals
-another's or a real entity's of the type is drawn again under the next
-attempt number, until none is left; of several that collide the smallest
-keeps its draw. From the third attempt on addresses grow by digits, names by
+another's or a real entity's of the type (names of all genders are one type
+here) is drawn again under the next attempt number, until none is left; of
+several that collide the smallest keeps its draw. From the third attempt on addresses grow by digits, names by
 a generated word, so that small formats can't run out. Numbers whose format
 is full stay at MAX_ATTEMPTS and raise.
 
@@ -67,8 +69,10 @@ PHONE = (r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0
          r"|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
 NAME = rf"(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+# Country codes are prefix-free: one digit, two, else three.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 PATTERN = "|".join((EMAIL, SECRET, IBAN, IP, SSN, PHONE, CARD, NAME))
-TRIGGER = rf"[0-9@]|{_TITLE}\.? \p{{Lu}}"
+TRIGGER = rf"[0-9@]|\b(?:sk|pk|ghp|xox[bp])[_-]|{_TITLE}\.? \p{{Lu}}"
 
 
 def entity_type(m: Column) -> Column:
@@ -88,7 +92,9 @@ def entity_type(m: Column) -> Column:
 def canonical(kind: Column, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     name = F.regexp_replace(m, rf"^{_TITLE}\.? ", "")
-    return (F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "email", F.lower(m))
+    plus = F.when((kind == "phone") & m.startswith("+"), "+").otherwise("")
+    return (F.when(kind.isin("phone", "card", "ssn"), F.concat(plus, digits))
+            .when(kind == "email", F.lower(m))
             .when(kind == "iban", F.replace(m, F.lit(" "), F.lit("")))
             .when(kind.startswith("name"), name).otherwise(m))
 
@@ -148,7 +154,11 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     check = ((10 - _luhn_sum(body, 1) % 10) % 10).cast("string")
     card = F.when(_luhn_sum(canon, 0) % 10 == 0, F.concat(body, check)).otherwise(
         F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(shaped, F.lit(2))))
+    country = F.regexp_extract(canon, COUNTRY, 1)
+    phone = F.when(country == "", shaped).otherwise(
+        F.concat(country, F.substr(shaped, F.length(country) + 2)))
     return (F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *octet))
+            .when(kind == "phone", phone)
             .when(kind == "card", card)
             .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), _shaped(canon, s, True))
                   .otherwise(F.concat(F.regexp_extract(canon, "^[a-z]+[_-]", 0), _shaped(
@@ -186,16 +196,12 @@ def spelled(kind: Column, m: Column, s: Column) -> Column:
         before = F.length(F.regexp_replace(F.substr(m, F.lit(1), i.cast("int")), "[^0-9]", ""))
         return F.when(c.rlike("[0-9]"), F.substr(s, before, F.lit(1))).otherwise(c)
     digits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), digit), "")
-    # A leading +country code stays.
-    prefix = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    phone = F.when(prefix != "", F.concat(prefix, F.substr(digits, F.length(prefix) + 1))) \
-        .otherwise(digits)
 
     def spaced(i):
         c = F.substr(m, i.cast("int"), F.lit(1))
         before = F.length(F.replace(F.substr(m, F.lit(1), i.cast("int")), F.lit(" "), F.lit("")))
         return F.when(c == " ", c).otherwise(F.substr(s, before, F.lit(1)))
-    return (F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits)
+    return (F.when(kind.isin("phone", "card", "ssn"), digits)
             .when(kind == "email", F.when(m == F.upper(m), F.upper(s)).otherwise(s))
             .when(kind == "iban", F.array_join(F.transform(
                 F.sequence(F.lit(1), F.length(m)), spaced), ""))
@@ -205,8 +211,12 @@ def spelled(kind: Column, m: Column, s: Column) -> Column:
 
 def _distinct_surrogates(entities: DataFrame, base: str, key: str) -> DataFrame:
     """(kind, canon, s) with one s per entity, unlike any other and any real
-    entity of the kind."""
-    real = entities.select(F.col("kind").alias("k"), F.col("canon").alias("r"))
+    entity of the kind; all kinds of names count as one."""
+    space = F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind"))
+    form = F.when(F.col("kind") == "phone", F.regexp_replace("canon", r"\+", "")).otherwise(
+        F.col("canon"))
+    real = entities.select(space.alias("k"), form.alias("r"))
+    taken = (F.col("space") == F.col("k")) & (F.col("s") == F.col("r"))
     tasks = max(entities.rdd.getNumPartitions(), 4 * entities.sparkSession.sparkContext
                 .defaultParallelism)
     todo, done, attempt = entities, None, 0
@@ -215,12 +225,12 @@ def _distinct_surrogates(entities: DataFrame, base: str, key: str) -> DataFrame:
         # work for many tasks.
         drawn = written(todo.repartition(tasks).withColumn("s", surrogate(
             F.col("kind"), F.col("canon"), F.lit(attempt), key)), f"{base}/drawn-{attempt}")
-        first = drawn.groupBy("kind", "s").agg(F.min("canon").alias("canon"))
-        good = first.join(real, (F.col("kind") == F.col("k")) & (F.col("s") == F.col("r")),
-                          "left_anti")
+        good = drawn.groupBy(space.alias("space"), "s").agg(
+            F.min(F.struct("kind", "canon")).alias("e")).select("space", "s", "e.*").join(
+            real, taken, "left_anti")
         if done is not None:
-            good = good.join(done.select(F.col("kind").alias("k"), F.col("s").alias("r")),
-                             (F.col("kind") == F.col("k")) & (F.col("s") == F.col("r")), "left_anti")
+            good = good.join(done.select(space.alias("k"), F.col("s").alias("r")), taken,
+                             "left_anti")
         good = written(good.select("kind", "canon", "s"), f"{base}/good-{attempt}")
         done = good if done is None else done.unionByName(good)
         todo = written(drawn.drop("s").join(good, ["kind", "canon"], "left_anti"),

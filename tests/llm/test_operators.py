@@ -347,6 +347,28 @@ def test_surrogates_stay_distinct_in_a_crowded_format(docs):
     assert len(t) == 310 and len({r.s for r in t}) == 310
 
 
+def test_written_surrogates_are_distinct_and_same_in_every_spelling(docs):
+    import re
+    phones = [f"+1 {20 + i // 100 % 70} {10 + i // 7 % 90} {i * 37 % 100:02}" for i in range(4000)]
+    phones = sorted(set(phones))
+    names = [f"{t} {a}{b}" for t in ("Mr", "Dr", "Mrs") for a in "BCDFG" for b in ("ale", "orn", "ix")]
+    texts = [f"call {p} now" for p in phones] + [f"met {n} today" for n in names]
+    spell = ["+1 (202) 555-0100", "+12025550100", "+1-202-555-0100", "+380 44 555 0100", "+380445550100"]
+    texts += [f"call {p} now" for p in spell] + ["key sk-abcdefghijklmnopqrst end"]
+    out, _ = pii.surrogates(docs([(i, t, "x") for i, t in enumerate(texts)]))
+    got = [r.text for r in sorted(out.collect(), key=lambda r: r.doc_id)]
+    digits = [re.sub(r"\D", "", t) for t in got]
+    n, m = len(phones), len(names)
+    assert len(set(digits[:n])) == n and all(d[0] == "1" for d in digits[:n])
+    assert not set(digits[:n]) & {re.sub(r"\D", "", p) for p in phones}
+    words = [t.split()[2] for t in got[n:n + m]]
+    assert len(set(words)) == m and not set(words) & {x.split()[1] for x in names}
+    a, b = digits[n + m:n + m + 3], digits[n + m + 3:n + m + 5]
+    assert len(set(a)) == len(set(b)) == 1 and a[0] != "12025550100"
+    assert a[0][0] == "1" and b[0][:3] == "380"
+    assert "abcdefghijklmnopqrst" not in got[-1] and got[-1].startswith("key sk-")
+
+
 # --------------------------------------------------------------- op10
 
 def test_snapshots_collapse(spark):
