@@ -8,11 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (annindex, chatformat, decontam, mixing, neardup, pii, quality, tokenpack, toxicity,
-               warc)
+from . import (annindex, centroids, chatformat, decontam, hardneg, mixing, neardup, pii, quality,
+               shards, tokenpack, toxicity, warc)
 
 _MODULES = (tokenpack, neardup, warc, annindex, mixing, decontam, quality, pii, toxicity,
-            chatformat)
+            chatformat, centroids, hardneg, shards)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
