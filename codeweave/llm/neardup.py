@@ -7,8 +7,9 @@ documents are linked when ``100 * |A & B| >= percent * |A | B|``.
 1. Sketch: one 64-bit hash per shingle; its top bits choose one of 192 bins
    and each bin keeps its minimum. Empty bins borrow from a non-empty one by
    optimal densification (a hash sequence per bin, tried in order).
-2. Documents with equal sets form one class (128-bit set hash and size);
-   everything later works on classes, so copies never form pairs.
+2. Documents with equal sets form one class (128-bit set hash and size),
+   named by one of its rows; everything later works on classes, so copies
+   never form pairs and colliding hashes never join two classes.
 3. Bands of bins give bucket keys: the longest bands under which a pair at
    the threshold shares no bucket with probability below MISS (6 bins at 85
    percent, 4 at 80). Each bucket emits a star: its centre
@@ -17,15 +18,24 @@ documents are linked when ``100 * |A & B| >= percent * |A | B|``.
    The centre is the class with most collisions over all its buckets.
 5. Exactness beyond the star: classes of buckets that still hold several
    components meet once more in an exact prefix-filter join (sets at the
-   threshold share one of their rarest shingles); only pairs with an end
-   outside its bucket's first component, of different components, are made
-   and confirmed. So no link between classes that share a bucket is missed.
-6. Components by contraction (``plans.labels``).
+   threshold share one of their first shingles in any common order). Only
+   pairs with an end outside its bucket's first component, of different
+   components, are made and confirmed. Shingles of one component only can
+   join nothing: they come first in the order and are never shuffled to the
+   join, which leaves few sets with a prefix at all; a pair is made at the
+   first shingle its prefixes share. So no link between classes that share a
+   bucket is missed.
+6. Components by contraction (``labels``).
+
+A class or component that holds many rows (of which there are fewer than HOT)
+is joined to its rows by broadcast, all others by shuffle.
 
 Defined cases: null or blank text has an empty set, is linked to nothing and
 is its own component; repeated rows fall in one class; a null doc_id never
-names a component unless all ids of the component are null. Sets are
-compared through 64-bit shingle hashes.
+names a component unless all ids of the component are null; an empty table
+gives an empty result. Only the columns named are read, so others never
+clash. Long texts are scanned in pieces. Sets are compared through 64-bit
+shingle hashes.
 """
 
 from __future__ import annotations
@@ -37,8 +47,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.labels import contract_components
 from .common import U, mix, text_buffers, word_hashes, work_dir, written
+from .labels import contract_components
 
 QUERY = "op2_minhash_near_dedup"
 ORACLE_SQL = None       # the components need a fixpoint over all similar pairs
@@ -49,14 +59,10 @@ MISS = 1e-6
 PERCENT = 85
 SALT_ROWS = 512         # members of one centre or bucket that share a join key
 
-ORDER_BITS = 18         # counters that order shingles by frequency
-ORDER_LEAST = 4         # a task reports a counter from here on
+HOT = 10_000            # a key with over 1/HOT of all rows is joined by broadcast
+HEAD = 32               # prefix shingles carried to find the first common one
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, node long, check long, bands array<long>"
-PARITY_WORDS = 4        # 64 parity bits each
-PARITY = [f"w{i}" for i in range(PARITY_WORDS)]
-PREFIX_SCHEMA = ("shingle long, node long, n long, comp long, probe boolean, "
-                 + ", ".join(f"{w} long" for w in PARITY))
+SKETCH_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, text_hash long"
 
 
 def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -123,10 +129,13 @@ def band_keys(sig: np.ndarray, band: int) -> np.ndarray:
     return mix(k).view(np.int64)
 
 
-def _node(u: np.ndarray) -> int:
-    """The id of a set's class."""
+def _set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of every set, as two long columns."""
     with np.errstate(over="ignore"):
-        return int(mix(u.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
+        h1 = np.array([u.sum(dtype=np.uint64) for u in sets], dtype=np.uint64)
+        h2 = np.array([mix(u ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for u in sets],
+                      dtype=np.uint64)
+    return mix(h1).view(np.int64), h2.view(np.int64)
 
 
 def _sketcher(band: int):
@@ -137,33 +146,29 @@ def _sketcher(band: int):
                 data, offs = text_buffers(part.column(1))
                 sets = [shingle_hashes(w) for _, w in word_hashes(data, offs)]
                 n = np.array([len(u) for u in sets], dtype=np.int64)
-                with np.errstate(over="ignore"):
-                    h1 = np.array([u.sum(dtype=np.uint64) for u in sets], dtype=np.uint64)
-                    h2 = np.array([mix(u ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                                   for u in sets], dtype=np.uint64)
+                h1, h2 = _set_hashes(sets)
                 keys = band_keys(sketches(sets), band)
                 live = n > 0
                 width = keys.shape[1]
                 off = np.concatenate([[0], np.cumsum(np.where(live, width, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(off, pa.array(keys[live].ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(n), pa.array(mix(h1).view(np.int64)),
-                     pa.array(h2.view(np.int64)), bands,
+                    [part.column(0).cast(pa.int64()), pa.array(n), pa.array(h1), pa.array(h2), bands,
                      *part.columns[2:]],
-                    names=["doc_id", "n_shingles", "node", "check", "bands", *part.schema.names[2:]])
+                    names=["doc_id", "n_shingles", "h1", "h2", "bands", *part.schema.names[2:]])
     return run
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) -> (node, its shingle hashes); texts of another class
-    under the same doc_id are left out."""
+    """(node, h1, h2, text) -> (node, its shingle hashes); texts of another
+    class under the same id are left out."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            data, offs = text_buffers(part.column(1))
+            data, offs = text_buffers(part.column(3))
             sets = [shingle_hashes(w) for _, w in word_hashes(data, offs)]
-            own = [n == k for n, k in zip(part.column(0).to_pylist(), map(_node, sets),
-                                          strict=True)]
+            h1, h2 = _set_hashes(sets)
+            own = (part.column(1).to_numpy() == h1) & (part.column(2).to_numpy() == h2)
             sets = [s.view(np.int64) for s, ok in zip(sets, own, strict=True) if ok]
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             vals = np.concatenate(sets) if sets else np.zeros(0, np.int64)
@@ -172,6 +177,18 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.ListArray.from_arrays(off, pa.array(vals))], names=["node", "shingles"])
 
 
+def _join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, whose ``weight`` counts the rows
+    of each key. Keys with over 1/HOT of all rows, fewer than HOT by
+    definition, are broadcast; no other key weighs on a task of the shuffle."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT > F.lit(total)
+    few = F.broadcast(table.filter(hot))
+    return rows.join(few, keys).unionByName(
+        rows.join(F.broadcast(table.filter(hot).select(*keys)), keys, "left_anti")
+        .join(table.filter(~hot), keys))
+
+
 def _spread(pairs: DataFrame, key: str) -> DataFrame:
     """``pairs`` with ``salts`` and ``salt``: one join key is shared by about
     SALT_ROWS rows at most, however many rows name it."""
@@ -196,66 +213,38 @@ def _stars(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
             .distinct())
 
 
-def _counter(u: np.ndarray) -> np.ndarray:
-    return (u.view(np.uint64) >> U(64 - ORDER_BITS)).astype(np.int64)
-
-
-def _list_values(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
-    return col.values.to_numpy(zero_copy_only=False), offs
-
-
-def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << ORDER_BITS, dtype=np.int64)
-    for batch in batches:
-        vals, offs = _list_values(batch.column(0))
-        total += np.bincount(_counter(vals[offs[0]:offs[-1]]), minlength=len(total))
-    at = np.flatnonzero(total >= ORDER_LEAST)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["c", "n"])
-
-
-def _prefixes(counts: np.ndarray, percent: int):
-    """The rarest shingles of each set, so many that sets at the threshold
-    share one."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vals, offs = _list_values(batch.column("shingles"))
-            n = np.diff(offs)
-            size = n - -(-percent * n // 100) + 1
-            take, bits = [], np.zeros((len(n), 64 * PARITY_WORDS), dtype=np.uint8)
-            for i, (lo, hi, k) in enumerate(zip(offs[:-1], offs[1:], size, strict=True)):
-                u = vals[lo:hi]
-                bits[i] = np.bincount(u & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
-                take.append(u[np.lexsort((u, counts[_counter(u)]))[:k]])
-            rep = np.repeat(np.arange(len(n)), size)
-            cols = [pa.array(np.concatenate(take) if take else np.zeros(0, np.int64))]
-            cols += [batch.column(c).take(pa.array(rep)) for c in ("node", "n", "comp", "probe")]
-            words = np.packbits(bits, axis=1).view(np.int64)
-            cols += [pa.array(words[rep, i]) for i in range(PARITY_WORDS)]
-            yield pa.RecordBatch.from_arrays(
-                cols, names=["shingle", "node", "n", "comp", "probe", *PARITY])
-    return run
-
-
 def _prefix_pairs(open_nodes: DataFrame, sets: DataFrame, percent: int, base: str) -> DataFrame:
-    """All pairs (probe, other) of ``open_nodes`` (node, n, comp, probe) in
-    different components that may reach the threshold: an exact prefix
-    filter in one order of shingles, rare ones first, and an exact bound by
-    parity bits (bits that differ never outnumber the shingles that do)."""
-    s = written(sets.join(open_nodes, "node"), f"{base}/open-sets")
-    rows = s.select("shingles").mapInArrow(_shingle_counts, "c long, n long").groupBy("c").agg(
-        F.sum("n").alias("n")).collect()        # at most 2^ORDER_BITS counters
-    counts = np.zeros(1 << ORDER_BITS, dtype=np.int64)
-    for r in rows:
-        counts[r["c"]] = r["n"]
-    p = written(s.mapInArrow(_prefixes(counts, percent), PREFIX_SCHEMA), f"{base}/prefixes")
+    """All pairs (a, b) of ``open_nodes`` (node, n, comp, probe) with a probe,
+    in different components, that may reach the threshold: an exact prefix
+    and position filter in one order of shingles, those of one component
+    first, then rare ones."""
+    s = written(sets.join(open_nodes, "node").select(
+        "node", "comp", "probe", F.explode("shingles").alias("shingle")), f"{base}/open-shingles")
+    common = written(s.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+        F.max("probe").alias("asked")).filter("lo <> hi and asked").select("shingle", "df"),
+        f"{base}/common")
+    kept = _join_hot(s.select("node", "shingle"), common, ["shingle"], "df").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("kept"))
+    n, before = F.col("n"), F.col("n") - F.size("kept")
+    length = n - F.ceil(percent * n / 100).cast("long") + 1 - before
+    p = (kept.join(open_nodes, "node").withColumn("before", before)
+         .withColumn("prefix", F.slice(
+             F.col("kept.shingle"), 1, F.greatest(length, F.lit(0)).cast("int")))
+         .withColumn("head", F.slice("prefix", 1, HEAD))
+         .select("node", "n", "comp", "probe", "before", "head", F.posexplode("prefix").alias(
+             "at", "shingle")).withColumn("at", F.col("before") + F.col("at")).drop("before"))
+    p = written(p, f"{base}/prefixes")
     x = p.filter("probe").select("shingle", F.col("node").alias("xn"), F.col("n").alias("xs"),
-                                 F.col("comp").alias("xc"), *[F.col(w).alias(f"x{w}") for w in PARITY])
-    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"x{w}"))) for w in PARITY), F.lit(0))
+                                 F.col("comp").alias("xc"), F.col("head").alias("xhead"),
+                                 F.col("at").alias("xat"))
+    first = F.get(F.array_intersect("head", "xhead"), 0)
     return (p.join(x, "shingle").filter(
-        (F.col("comp") != F.col("xc"))
-        & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("xs")))
-        & (100 * F.least("n", "xs") >= percent * F.greatest("n", "xs")))
+        (F.col("comp") != F.col("xc")) & (~F.col("probe") | (F.col("node") < F.col("xn")))
+        & (100 * F.least("n", "xs") >= percent * F.greatest("n", "xs"))
+        & ((100 + percent) * F.least(F.col("n") - F.col("at"), F.col("xs") - F.col("xat"))
+           >= percent * (F.col("n") + F.col("xs")))
+        & (F.coalesce(first, F.col("shingle")) == F.col("shingle")))
         .select(F.least("node", "xn").alias("a"), F.greatest("node", "xn").alias("b")).distinct())
 
 
@@ -267,21 +256,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keep = list(keep)
     spark = docs.sparkSession
     base = work_dir(spark, "neardup")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                      F.xxhash64(text_col).alias("text_hash"), *keep)
     schema = SKETCH_SCHEMA + "".join(f", {c} long" for c in keep)
-    sk = written(src.mapInArrow(_sketcher(band_size(percent)), schema), f"{base}/sketch")
-
-    live = sk.filter("n_shingles > 0")
-    # Row of a class that supplies bands and text: the smallest id, nulls
-    # included through a representative text row below.
-    reps = written(live.groupBy("node", "check", F.col("n_shingles").alias("n"))
-                   .agg(F.min("doc_id").alias("rep")), f"{base}/reps")
-    bands = (live.join(reps.select("node", F.col("rep").alias("doc_id")).filter(
-        "doc_id is not null"), ["node", "doc_id"], "left_semi")
-        .select("node", F.col("n_shingles").alias("n"), "bands")
-        .unionByName(live.filter("doc_id is null").join(
-            reps.filter("rep is null"), "node", "left_semi")
-            .select("node", F.col("n_shingles").alias("n"), "bands")))
+    sk = written(src.mapInArrow(_sketcher(band_size(percent)), schema).withColumn(
+        "node", F.monotonically_increasing_id()), f"{base}/sketch")
+
+    live = sk.filter("n_shingles > 0").withColumnRenamed("n_shingles", "n")
+    # A class goes by its first row, which supplies bands and text.
+    reps = written(live.groupBy("h1", "h2", "n").agg(
+        F.min("node").alias("node"), F.min("doc_id").alias("rep"),
+        F.count(F.lit(1)).alias("copies")), f"{base}/reps")
+    own = live.select("node", "n", "h1", "h2", "doc_id", "text_hash", "bands").join(
+        reps.select("node"), "node", "left_semi")
+    named = written(own.drop("bands", "n"), f"{base}/named")
+    bands = own.select("node", "n", "bands")
     # One shuffle by bucket serves both the sizes and the join.
     exploded = bands.select("node", "n", F.explode("bands").alias("key")).repartition("key")
     sizes = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size"),
@@ -298,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.struct("node", "n", "salts"), F.struct("weight", "node")).alias("c")).select(
         "key", "c.*")
     stars = written(_stars(members, centres, percent), f"{base}/stars")
-    sets = _sets(src, reps, stars.select(F.col("a").alias("node")).unionByName(
+    sets = _sets(src, named, stars.select(F.col("a").alias("node")).unionByName(
         stars.select(F.col("b").alias("node"))), None, f"{base}/star")
     edges = written(_confirmed(stars, sets, percent, f"{base}/star"), f"{base}/star-links")
 
@@ -316,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_nodes = written(at.join(still, "key").groupBy("node").agg(
         F.min("n").alias("n"), F.min("comp").alias("comp"),
         F.max(F.col("comp") != F.col("c_first")).alias("probe")), f"{base}/open")
-    sets = _sets(src, reps, open_nodes.select("node"), sets, f"{base}/open")
+    sets = _sets(src, named, open_nodes.select("node"), sets, f"{base}/open")
     rest = written(_prefix_pairs(open_nodes, sets, percent, base).join(
         stars, ["a", "b"], "left_anti"), f"{base}/rest")
     more = written(_confirmed(rest, sets, percent, f"{base}/rest"), f"{base}/rest-links")
@@ -328,22 +317,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = edges.select(F.col("a").alias("node")).unionByName(
         edges.select(F.col("b").alias("node")))
     links = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    lab = (reps.select("node", "rep").join(comps, "node", "left")
-           .withColumn("label", F.coalesce("label", "node")))
-    low = lab.groupBy("label").agg(F.min("rep").alias("component"))
-    classes = written(lab.join(low, "label").join(links, "node", "left")
-                      .select("node", "component", F.coalesce("n_links", F.lit(0)).alias(
-                          "n_links")), f"{base}/classes")
-    return (sk.select("doc_id", "n_shingles", "node", *keep).join(
-        classes.withColumnRenamed("node", "cnode"),
-        (F.col("node") == F.col("cnode")) & (F.col("n_shingles") > 0), "left")
-        .select("doc_id", "n_shingles",
-                F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-                .alias("component_id"),
-                F.when(F.col("n_shingles") > 0, F.col("doc_id").eqNullSafe(F.col("component")))
-                .otherwise(F.lit(True)).alias("kept"),
-                F.col("node").alias("class_node"),
-                F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *keep))
+    lab = written(reps.join(comps, "node", "left").withColumn("label", F.coalesce("label", "node")),
+                  f"{base}/labelled")
+    low = written(lab.groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias(
+        "classes")), f"{base}/low")
+    classes = written(_join_hot(lab, low, ["label"], "classes").join(links, "node", "left").select(
+        "h1", "h2", "n", F.col("node").alias("class_node"), "component", "copies",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), f"{base}/classes")
+    found = _join_hot(live.drop("bands", "node", "text_hash"), classes, ["h1", "h2", "n"], "copies")
+    none = F.lit(None).cast("long")
+    return found.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"), "class_node", "n_links",
+        *keep).unionByName(sk.filter("n_shingles = 0").select(
+            "doc_id", "n_shingles", F.col("doc_id").alias("component_id"),
+            F.lit(True).alias("kept"), none.alias("class_node"),
+            F.lit(0).cast("long").alias("n_links"), *keep))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -373,17 +362,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out.filter("__once").dropDuplicates([id_col, "__tie"]).select(*docs.columns)))
 
 
-def _sets(src: DataFrame, reps: DataFrame, nodes: DataFrame, have: DataFrame | None, base: str
+def _sets(src: DataFrame, named: DataFrame, nodes: DataFrame, have: DataFrame | None, base: str
           ) -> DataFrame:
     """(node, shingles) of ``have`` and of all classes in ``nodes``."""
     nodes = nodes.distinct()
     if have is not None:
         nodes = nodes.join(have, "node", "left_anti")
     nodes = written(nodes, f"{base}/nodes")
-    wanted = reps.join(nodes, "node", "left_semi").select(
-        "node", F.col("rep").alias("id"))
-    texts = src.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
-    sets = texts.select("node", "text").mapInArrow(_set_batches, "node long, shingles array<long>")
+    wanted = named.join(nodes, "node", "left_semi").select(
+        "node", "h1", "h2", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    texts = src.select("doc_id", "text", "text_hash").join(wanted, (
+        F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    sets = texts.select("node", "h1", "h2", "text").mapInArrow(
+        _set_batches, "node long, shingles array<long>")
     sets = written(sets.dropDuplicates(["node"]), f"{base}/sets")
     return sets if have is None else have.unionByName(sets)
 

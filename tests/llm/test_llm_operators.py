@@ -124,6 +124,55 @@ def test_near_duplicates_against_brute_force(docs):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.n_shingles)
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_links_between_components_of_one_bucket(docs, percent):
+    """Groups whose members lie on both sides of the threshold: the stars
+    leave several components a bucket, and the exact join must link them."""
+    random.seed(percent)
+    rows = [(None, "a b c d e f g h", "x"), (None, "other text without any id", "x")] * 3
+    for g in range(6):
+        base = [f"g{g}w{j}" for j in range(120)]
+        for v in range(28):
+            t = list(base)
+            for at in random.sample(range(5, 115), random.randrange(1, 4)):
+                t[at] = f"g{g}e{at}x{random.randrange(3)}"
+            rows.append((1000 * g + v, " ".join(t), "x"))
+    rows += [(7000 + i, rows[30][1], "x") for i in range(40)]
+    got = neardup.near_duplicates(docs(rows), percent=percent).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == _brute(
+        rows, percent)
+
+
+def test_prefix_pairs_hold_every_similar_pair(spark):
+    random.seed(9)
+    sets = []
+    for g in range(12):
+        core = random.sample(range(g * 1000, g * 1000 + 60), 40)
+        for _ in range(7):
+            own = set(random.sample(core, random.randrange(33, 41)))
+            own |= set(random.sample(range(50_000, 50_040), random.randrange(0, 6)))
+            sets.append(sorted(own))
+    nodes = [(i, s, len(s), i if i % 3 else i - 1, i % 4 != 0) for i, s in enumerate(sets) if i]
+    base = work_dir(spark, "prefix-test")
+    open_nodes = spark.createDataFrame([(i, n, c, p) for i, _, n, c, p in nodes],
+                                       "node long, n long, comp long, probe boolean")
+    frame = spark.createDataFrame([(i, s) for i, s, *_ in nodes], "node long, shingles array<long>")
+    got = neardup._prefix_pairs(open_nodes, frame, 80, base).collect()
+    pairs = [(r.a, r.b) for r in got]
+    want = {(i, j) for i, s, _, c, p in nodes for j, t, _, d, q in nodes if i < j and c != d
+            and (p or q) and 100 * len(set(s) & set(t)) >= 80 * len(set(s) | set(t))}
+    assert len(want) > 20 and want <= set(pairs) and len(pairs) == len(set(pairs))
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.range(3000).selectExpr("if(id < 1000, 0, id) as k", "id as v")
+    table = rows.groupBy("k").count()
+    neardup_rows = neardup._join_hot(rows, table, ["k"], "count")
+    assert neardup_rows.count() == 3000
+    assert neardup_rows.filter("k = 0 and count = 1000").count() == 1000
+    assert neardup._join_hot(rows.limit(0), table.limit(0), ["k"], "count").count() == 0
+
+
 def test_one_of_each_keeps_one_of_repeated_rows(docs):
     out = [(r.doc_id, r.text) for r in neardup.one_of_each(docs(ODD)).collect()]
     assert len(out) == 6 and sum(i == 5 for i, _ in out) == 1 and not any(i == 6 for i, _ in out)

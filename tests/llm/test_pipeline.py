@@ -21,7 +21,8 @@ def test_stages(spark):
     assert [k for k, _ in corpus_pipeline.STAGES] == [
         "toxicity", "near_duplicates", "decontamination", "mixing", "tokens"]
     before, after = outs["near_duplicates"]
-    groups = neardup.near_duplicates(before).select("component_id").distinct().count()
+    groups = neardup.near_duplicates(
+        before, percent=corpus_pipeline.SIMILAR_PERCENT).select("component_id").distinct().count()
     assert after.count() == groups and after.select("doc_id").distinct().count() == groups
     assert outs["toxicity"][1].count() < n
     assert docs.count() == outs["mixing"][1].count()
