@@ -18,7 +18,9 @@
    item and the window's surroundings (at least the item's length on both
    sides if it is longer than the window): a share of LCS_STRONG of the item's
    words, or LCS_WEAK when the answer (an ``answer`` column, else the item's
-   last ANSWER_WORDS words) is found there too.
+   last ANSWER_WORDS words) is found there too. A reordered item fails one
+   subsequence over the whole; it is confirmed by its PARTS in any order, when
+   their subsequences sum up to LCS_PARTS of its words.
 6. Items shorter than MIN_WORDS words are found as exact runs of their words
    (cosine 1).
 
@@ -27,7 +29,10 @@ to the tasks is bounded by that, whatever the size of the benchmark.
 
 Result: one row per contaminated (doc_id, item_id). Defined cases: null or
 blank texts and items match nothing; repeated rows give repeated doc_ids
-only once; empty tables give no rows.
+only once; different texts under one id are told apart by a text hash, so
+``clean`` drops the row that holds the item and no other, with or without id;
+empty tables give no rows; only the columns named are read, so others never
+clash (``clean`` returns them all); long texts are scanned in pieces.
 """
 
 from __future__ import annotations
@@ -51,6 +56,8 @@ RANK, OVERSAMPLE = 128, 32
 WINDOWS = (16, 32, 64)
 COSINE = 0.5
 LCS_STRONG, LCS_WEAK = 0.75, 0.6
+LCS_PARTS = 0.8
+PARTS, PART_WORDS = 4, 8    # at most so many parts, of at least so many words
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.8
 MIN_WORDS = 8
 CHUNK = 1 << 13         # words searched at once
@@ -58,6 +65,7 @@ OVERLAP = 256           # at least; else twice the longest item
 COLUMNS = 1 << 12       # item vectors compared at once
 FANIN = 64
 
+_HASH = "__text_hash"     # tells texts of one id apart
 RESULT_SCHEMA = "doc_id long, item_id long, cosine double, lcs int, item_words int, start long"
 
 
@@ -68,7 +76,7 @@ class Items:
 
     def __init__(self, rows: list[tuple]):
         words: dict[bytes, int] = {}
-        self.ids, self.seqs, self.answers = [], [], []
+        self.ids, self.seqs, self.answers, self.parts = [], [], [], []
         for item_id, text, answer in rows:
             seq = self._encode(text, words)
             if not seq:
@@ -77,6 +85,8 @@ class Items:
             self.ids.append(item_id)
             self.seqs.append(np.array(seq, dtype=np.int64))
             self.answers.append(np.array(ans or seq[-ANSWER_WORDS:], dtype=np.int64))
+            n = max(1, min(PARTS, len(seq) // PART_WORDS))
+            self.parts.append(np.array_split(self.seqs[-1], n))
         self.size = len(words)
         # Vocabulary ids start at 1; 0 is any other word.
         self.hashes = np.array([py_word_hash(w) for w in words], dtype=np.uint64)
@@ -136,14 +146,14 @@ def _encoder(hashes: np.ndarray):
                     ids[pos] = k + 1
                     out += [ids[first[x]:first[x + 1]].tobytes() for x in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(out, pa.binary())],
-                    names=["doc_id", "ids"])
+                    [part.column(0).cast(pa.int64()), part.column(2), pa.array(out, pa.binary())],
+                    names=["doc_id", _HASH, "ids"])
     return run
 
 
-def _decoded(batch: pa.RecordBatch, wide: bool) -> Iterator[tuple[int | None, np.ndarray]]:
-    for d, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        yield d, np.frombuffer(b.as_buffer(), dtype="<u4" if wide else "<u2")
+def _decoded(batch: pa.RecordBatch, wide: bool) -> Iterator[tuple[tuple, np.ndarray]]:
+    for d, h, b in zip(*[batch.column(k).to_pylist() for k in (0, 1)], batch.column(2), strict=True):
+        yield (d, h), np.frombuffer(b.as_buffer(), dtype="<u4" if wide else "<u2")
 
 
 # ------------------------------------------------------------- statistics
@@ -408,6 +418,9 @@ class Searcher:
         if not ok and lcs >= LCS_WEAK * len(seq):
             ans = self.items.answers[k]
             ok = lcs_length(ans, region) >= ANSWER_SHARE * len(ans)
+        if not ok and common >= LCS_PARTS * len(np.unique(seq)):
+            lcs = sum(lcs_length(part, region) for part in self.items.parts[k])
+            ok = lcs >= LCS_PARTS * len(seq)
         if ok and (had is None or (lcs, cosine) > (had[1], had[0])):
             best[k] = (cosine, lcs, lo + start)
 
@@ -417,33 +430,33 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, wide: bool):
         searcher = Searcher(items, idf, basis)
         for batch in batches:
             rows = list(_decoded(batch, wide))
-            out = [(d, items.ids[k], cos, lcs, len(items.seqs[k]), start)
+            out = [(*d, items.ids[k], cos, lcs, len(items.seqs[k]), start)
                    for (d, _), best in zip(rows, searcher.documents([x for _, x in rows]),
                                            strict=True)
                    for k, (cos, lcs, start) in best.items()]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (
-                    pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int64()),
-                    strict=True)],
-                names=["doc_id", "item_id", "cosine", "lcs", "item_words", "start"])
+                    pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(),
+                    pa.int64()), strict=True)],
+                names=["doc_id", _HASH, "item_id", "cosine", "lcs", "item_words", "start"])
     return run
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
-                 text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
-                 ) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, item_words, start) of every document
-    that holds a benchmark item, near verbatim or paraphrased."""
+def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str,
+           item_text: str) -> DataFrame:
+    """The result's columns and the hash of the text, once per text."""
     spark = docs.sparkSession
     base = work_dir(spark, "decontam")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                      F.xxhash64(text_col).alias(_HASH))
     found = None
     for b, items in enumerate(bench_blocks(bench, item_col, item_text)):
         if not items.ids:
             continue
         wide = items.size > 65534
-        enc = written(src.mapInArrow(_encoder(items.hashes), "doc_id long, ids binary"),
+        enc = written(src.mapInArrow(_encoder(items.hashes),
+                                     f"doc_id long, {_HASH} long, ids binary"),
                       f"{base}/{b}/encoded")
         # Vocabulary-sized, so bounded by the block.
         df = {r["v"]: r["n"] for r in enc.mapInArrow(
@@ -453,20 +466,35 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
         idf = np.zeros(items.size + 1)
         idf[1:] = [np.log((n + 1) / (df.get(v, 0) + 1)) + 0.1 for v in range(1, items.size + 1)]
         basis = latent_basis(enc, items, idf, wide, f"{base}/{b}")
-        hits = enc.mapInArrow(_search(items, idf, basis, wide), RESULT_SCHEMA)
-        hits = written(hits.groupBy("doc_id", "item_id").agg(
-            F.max_by(F.struct("cosine", "lcs", "item_words", "start"),
-                     F.struct("lcs", "cosine")).alias("m")).select("doc_id", "item_id", "m.*"),
-            f"{base}/{b}/found")
+        hits = enc.mapInArrow(_search(items, idf, basis, wide),
+                              RESULT_SCHEMA.replace(", ", f", {_HASH} long, ", 1))
+        hits = written(_best(hits, "doc_id", _HASH, "item_id"), f"{base}/{b}/found")
         found = hits if found is None else found.unionByName(hits)
-    return found if found is not None else spark.createDataFrame([], RESULT_SCHEMA)
+    return found if found is not None else spark.createDataFrame(
+        [], f"{RESULT_SCHEMA}, {_HASH} long")
+
+
+def _best(hits: DataFrame, *keys: str) -> DataFrame:
+    return hits.groupBy(*keys).agg(
+        F.max_by(F.struct("cosine", "lcs", "item_words", "start"),
+                 F.struct("lcs", "cosine")).alias("m")).select(*keys, "m.*")
+
+
+def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
+                 text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+                 ) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs, item_words, start) of every document
+    that holds a benchmark item, near verbatim or paraphrased."""
+    return _best(_found(docs, bench, id_col, text_col, item_col, item_text), "doc_id", "item_id")
 
 
-def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """``docs`` without the contaminated documents (null ids are kept)."""
-    bad = contaminated(docs, bench, id_col=id_col, **kw).select(
-        F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the contaminated rows, told by id and text."""
+    bad = _found(docs, bench, id_col, text_col, item_col, item_text).select(
+        F.col("doc_id").alias("__bad"), F.col(_HASH).alias("__text")).distinct()
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__bad"))
+                     & (F.xxhash64(text_col) == F.col("__text")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,6 +286,55 @@ def test_decontamination_finds_exact_and_edited_items(spark, docs):
     assert decontam.contaminated(docs(rows), bench.limit(0)).count() == 0
 
 
+def test_clean_drops_the_row_that_holds_the_item_only(spark, docs):
+    item = "what is the boiling point of pure water at sea level in degrees celsius one hundred"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    leak, fine = f"so we read {item} in class", "a text about something else that nobody asked for"
+    rows = [(None, leak, "a"), (5, leak, "a"), (5, fine, "a"), (None, fine, "b"), (6, None, "b")]
+    got = {(r.doc_id, r.text) for r in decontam.clean(docs(rows), bench).collect()}
+    assert got == {(5, fine), (None, fine), (6, None)}
+
+
+def test_decontamination_recall_on_paraphrases(spark):
+    """Items planted in four ways between whole documents of the test tables."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items = [(r.item_id, r.text.split()) for r in bench.orderBy("item_id").limit(40).collect()]
+    carriers = [r.text for r in d.filter("length(text) between 300 and 3000").orderBy(
+        "doc_id").limit(40).collect()]
+    random.seed(16)
+
+    def fifth(w):
+        return [f"other{j}" if j % 5 == 2 else x for j, x in enumerate(w)]
+
+    def third(w):
+        keep = len(w) - decontam.ANSWER_WORDS
+        return [f"other{j}" if j % 3 == 1 and j < keep else x for j, x in enumerate(w)]
+
+    def longer(w):
+        return [y for j, x in enumerate(w) for y in ([x, f"more{j}"] if j % 5 < 2 else [x])]
+
+    def swapped(w):
+        return w[len(w) // 2:] + w[:len(w) // 2]
+    ways = [fifth, third, longer, swapped]
+    rows = [(1_000_000 * (k + 1) + i, f"{carriers[n]} {' '.join(way(w))} {carriers[n - 1]}")
+            for k, way in enumerate(ways) for n, (i, w) in enumerate(items)]
+    plain = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, bench).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(
+        d.unionByName(spark.createDataFrame(rows, d.schema)), bench).collect()}
+    old = {p for p in got if p[0] < 1_000_000}
+    assert len(old ^ plain) <= len(plain) // 50          # the basis moves with the corpus
+    for k in range(4):
+        hits = sum((1_000_000 * (k + 1) + i, i) in got for i, _ in items)
+        print("RECALL", ways[k].__name__, hits)
+        assert hits >= 36, ways[k].__name__
+    strays = {p for p in got if p[0] >= 1_000_000 and p[0] % 1_000_000 != p[1]}
+    carried = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(
+        [(i, f"{carriers[n]} {carriers[n - 1]}") for n, (i, _) in enumerate(items)],
+        d.schema), bench).collect()}
+    assert {(i % 1_000_000, j) for i, j in strays} <= carried
+
+
 def test_decontamination_finds_items_of_any_length(spark, docs):
     random.seed(66)
     words = [f"{a}{b}" for a in "bcdfgklm" for b in "aeiou"] * 3 + [f"rare{i}" for i in range(900)]
