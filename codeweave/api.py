@@ -92,9 +92,12 @@ class CodeAnalytics:
         return calls.enhanced_call_graph(self.g, _fn_key(function_name, module_name), max_depth,
                                          graph_format, include_signatures, filter_modules)
 
-    def get_function_context(self, function_name, module_name=None):
+    def get_function_context(self, function_name, module_name=None,
+                             include_local_definitions=True, include_external_references=True,
+                             include_body=False):
         key = _fn_key(function_name, module_name)
-        return (location.function_context(self.g, key),
+        return (location.function_context(self.g, key, include_local_definitions,
+                                          include_external_references, include_body),
                 location.function_context_items(self.g, key))
 
     # -- types -----------------------------------------------------------
@@ -121,6 +124,9 @@ class CodeAnalytics:
             return types.type_usage(self.g, [type_name], module_name, usage_threshold)
         return types.types_by_category(self.g, module_name, C.SAMPLE_TYPES_PER_CATEGORY)
 
+    def get_type_functions(self, type_name, limit=C.LIMIT_TYPE_FUNCTIONS):
+        return types.type_functions(self.g, [type_name], limit)
+
     def build_type_dependency_graph(self, root_type=None, module_pattern=None,
                                     include_external=False, max_depth=3):
         return types.type_graph(self.g, root_type, module_pattern, include_external, max_depth)
@@ -214,7 +220,7 @@ class CodeAnalytics:
                              include_dependencies=True):
         ctx = location.location_context(self.g, probes, context_radius)
         if include_dependencies:
-            return ctx, location.location_dependencies(self.g, probes)
+            return ctx, location.location_items(self.g, probes)
         return ctx
 
     # -- queries ---------------------------------------------------------

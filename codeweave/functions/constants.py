@@ -54,3 +54,7 @@ SAMPLE_INSTANCES_PER_CLASS = 10
 SAMPLE_TYPES_PER_CATEGORY = 10
 LOCATION_DEPENDENCIES = 5
 MATCHED_LINES_SHOWN = 3
+
+LIMIT_TYPE_FUNCTIONS = 20       # functions listed per type
+BODY_LINES = 5                  # lines of a body shown first
+BODY_PREVIEW = 200              # characters of a body shown first

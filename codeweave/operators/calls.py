@@ -21,6 +21,16 @@ def call_edges(g: CodeGraph) -> DataFrame:
                                         F.col("callee_id").alias("dst")).distinct()
 
 
+def external_callees(g: CodeGraph) -> DataFrame:
+    """(src, dst, name, module_name): calls of what no function of the graph
+    defines. ``dst`` is a stable id of (module, name), negative, so that it
+    never meets a function's id; such a node has no calls of its own."""
+    sites = g.function_called.filter(F.col("callee_id").isNull() & F.col("name").isNotNull())
+    key = F.xxhash64("module_name", "name").bitwiseAND(F.lit((1 << 63) - 1))
+    return sites.select(F.col("function_id").alias("src"), (-key - 1).alias("dst"), "name",
+                        "module_name").distinct()
+
+
 def _roots(g: CodeGraph, keys: Keys, first_only: bool = False) -> DataFrame:
     """Every function with a key name (optionally within a module) is a
     root; ``first_only`` keeps the smallest id per key instead."""
@@ -41,11 +51,15 @@ def call_neighbours(g: CodeGraph, keys: Keys = None, depth: int = 2,
                     include_callers: bool = True, include_callees: bool = True,
                     first_only: bool = False) -> DataFrame:
     """Functions within ``depth`` calls of each root, by shortest
-    depth, as callees (forward) and callers (backward)."""
+    depth, as callees (forward) and callers (backward). A callee that no
+    function of the graph defines is a neighbour too: ``is_external``, with
+    the name and module of the call and no ``function_id``."""
     roots = _roots(g, keys, first_only)
+    outside = external_callees(g)
     parts = []
     if include_callees:
-        parts.append(bfs(call_edges(g), roots, depth).withColumn("direction", F.lit("callee")))
+        forward = call_edges(g).unionByName(outside.select("src", "dst"))
+        parts.append(bfs(forward, roots, depth).withColumn("direction", F.lit("callee")))
     if include_callers:
         parts.append(bfs(call_edges(g), roots, depth, reverse=True)
                      .withColumn("direction", F.lit("caller")))
@@ -58,10 +72,14 @@ def call_neighbours(g: CodeGraph, keys: Keys = None, depth: int = 2,
     return (out.join(info.select(F.col("id").alias("root"), F.col("name").alias("root_name")),
                      "root")
             .join(info.select(F.col("id").alias("node"), F.col("name").alias("function"),
-                              F.col("module").alias("module_name")), "node", "left")
+                              F.col("module").alias("module_name"))
+                  .unionByName(outside.select(F.col("dst").alias("node"),
+                                              F.col("name").alias("function"), "module_name")
+                               .distinct()), "node", "left")
             .select(F.col("root").alias("root_id"), "root_name", "direction",
-                    F.col("node").alias("function_id"), "function", "module_name",
-                    F.col("depth").cast("bigint").alias("depth")))
+                    F.when(F.col("node") >= 0, F.col("node")).alias("function_id"), "function",
+                    "module_name", F.col("depth").cast("bigint").alias("depth"),
+                    (F.col("node") < 0).alias("is_external")))
 
 
 def module_filter(module: Column, patterns: list[str] | None) -> Column:

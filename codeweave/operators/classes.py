@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import like, preview
 from ..plans.keys import Keys, key_frame, restrict
-from ..plans.substring import contains_pairs
+from ..plans.substring import name_pairs
 from ..sources.tables import CodeGraph
 from ..functions import constants as C
 from .functions import _per_group_limit, _top
@@ -39,14 +39,15 @@ def search_classes(g: CodeGraph, pattern: str, module_pattern: str | None = None
     return _top(c.select("id", "class_name", "module_name"), limit, "class_name", "id")
 
 
-def class_instances(g: CodeGraph, keys: Keys = None) -> DataFrame:
+def class_instances(g: CodeGraph, keys: Keys = None, match: str = "substring") -> DataFrame:
     """Instances whose definition text contains the class name (J9 with
-    the reference's substring semantics, names taken literally)."""
+    the reference's substring semantics, names taken literally), or with
+    ``match='identifier'`` as a whole identifier."""
     kf = key_frame(g.spark, keys, ["class_name"])
     names = restrict(g.classes.select("class_name"), kf, ["class_name"])
     inst = g.instance.select(F.col("id").alias("instance_id"), "instance_definition",
                              "instance_signature", F.col("module_id").alias("instance_module_id"))
-    pairs = contains_pairs(names, inst, "class_name", "instance_definition").select(
+    pairs = name_pairs(names, inst, "class_name", "instance_definition", match).select(
         F.col("name").alias("class_name"), F.col("text").alias("instance_definition"))
     return (pairs.join(inst, "instance_definition")
             .select("class_name", "instance_id", "instance_definition",

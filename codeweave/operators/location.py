@@ -3,15 +3,20 @@ import generation (O39)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import first_lines, preview
 from ..plans.interval import point_in_span, window_overlaps
 from ..functions import constants as C
 from ..plans.keys import Keys, key_frame, restrict
+from ..plans.substring import token_pairs
 from ..sources.tables import CodeGraph
 from .types import type_usage_sites
 
+SPEC_NAME = r"[A-Za-z_][A-Za-z0-9_.']*"      # a name in a hiding or import list
 KINDS = ("function", "type", "class", "import")
 
 
@@ -95,6 +100,22 @@ def location_dependencies(g: CodeGraph, probes: DataFrame,
     return at.join(first, "function_id")
 
 
+def location_items(g: CodeGraph, probes: DataFrame, limit: int = C.LOCATION_DEPENDENCIES,
+                   base_directory: str = "") -> DataFrame:
+    """O38 lists: the first ``limit`` items of each kind (local and external
+    functions and types, by name and module) of the innermost function at
+    each probe. Items are cut per function before they meet the probes."""
+    at = elements_at(g, probes, base_directory, ["function"]).select(
+        "probe_id", F.col("element_id").alias("function_id"))
+    w = Window.partitionBy("function_id", "kind").orderBy(
+        "name", F.asc_nulls_last("module_name"))
+    first = (function_context_items(g).withColumn("rank", F.row_number().over(w))
+             .filter(F.col("rank") <= limit))
+    return at.join(first, "function_id").select(
+        "probe_id", "function_id", "kind", F.col("rank").cast("bigint").alias("rank"), "name",
+        "module_name")
+
+
 def function_context_items(g: CodeGraph, keys: Keys = None) -> DataFrame:
     """O16 items, one row each ``(function_id, kind, name, module_name)``:
     ``local_function`` (a resolved callee in the caller's module),
@@ -132,73 +153,146 @@ def function_context_items(g: CodeGraph, keys: Keys = None) -> DataFrame:
             .select("function_id", "kind", "name", "module_name"))
 
 
-def function_context(g: CodeGraph, keys: Keys = None) -> DataFrame:
+def function_context(g: CodeGraph, keys: Keys = None, include_local_definitions: bool = True,
+                     include_external_references: bool = True, include_body: bool = False
+                     ) -> DataFrame:
     """O16 summary, one row per function: signature, span, body length
-    and the number of items of each kind."""
+    and the number of items of each kind. The flags leave out the counts of
+    local or external items; ``include_body`` adds the body, its first
+    characters and its first lines."""
     kf = key_frame(g.spark, keys, ["name", "module_name"])
     f = restrict(g.function, kf, ["name", "module_name"])
     items = function_context_items(g, kf)
     counts = items.groupBy("function_id").pivot(
         "kind", ["local_function", "external_function", "local_type", "external_type"]
     ).agg(F.count(F.lit(1)))
+    texts = [F.col("raw_string").alias("body"),
+             preview("raw_string", C.BODY_PREVIEW).alias("body_preview"),
+             first_lines("raw_string", C.BODY_LINES).alias("body_head")] if include_body else []
     body = g.function_body.select(F.col("id").alias("function_id"),
-                                  F.length("raw_string").cast("bigint").alias("code_length"))
+                                  F.length("raw_string").cast("bigint").alias("code_length"), *texts)
+    kinds = ([k for k, on in (("local", include_local_definitions),
+                              ("external", include_external_references)) if on])
     return (f.select(F.col("id").alias("function_id"), "name", "module_name",
                      "function_signature", "src_file", "line_start", "line_end")
             .join(body, "function_id", "left").join(counts, "function_id", "left")
             .select("function_id", "name", "module_name", "function_signature", "src_file",
                     "line_start", "line_end", "code_length",
-                    *[F.coalesce(c, F.lit(0)).cast("bigint").alias(f"n_{c}s")
-                      for c in ("local_function", "external_function", "local_type",
-                                "external_type")]))
+                    *[F.coalesce(f"{k}_{what}", F.lit(0)).cast("bigint").alias(f"n_{k}_{what}s")
+                      for what in ("function", "type") for k in kinds],
+                    *(["body", "body_preview", "body_head"] if include_body else [])))
 
 
 STYLES = ("haskell", "qualified", "explicit")
+ELEMENT_TYPES = ("any", "function", "type", "class")
 
 
-def generate_imports(g: CodeGraph, keys: Keys = None, element_type: str = "any",
-                     style: str = "haskell", element: str | None = None) -> DataFrame:
-    """Import statements a module lacks. An element (called function,
-    or type named in a signature) used in module M but defined in another
-    module D, where M has no import of D, yields ``import D``,
-    ``import qualified D`` or ``import D (element)``. ``element`` keeps the
-    statements that this name needs, in every style."""
-    if style not in STYLES:
-        raise ValueError(f"style must be one of {STYLES}")
-    if element_type not in ("any", "function", "type"):
-        raise ValueError("element_type must be any, function or type")
-    kf = key_frame(g.spark, keys, ["name"])
-    mods = restrict(g.module, kf, ["name"]).select(F.col("id").alias("module_id"),
-                                                   F.col("name").alias("module"))
+def _uses(g: CodeGraph, mods: DataFrame, element_type: str, restricted: bool) -> DataFrame:
+    """(module_id, module, imported_module, element, element_type): what each
+    module uses and where it may come from. A call names its module; a type
+    in a signature or a class in an instance may come from every module that
+    defines the name, unless the module does so itself."""
     fn = g.function.select(F.col("id").alias("function_id"), "module_id").join(mods, "module_id")
+    m = g.module.select(F.col("id").alias("def_module_id"), F.col("name").alias("imported_module"))
+
+    def defined_elsewhere(used: DataFrame, defs: DataFrame, kind: str) -> DataFrame:
+        own = used.join(defs, "element").filter(F.col("def_module_id") == F.col("module_id"))
+        return (used.join(own.select("module_id", "element").distinct(), ["module_id", "element"],
+                          "left_anti").join(defs, "element").join(m, "def_module_id")
+                .select("module_id", "module", "imported_module", "element",
+                        F.lit(kind).alias("element_type")))
     uses = []
     if element_type in ("any", "function"):
         uses.append(g.function_called.join(fn, "function_id").select(
             "module_id", "module", F.col("module_name").alias("imported_module"),
             F.col("name").alias("element"), F.lit("function").alias("element_type")))
     if element_type in ("any", "type"):
-        m = g.module.select(F.col("id").alias("def_module_id"),
-                            F.col("name").alias("imported_module"))
-        subset = None if kf is None else fn.select(F.col("function_id").alias("id"))
-        used = (type_usage_sites(g, functions=subset)
-                .select("function_id", "type_name").join(fn, "function_id"))
-        defs = g.types.select("type_name", F.col("module_id").alias("def_module_id"))
-        own = used.join(defs, "type_name").filter(F.col("def_module_id") == F.col("module_id"))
-        uses.append(used.join(own.select("module_id", "type_name").distinct(),
-                              ["module_id", "type_name"], "left_anti")
-                    .join(defs, "type_name").join(m, "def_module_id")
-                    .select("module_id", "module", "imported_module",
-                            F.col("type_name").alias("element"),
-                            F.lit("type").alias("element_type")))
-    u = uses[0]
-    for x in uses[1:]:
-        u = u.unionByName(x)
+        subset = fn.select(F.col("function_id").alias("id")) if restricted else None
+        used = (type_usage_sites(g, functions=subset).select("function_id", "type_name")
+                .join(fn, "function_id").select("module_id", "module",
+                                                F.col("type_name").alias("element")))
+        uses.append(defined_elsewhere(used, g.types.select(
+            F.col("type_name").alias("element"), F.col("module_id").alias("def_module_id")), "type"))
+    if element_type in ("any", "class"):
+        inst = g.instance.join(mods, "module_id").select("module_id", "module",
+                                                         "instance_definition")
+        pairs = token_pairs(g.classes, inst, "class_name", "instance_definition").select(
+            F.col("name").alias("element"), F.col("text").alias("instance_definition"))
+        used = inst.join(pairs, "instance_definition").select("module_id", "module", "element")
+        uses.append(defined_elsewhere(used, g.classes.select(
+            F.col("class_name").alias("element"), F.col("module_id").alias("def_module_id")),
+            "class"))
+    return reduce(DataFrame.unionByName, uses)
+
+
+def import_elements(g: CodeGraph) -> DataFrame:
+    """(import_id, module_id, imported_module, mode, element): ``all`` (no
+    list; element NULL), ``hiding`` or ``only``, one row per listed element."""
+    specs = F.regexp_extract_all(F.coalesce("hiding_specs", F.lit("")), F.lit(SPEC_NAME), 0)
+    mode = (F.when(F.size("specs") == 0, F.lit("all"))
+            .when(F.coalesce("is_hiding", F.lit(False)), F.lit("hiding")).otherwise(F.lit("only")))
+    return g.imports.withColumn("specs", specs).select(
+        F.col("id").alias("import_id"), "module_id", F.col("module_name").alias("imported_module"),
+        mode.alias("mode"), F.explode_outer("specs").alias("element"))
+
+
+def _supplied(g: CodeGraph, uses: DataFrame) -> DataFrame:
+    """Distinct (module_id, imported_module, element) of ``uses`` that an
+    import of the module brings into scope: an import without a list, one that
+    lists the element, or one that hides others."""
+    e = import_elements(g)
+    pair = ["module_id", "imported_module"]
+    u = uses.select(*pair, "element").distinct()
+    whole = u.join(e.filter("mode = 'all'").select(*pair), pair, "left_semi")
+    listed = u.join(e.filter("mode = 'only'").select(*pair, "element"), [*pair, "element"],
+                    "left_semi")
+    hiding = e.filter("mode = 'hiding'")
+    per_pair = hiding.groupBy(*pair).agg(F.count_distinct("import_id").alias("n"))
+    per_element = hiding.groupBy(*pair, "element").agg(F.count_distinct("import_id").alias("hid"))
+    rest = (u.join(per_pair, pair).join(per_element, [*pair, "element"], "left")
+            .filter(F.col("n") > F.coalesce("hid", F.lit(0))).select(*pair, "element"))
+    return whole.unionByName(listed).unionByName(rest).distinct()
+
+
+def generate_imports(g: CodeGraph, keys: Keys = None, element_type: str = "any",
+                     style: str = "haskell", element: str | None = None,
+                     combine: bool = False) -> DataFrame:
+    """Import statements a module lacks. An element (called function,
+    type named in a signature, class of an instance) used in module M but
+    defined in another module D, where no import of M brings it into scope,
+    yields ``import D``, ``import qualified D`` or ``import D (element)``.
+    Hiding and import lists are taken into account element by element, and a
+    type or class that one import supplies is asked of no other module.
+    ``element`` keeps the statements that this name needs, in every style;
+    ``combine`` writes the explicit style as one statement per imported
+    module with the sorted list of its elements."""
+    if style not in STYLES:
+        raise ValueError(f"style must be one of {STYLES}")
+    if element_type not in ELEMENT_TYPES:
+        raise ValueError(f"element_type must be one of {ELEMENT_TYPES}")
+    kf = key_frame(g.spark, keys, ["name"])
+    mods = restrict(g.module, kf, ["name"]).select(F.col("id").alias("module_id"),
+                                                   F.col("name").alias("module"))
+    u = _uses(g, mods, element_type, kf is not None)
     if element is not None:
         u = u.filter(F.col("element") == element)
-    have = g.imports.select("module_id", F.col("module_name").alias("imported_module"))
-    need = (u.filter(F.col("imported_module").isNotNull()
-                     & (F.col("imported_module") != F.col("module")))
-            .join(have, ["module_id", "imported_module"], "left_anti"))
+    u = u.filter(F.col("imported_module").isNotNull()
+                 & (F.col("imported_module") != F.col("module"))).distinct()
+    have = _supplied(g, u)
+    need = u.join(have, ["module_id", "imported_module", "element"], "left_anti")
+    # Which module a type or class comes from is open: one supplier settles it.
+    settled = u.filter("element_type <> 'function'").join(
+        have, ["module_id", "imported_module", "element"], "left_semi").select(
+        "module_id", "element_type", "element").distinct()
+    need = need.join(settled, ["module_id", "element_type", "element"], "left_anti")
+    if style == "explicit" and combine:
+        names = F.sort_array(F.collect_set("element"))
+        return need.groupBy("module", "imported_module").agg(
+            F.count_distinct("element").alias("n_elements"),
+            F.array_join(names, ", ").alias("list")).select(
+            "module", "imported_module", "n_elements",
+            F.concat(F.lit("import "), F.col("imported_module"), F.lit(" ("), F.col("list"),
+                     F.lit(")")).alias("statement"))
     if style == "explicit":
         return need.select("module", "imported_module", "element_type", "element",
                            F.concat(F.lit("import "), F.col("imported_module"), F.lit(" ("),

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import contains_literal, like
@@ -15,6 +15,8 @@ from .functions import _top
 
 HIGHER_ORDER_SIGNATURE = r"\([^)]*->"
 CASE_OF_LINE = r"\bcase\b.*\bof\b"
+LEADING_NAME = r"^([a-z_][A-Za-z0-9_']*)"
+MIN_CLAUSES = 2
 
 
 def match_function_calls(g: CodeGraph, function: str | None = None, target: str | None = None,
@@ -66,11 +68,30 @@ def match_type_usage(g: CodeGraph, type_name: str, usage_in: str = "function") -
     raise ValueError("usage_in must be 'function', 'type' or 'class'")
 
 
+def defining_clauses(g: CodeGraph, min_clauses: int = MIN_CLAUSES) -> DataFrame:
+    """Runs of at least ``min_clauses`` unindented body lines that start with
+    the same name, as the clauses of one definition do: ``(id, clause,
+    first_line, n_clauses)``. Blank and indented lines continue a clause; a
+    line that starts with anything else ends the run (gaps and islands over
+    the lines of one body)."""
+    lines = g.function_body.select("id", F.posexplode(F.split("raw_string", "\n")).alias("at", "l"))
+    heads = lines.filter(F.col("l").rlike(r"^[^\s]")).select(
+        "id", "at", F.regexp_extract("l", LEADING_NAME, 1).alias("clause"))
+    body = Window.partitionBy("id").orderBy("at")
+    new = F.coalesce(F.col("clause") != F.lag("clause").over(body), F.lit(True)).cast("int")
+    return (heads.withColumn("new", new).withColumn("run", F.sum("new").over(body))
+            .filter(F.col("clause") != "").groupBy("id", "run", "clause").agg(
+                (F.min("at") + 1).cast("bigint").alias("first_line"),
+                F.count(F.lit(1)).alias("n_clauses"))
+            .filter(F.col("n_clauses") >= min_clauses)
+            .select("id", "clause", "first_line", "n_clauses"))
+
+
 def match_code_structure(g: CodeGraph, structure: str = "nested_function") -> DataFrame:
     """``nested_function``: (parent, nested definition) rows with the
     parent's nested count; ``higher_order``: functions whose signature has
     a function-typed argument; ``pattern_match``: functions whose body has
-    a ``case ... of`` line."""
+    a ``case ... of`` line or several defining clauses of one name."""
     f = g.function.select("id", "name", "module_name", "function_signature")
     if structure == "nested_function":
         w = g.where_function.select(F.col("parent_function_id").alias("id"),
@@ -83,7 +104,8 @@ def match_code_structure(g: CodeGraph, structure: str = "nested_function") -> Da
         return f.filter(F.col("function_signature").rlike(HIGHER_ORDER_SIGNATURE))
     if structure == "pattern_match":
         lines = g.function_body.select("id", F.explode(F.split("raw_string", "\n")).alias("l"))
-        hit = lines.filter(F.col("l").rlike(CASE_OF_LINE)).select("id").distinct()
+        hit = (lines.filter(F.col("l").rlike(CASE_OF_LINE)).select("id")
+               .unionByName(defining_clauses(g).select("id")).distinct())
         return f.join(hit, "id", "left_semi")
     raise ValueError("structure must be nested_function, higher_order or pattern_match")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import contains_literal, like, or_default, preview
 from ..plans.graph import bfs
 from ..plans.keys import Keys, key_frame, restrict
-from ..plans.substring import contains_pairs
+from ..plans.substring import contains_pairs, name_pairs
 from ..sources.tables import CodeGraph
 from ..functions import constants as C
 from .functions import _per_group_limit, _top
@@ -125,9 +125,10 @@ def type_dependencies(g: CodeGraph, keys: Keys = None, include_dependents: bool
 
 
 def type_usage_sites(g: CodeGraph, keys: Keys = None,
-                     functions: DataFrame | None = None) -> DataFrame:
+                     functions: DataFrame | None = None, match: str = "substring") -> DataFrame:
     """Pairs (type name, function) where the function signature contains
-    the type name literally (J9, exact q-gram join). ``functions`` (a
+    the type name literally (J9, exact q-gram join), or with
+    ``match='identifier'`` as a whole identifier. ``functions`` (a
     frame with an ``id`` column) restricts the signature side first, so a
     question about a few functions does not scan the q-grams of all."""
     kf = key_frame(g.spark, keys, ["type_name"])
@@ -135,13 +136,21 @@ def type_usage_sites(g: CodeGraph, keys: Keys = None,
     sigs = g.function.select("id", "name", "module_name", "function_signature")
     if functions is not None:
         sigs = sigs.join(functions.select("id").distinct(), "id", "left_semi")
-    pairs = contains_pairs(tn, sigs, "type_name", "function_signature").select(
+    pairs = name_pairs(tn, sigs, "type_name", "function_signature", match).select(
         F.col("name").alias("type_name"), F.col("text").alias("function_signature"))
     return (pairs.join(sigs, "function_signature")
             .select(F.col("name").alias("function_name"), "module_name",
                     F.col("id").alias("function_id"), "type_name"))
 
 
+def type_functions(g: CodeGraph, keys: Keys = None, limit: int | None = C.LIMIT_TYPE_FUNCTIONS,
+                   match: str = "substring") -> DataFrame:
+    """O21 keyed: the first ``limit`` functions (by name, id) whose signature
+    mentions each type name."""
+    return _per_group_limit(type_usage_sites(g, keys, match=match), ["type_name"], limit,
+                            "function_name", "function_id")
+
+
 def type_usage(g: CodeGraph, keys: Keys = None, module: str | None = None,
                usage_threshold: int = 1) -> DataFrame:
     """Per type, the number of functions whose signature mentions its

@@ -1,8 +1,8 @@
 """Iterative graph plans: bounded breadth-first search and connected
 components, as frontier loops of joins.
 
-Each round is one join of the frontier with the edge table plus an
-anti-join against what was already reached; the only value that comes
+Each round is one join of the frontier with the edge table plus a join
+with what was already reached, for 64 roots a row; the only value that comes
 back to the driver is "is the new frontier empty". The edge table is
 persisted once per traversal (it is re-read every round), and the
 loop state is checkpointed to the session's checkpoint directory every
@@ -12,6 +12,8 @@ rounds, not all of them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,22 +57,36 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "s
     equal). A root itself is never reported (it is visited at depth 0).
     ``reverse=True`` walks edges backwards (dependents / callers).
     ``max_depth=None`` runs to the fixpoint.
+
+    All roots walk at once: 64 of them share a block, and a block's roots that
+    reach a node are one 64-bit mask. A round joins (node, block, mask) rows
+    with the edges, ORs the masks per (node, block), in the map tasks first,
+    and clears the bits already seen; rows per root appear only in the result.
     """
     e = _edges(edges, src, dst, reverse).persist(StorageLevel.MEMORY_AND_DISK)
     cached = [e]
-    # Read by every round: derived once.
-    start = roots.select("root", "node").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    cached.append(start)
-    # visited holds (root, node, depth); depth 0 rows are the roots.
-    visited = start.withColumn("depth", F.lit(0))
-    frontier = start
-    depth = 0
+    one = F.lit(1).cast("long")
+    # Ids count up within a partition, so that blocks are filled without a
+    # sort over all roots; the numbering is written once.
+    named = cut_lineage(roots.select("root").distinct().withColumn(
+        "__id", F.monotonically_increasing_id())).select(
+        "root", F.shiftright("__id", 6).alias("__block"),
+        F.col("__id").bitwiseAND(F.lit(63)).cast("int").alias("__bit"))
+    frontier = (roots.select("root", "node").join(named, "root").groupBy("node", "__block").agg(
+        F.bit_or(F.call_function("shiftleft", one, F.col("__bit"))).alias("__mask"))
+        .persist(StorageLevel.MEMORY_AND_DISK))
+    cached.append(frontier)
+    seen, layers, depth = frontier, [], 0
     while max_depth is None or depth < max_depth:
         depth += 1
+        had = seen.select("node", "__block", F.col("__mask").alias("__had"))
         step = (frontier.join(e, frontier["node"] == e["__src"])
-                .select("root", F.col("__dst").alias("node"))
-                .join(visited.select("root", "node"), ["root", "node"], "left_anti")
-                .distinct())
+                .groupBy(F.col("__dst").alias("node"), "__block").agg(
+                    F.bit_or("__mask").alias("__mask"))
+                .join(had, ["node", "__block"], "left")
+                .select("node", "__block", F.col("__mask").bitwiseAND(F.bitwise_not(
+                    F.coalesce("__had", F.lit(0).cast("long")))).alias("__mask"))
+                .filter(F.col("__mask") != 0))
         if depth % checkpoint_every == 0:
             step = cut_lineage(step)
         else:
@@ -80,12 +96,26 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "s
         # and leave the rest to be recomputed by every later round).
         if step.count() == 0:
             break
-        visited = visited.unionByName(step.withColumn("depth", F.lit(depth)))
-        if depth % checkpoint_every == 0:
-            visited = cut_lineage(_bounded(visited))
+        layers.append(step.withColumn("depth", F.lit(depth)))
         frontier = step
+        if depth == max_depth:
+            break
+        seen = seen.unionByName(step).groupBy("node", "__block").agg(
+            F.bit_or("__mask").alias("__mask"))
+        if depth % checkpoint_every == 0:
+            seen = cut_lineage(_bounded(seen))
+        else:
+            seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(seen)
+    # 64 roots a block at most.
+    members = named.groupBy("__block").agg(F.collect_list(F.struct("__bit", "root")).alias("__of"))
+    if not layers:
+        layers = [frontier.limit(0).withColumn("depth", F.lit(0))]
+    found = reduce(DataFrame.unionByName, layers).join(members, "__block").select(
+        "node", "depth", F.explode(F.filter("__of", lambda x: F.call_function(
+            "shiftright", F.col("__mask"), x["__bit"]).bitwiseAND(one) == 1)).alias("__r"))
     # The result lives in the checkpoint folder; the round caches can go.
-    result = cut_lineage(_bounded(visited.filter(F.col("depth") > 0)))
+    result = cut_lineage(_bounded(found.select("__r.root", "node", "depth")))
     for df in cached:
         df.unpersist()
     return result

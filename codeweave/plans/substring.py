@@ -54,3 +54,29 @@ def contains_pairs(names: DataFrame, texts: DataFrame, name_col: str = "name",
     # fetched and both verified, so the answer does not rest on the hash.
     return (cand.distinct().join(dt, "tid").filter(F.col("text").contains(F.col("name")))
             .select("name", "text"))
+
+
+IDENTIFIER = "[A-Za-z0-9_]+"
+
+
+def token_pairs(names: DataFrame, texts: DataFrame, name_col: str = "name",
+                text_col: str = "text") -> DataFrame:
+    """Pairs ``(name, text)`` of distinct strings where ``name`` equals a
+    whole identifier of ``text``: an equi-join with the texts' inverted index
+    (identifier, text id); the texts are fetched afterwards."""
+    dn = names.select(F.col(name_col).alias("name")).filter(F.col("name").isNotNull()).distinct()
+    dt = (texts.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).distinct()
+          .withColumn("tid", F.xxhash64("text")))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIER), 0))
+    index = dt.select("tid", F.explode(words).alias("name"))
+    # Two texts that share an id are both fetched, so the word is looked for.
+    return (dn.join(index, "name").distinct().join(dt.withColumn("words", words), "tid")
+            .filter(F.array_contains("words", F.col("name"))).select("name", "text"))
+
+
+def name_pairs(names: DataFrame, texts: DataFrame, name_col: str, text_col: str,
+               match: str = "substring") -> DataFrame:
+    """``contains_pairs`` or, for ``match='identifier'``, ``token_pairs``."""
+    if match not in ("substring", "identifier"):
+        raise ValueError("match must be 'substring' or 'identifier'")
+    return (contains_pairs if match == "substring" else token_pairs)(names, texts, name_col, text_col)

@@ -58,3 +58,14 @@ LEFT JOIN ci ON ci.class_name = c.class_name
 def class_details(g, spark, sf_dir):
     """O26 for every class, up to 10 instances each."""
     return op.class_details(g)
+
+
+@register("class_instances_identifier", """
+SELECT c.class_name, i.id AS instance_id, i.instance_definition, i.instance_signature,
+  i.module_id AS instance_module_id
+FROM (SELECT DISTINCT class_name FROM cg_class) c JOIN cg_instance i
+  ON list_contains(regexp_extract_all(i.instance_definition, '[A-Za-z0-9_]+'), c.class_name)
+""")
+def class_instances_identifier(g, spark, sf_dir):
+    """J9 with whole identifiers: the instances of every class."""
+    return op.class_instances(g, match="identifier")

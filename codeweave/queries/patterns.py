@@ -70,14 +70,35 @@ def pattern_nested_functions(g, spark, sf_dir):
     return op.match_code_structure(g, "nested_function")
 
 
-@register("pattern_case_of", r"""
+_CLAUSES = r"""
+, body_lines AS (SELECT id, ln, l FROM (
+    SELECT id, unnest(string_split(raw_string, chr(10))) AS l,
+      unnest(range(1, len(string_split(raw_string, chr(10))) + 1)) AS ln FROM cg_function_body)
+  WHERE regexp_matches(l, '^[^\s]')),
+heads AS (SELECT id, ln, regexp_extract(l, '^([a-z_][A-Za-z0-9_'']*)', 1) AS clause FROM body_lines),
+marked AS (SELECT *, CASE WHEN clause = lag(clause) OVER (PARTITION BY id ORDER BY ln) THEN 0 ELSE 1 END AS fresh
+  FROM heads),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY ln) AS run FROM marked),
+clauses AS (SELECT id, clause, CAST(min(ln) AS BIGINT) AS first_line, count(*) AS n_clauses FROM numbered
+  WHERE clause <> '' GROUP BY id, run, clause HAVING count(*) >= 2)
+"""
+
+
+@register("pattern_clauses", _CLAUSES + "SELECT id, clause, first_line, n_clauses FROM clauses")
+def pattern_clauses(g, spark, sf_dir):
+    """Runs of defining clauses in every body."""
+    return op.defining_clauses(g)
+
+
+@register("pattern_case_of", _CLAUSES + r"""
 SELECT f.id, f.name, f.module_name, f.function_signature FROM cg_function f
 WHERE f.id IN (SELECT id FROM (SELECT id, unnest(string_split(raw_string, chr(10))) AS l
                                FROM cg_function_body)
-               WHERE regexp_matches(l, '\bcase\b.*\bof\b'))
+               WHERE regexp_matches(l, '\bcase\b.*\bof\b') UNION SELECT id FROM clauses)
 """)
 def pattern_case_of(g, spark, sf_dir):
-    """O35 code_structure pattern_match: bodies with a case ... of line."""
+    """O35 code_structure pattern_match: bodies with a case ... of line or several
+    defining clauses."""
     return op.match_code_structure(g, "pattern_match")
 
 

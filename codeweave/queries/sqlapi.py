@@ -76,3 +76,62 @@ def entity_query_import(g, spark, sf_dir):
                         "value": ["pkg-1-urgent", "Test-2-high"]},
                        {"field": "line", "operator": "between", "value": [5, 10]},
                        {"field": "as_module_name", "operator": "eq", "value": None}]})
+
+
+@register("entity_query_call_sites", """
+SELECT f.* FROM cg_function f WHERE f.line_start > 40 AND f.line_end <= 400
+  AND EXISTS (SELECT 1 FROM cg_function_called c WHERE c.function_id = f.id AND c.site >= 6
+              AND c.module_name IS NULL)
+""")
+def entity_query_call_sites(g, spark, sf_dir):
+    """Functions with an unresolved late call site; gt, le, ge, is_null."""
+    return op.entity_query(g, {
+        "type": "function", "joins": [{"entity": "function_called"}], "limit": None,
+        "conditions": [{"field": "line_start", "operator": "gt", "value": 40},
+                       {"field": "line_end", "operator": "le", "value": 400},
+                       {"field": "function_called.site", "operator": "ge", "value": 6},
+                       {"field": "function_called.module_name", "operator": "is_null"}]})
+
+
+@register("entity_query_fields", """
+SELECT t.* FROM cg_type t WHERE lower(t.type_name) LIKE '%build%' AND EXISTS (
+  SELECT 1 FROM cg_constructor c JOIN cg_field f ON f.constructor_id = c.id
+  WHERE c.type_id = t.id AND f.field_name IN ('f5', 'f6') AND position('_1' IN f.field_type_raw) > 0)
+""")
+def entity_query_fields(g, spark, sf_dir):
+    """Types by a condition two joins down; ilike, in, contains."""
+    return op.entity_query(g, {
+        "type": "type", "joins": ["field"], "limit": None,
+        "conditions": [{"field": "type_name", "operator": "ilike", "value": "*BUILD*"},
+                       {"field": "field.field_name", "operator": "in", "value": ["f5", "f6"]},
+                       {"field": "field.field_type_raw", "operator": "contains", "value": "_1"}]})
+
+
+@register("entity_query_siblings", """
+SELECT i.* FROM cg_instance i WHERE EXISTS (
+  SELECT 1 FROM cg_module m JOIN cg_function f ON f.module_id = m.id
+  WHERE m.id = i.module_id AND f.line_end < 60 AND f.type_enum NOT IN ('SMALL', 'LARGE')
+    AND f.name LIKE '%e')
+""")
+def entity_query_siblings(g, spark, sf_dir):
+    """Instances whose module holds a matching function (up to a parent
+    and down again); lt, not_in, endswith."""
+    return op.entity_query(g, {
+        "type": "instance", "joins": [{"entity": "function"}], "limit": None,
+        "conditions": [{"field": "function.line_end", "operator": "lt", "value": 60},
+                       {"field": "function.type_enum", "operator": "not_in",
+                        "value": ["SMALL", "LARGE"]},
+                       {"field": "function.name", "operator": "endswith", "value": "e"}]})
+
+
+@register("entity_query_on", """
+SELECT m.* FROM cg_module m WHERE EXISTS (
+  SELECT 1 FROM cg_import i WHERE i.module_name = m.name AND i.is_hiding AND i.line BETWEEN 3 AND 9)
+""")
+def entity_query_on(g, spark, sf_dir):
+    """Modules that an import names, joined on the columns given."""
+    return op.entity_query(g, {
+        "type": "module", "joins": [{"entity": "import", "on": ["name", "module_name"]}],
+        "limit": None,
+        "conditions": [{"field": "import.is_hiding", "operator": "eq", "value": True},
+                       {"field": "import.line", "operator": "between", "value": [3, 9]}]})

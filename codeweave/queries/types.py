@@ -225,3 +225,25 @@ WHERE e.dst IN (SELECT type_id FROM nodes) AND e.src NOT IN (SELECT type_id FROM
 def type_relationships_dependents(g, spark, sf_dir):
     """O24 reverse dependencies: outside types with an edge into the subgraph."""
     return op.type_relationships(g, *_first_type(g)).dependents
+
+
+@register("type_usage_identifiers", """
+SELECT f.name AS function_name, f.module_name, f.id AS function_id, tn.type_name
+FROM (SELECT DISTINCT type_name FROM cg_type) tn JOIN cg_function f
+  ON list_contains(regexp_extract_all(f.function_signature, '[A-Za-z0-9_]+'), tn.type_name)
+""")
+def type_usage_identifiers(g, spark, sf_dir):
+    """J9 with whole identifiers: every (type name, function)."""
+    return op.type_usage_sites(g, match="identifier")
+
+
+@register("type_functions", """
+SELECT function_name, module_name, function_id, type_name FROM (
+  SELECT f.name AS function_name, f.module_name, f.id AS function_id, tn.type_name,
+    row_number() OVER (PARTITION BY tn.type_name ORDER BY f.name, f.id) AS rn
+  FROM (SELECT DISTINCT type_name FROM cg_type) tn
+  JOIN cg_function f ON position(tn.type_name IN f.function_signature) > 0) WHERE rn <= 20
+""")
+def type_functions(g, spark, sf_dir):
+    """O21 keyed by every type name: its first 20 functions."""
+    return op.type_functions(g)

@@ -291,3 +291,177 @@ def test_first_only_roots(spark):
     assert rows(first, "root_id") == [(3,)]
     scoped = calls.call_neighbours(g, [("f", "A")], depth=1, include_callers=False)
     assert rows(scoped, "root_id") == [(7,)]
+
+
+def test_walk_from_many_roots_equals_brute_force(spark):
+    """More roots than one block holds, a hub, cycles, several start nodes."""
+    import random
+
+    from codeweave.plans.graph import bfs
+    random.seed(3)
+    edges = {(random.randrange(150), random.randrange(150)) for _ in range(400)}
+    edges |= {(0, i) for i in range(1, 90)} | {(i, i) for i in range(5)}
+    e = spark.createDataFrame(sorted(edges), "src long, dst long")
+    roots = [(i, i) for i in range(150)] + [(900, 3), (900, 77)]
+    r = spark.createDataFrame(roots, "root long, node long")
+    for depth, reverse in ((1, False), (2, True), (None, False)):
+        want = set()
+        for root in {a for a, _ in roots}:
+            seen = front = {b for a, b in roots if a == root}
+            d = 0
+            while front and (depth is None or d < depth):
+                d += 1
+                front = {(s if reverse else t) for s, t in edges
+                         if (t if reverse else s) in front} - seen
+                seen = seen | front
+                want |= {(root, n, d) for n in front}
+        got = bfs(e, r, depth, reverse=reverse)
+        assert {tuple(x) for x in got.select("root", "node", "depth").collect()} == want
+        assert got.count() == len(want)
+    assert bfs(e, r.limit(0), 3).collect() == [] and bfs(e.limit(0), r, 3).collect() == []
+
+
+def test_unresolved_callees_are_neighbours(spark):
+    g = make_graph(spark, module=mods("M"), function=[
+        {"id": 1, "name": "f", "module_id": 0, "module_name": "M"},
+        {"id": 2, "name": "g", "module_id": 0, "module_name": "M"}],
+        function_called=[
+            {"function_id": 1, "callee_id": 2, "name": "g", "module_name": "M", "site": 1},
+            {"function_id": 2, "name": "lookup", "module_name": "Data.Map", "site": 1},
+            {"function_id": 2, "name": "lookup", "module_name": "Data.Map", "site": 2},
+            {"function_id": 2, "name": "lookup", "site": 3}],
+        function_dependency=[{"caller_id": 1, "callee_id": 2}])
+    got = rows(calls.call_neighbours(g, ["f"], depth=2), "function_id", "function", "module_name",
+               "depth", "is_external")
+    assert got == [(2, "g", "M", 1, False), (None, "lookup", "Data.Map", 2, True),
+                   (None, "lookup", None, 2, True)]
+    assert rows(calls.call_neighbours(g, ["g"], depth=1, include_callers=False), "function",
+                "module_name") == [("lookup", "Data.Map"), ("lookup", None)]
+
+
+def test_long_spans_make_few_rows(spark):
+    from codeweave.plans import interval
+    spans = [("a", 1, 1_000_000, 1), ("a", 60, 70, 2), ("a", 64, 64, 3), ("a", 500, 1100, 4),
+             ("b", 1, 10, 5), ("a", 10, 4, 6)]
+    s = spark.createDataFrame(spans, "src_file string, line_start long, line_end long, s long")
+    assert interval._levelled(s).count() <= 2 * len(spans)
+    points = [(i, "a", line) for i, line in enumerate((1, 63, 64, 70, 71, 800, 999_999, 2_000_000))]
+    p = spark.createDataFrame(points, "probe_id long, src_file string, line long")
+    for radius in (0, 5, 700):
+        want = sorted((i, k) for i, f, x in points for f2, lo, hi, k in spans
+                      if f == f2 and lo <= hi and lo <= x + radius and hi >= x - radius)
+        got = interval.window_overlaps(p, s.filter("line_start <= line_end"), radius)
+        assert rows(got, "probe_id", "s") == want
+    assert rows(interval.point_in_span(p, s), "probe_id", "s") == sorted(
+        (i, k) for i, f, x in points for f2, lo, hi, k in spans if f == f2 and lo <= x <= hi)
+
+
+def test_identifier_match_is_whole(spark):
+    from codeweave.plans.substring import token_pairs
+    names = spark.createDataFrame([("T_1",), ("T",), (None,)], "name string")
+    texts = spark.createDataFrame([("T_1 -> T_12",), ("(T)",), ("xT",), (None,), ("",)], "text string")
+    assert rows(token_pairs(names, texts)) == [("T", "(T)"), ("T_1", "T_1 -> T_12")]
+
+
+def test_entity_query_joins(spark):
+    g = make_graph(spark, module=mods("A", "B"), function=[
+        {"id": i, "name": f"f{i}", "module_id": i % 2, "module_name": "AB"[i % 2]} for i in range(4)],
+        function_called=[{"function_id": 1, "name": "x", "site": s} for s in (1, 2, 3)]
+        + [{"function_id": 2, "name": "y", "site": 9}],
+        type=[{"id": 5, "type_name": "T", "module_id": 0}, {"id": 6, "type_name": "U", "module_id": 1}],
+        constructor=[{"id": 50, "type_id": 5, "name": "MkT"}, {"id": 60, "type_id": 6, "name": "MkU"}],
+        field=[{"constructor_id": 50, "field_name": "a"}, {"constructor_id": 60, "field_name": "b"}])
+
+    def ids(**q):
+        return [r.id for r in sqlapi.entity_query(g, {"limit": None, **q}).orderBy("id").collect()]
+
+    def cond(field, value, op="eq"):
+        return {"field": field, "operator": op, "value": value}
+    calls_of = {"type": "function", "joins": ["function_called"]}
+    assert ids(**calls_of) == [1, 2]                              # once each
+    assert ids(**calls_of, conditions=[cond("function_called.name", "x")]) == [1]
+    # one call site must meet both conditions
+    assert ids(**calls_of, conditions=[cond("function_called.name", "x"),
+                                       cond("function_called.site", 9)]) == []
+    assert ids(type="type", joins=["field"], conditions=[cond("field.field_name", "a")]) == [5]
+    assert ids(type="type", joins=["constructor", "field"], conditions=[
+        cond("constructor.name", "MkU"), cond("field.field_name", "a")]) == []
+    assert ids(type="function", joins=["module"], conditions=[cond("module.name", "B")]) == [1, 3]
+    assert ids(type="type", joins=["function"], conditions=[cond("function.name", "f3")]) == [6]
+    on = {"entity": "function", "on": ["name", "module_name"]}
+    assert ids(type="module", joins=[on], conditions=[cond("function.id", 2)]) == [0]
+    for bad in ({"joins": ["nothing"]}, {"joins": ["function"]}, {"joins": [{"entity": "module",
+                "on": ["nope", "id"]}]}, {"conditions": [cond("module.name", "B")]}):
+        with pytest.raises((ValueError, AttributeError)):
+            ids(type="function", **bad)
+
+
+def test_defining_clauses(spark):
+    body = "go 0 = 1\n\ngo n = n\n  where x = 1\ngo _ = 2\nother = 3\ngo 5 = 1\n-- go\nmain = x"
+    g = make_graph(spark, module=mods("M"), function=[
+        {"id": 1, "name": "f", "module_id": 0}, {"id": 2, "name": "g", "module_id": 0}],
+        function_body=[{"id": 1, "raw_string": body}, {"id": 2, "raw_string": "a = 1\nb = 2"}])
+    assert rows(pat.defining_clauses(g)) == [(1, "go", 1, 3)]
+    assert rows(pat.match_code_structure(g, "pattern_match"), "id") == [(1,)]
+
+
+def test_imports_supply_elements(spark):
+    """An import list, a hiding list, and one supplier of two."""
+    g = make_graph(spark, module=mods("M", "D", "E"), function=[
+        {"id": 1, "name": "f", "module_id": 0, "module_name": "M", "function_signature": "T -> U"},
+        {"id": 2, "name": "a", "module_id": 1, "module_name": "D"},
+        {"id": 3, "name": "b", "module_id": 1, "module_name": "D"}],
+        function_called=[{"function_id": 1, "callee_id": 2, "name": "a", "module_name": "D", "site": 1},
+                         {"function_id": 1, "callee_id": 3, "name": "b", "module_name": "D", "site": 2}],
+        type=[{"id": 1, "type_name": "T", "module_id": 1}, {"id": 2, "type_name": "T", "module_id": 2},
+              {"id": 3, "type_name": "U", "module_id": 2}],
+        **{"class": [{"id": 1, "class_name": "C", "module_id": 2}]},
+        instance=[{"id": 1, "module_id": 0, "instance_definition": "instance C T"}])
+
+    def need(*imports, **kw):
+        from dataclasses import replace
+
+        from codeweave.sources.tables import ENTITY_SCHEMAS
+        schema = ENTITY_SCHEMAS["import"]
+        data = [tuple({"id": k, "module_id": 0, **i}.get(f.name) for f in schema.fields)
+                for k, i in enumerate(imports)]
+        h = replace(g, imports=spark.createDataFrame(data, schema))
+        return rows(location.generate_imports(h, style="explicit", **kw), "statement")
+    both = [("import D (T, a, b)",), ("import E (C, T, U)",)]
+    assert need(combine=True) == both
+    d, only_a = {"module_name": "D"}, {"module_name": "D", "hiding_specs": "[a]"}
+    hide_a = {**only_a, "is_hiding": True}
+    # T comes from D now, so E is not asked for it.
+    assert need(d, combine=True) == [("import E (C, U)",)]
+    assert need(only_a, combine=True) == [("import D (T, b)",), ("import E (C, T, U)",)]
+    assert need(hide_a, combine=True) == [("import D (a)",), ("import E (C, U)",)]
+    assert need(hide_a, only_a, combine=True) == [("import E (C, U)",)]
+    assert need(element_type="class") == [("import E (C)",)]
+
+
+def test_location_items_and_type_functions(spark):
+    path = "src/M.hs"
+    g = make_graph(spark, module=mods("M"), function=[
+        {"id": 1, "name": "f", "module_id": 0, "module_name": "M", "src_file": path, "line_start": 1,
+         "line_end": 9, "function_signature": "T_1 -> T_1"},
+        {"id": 2, "name": "g", "module_id": 0, "module_name": "M", "function_signature": "T_12"}],
+        function_called=[{"function_id": 1, "callee_id": 2, "name": "g", "module_name": "M", "site": 1}]
+        + [{"function_id": 1, "name": f"x{i}", "module_name": "X", "site": i} for i in range(9)],
+        type=[{"id": 1, "type_name": "T_1", "module_id": 0}])
+    probes = spark.createDataFrame([(7, path, 3), (8, path, 30)], "probe_id long, src_file string, line long")
+    got = rows(location.location_items(g, probes), "probe_id", "kind", "rank", "name")
+    assert got == [(7, "external_function", i + 1, f"x{i}") for i in range(5)] + [
+        (7, "local_function", 1, "g"), (7, "local_type", 1, "T_1")]
+    assert rows(types.type_functions(g, ["T_1"], limit=1), "function_name") == [("f",)]
+    assert rows(types.type_functions(g, ["T_1"], match="identifier"), "function_name") == [("f",)]
+    assert len(rows(types.type_functions(g, ["T_1"]))) == 2
+
+
+def test_function_context_flags_and_body(spark):
+    text = "\n".join(f"line {i} of a body" for i in range(30))
+    g = make_graph(spark, module=mods("M"), function=[{"id": 1, "name": "f", "module_id": 0}],
+                   function_body=[{"id": 1, "raw_string": text}])
+    r = location.function_context(g, include_local_definitions=False, include_body=True).first()
+    assert r.body == text and r.body_preview == text[:200] + "..." and r.body_head == "\n".join(
+        text.split("\n")[:5])
+    assert r.n_external_types == 0 and "n_local_types" not in r.asDict()
