@@ -68,15 +68,17 @@ def match_type_usage(g: CodeGraph, type_name: str, usage_in: str = "function") -
     raise ValueError("usage_in must be 'function', 'type' or 'class'")
 
 
-def defining_clauses(g: CodeGraph, min_clauses: int = MIN_CLAUSES) -> DataFrame:
+def defining_clauses(g: CodeGraph, min_clauses: int = MIN_CLAUSES,
+                     leading_name: str = LEADING_NAME) -> DataFrame:
     """Runs of at least ``min_clauses`` unindented body lines that start with
     the same name, as the clauses of one definition do: ``(id, clause,
     first_line, n_clauses)``. Blank and indented lines continue a clause; a
     line that starts with anything else ends the run (gaps and islands over
-    the lines of one body)."""
+    the lines of one body). ``leading_name`` is the pattern whose group 1 is
+    the name at a line's start (default: an identifier in lower case)."""
     lines = g.function_body.select("id", F.posexplode(F.split("raw_string", "\n")).alias("at", "l"))
     heads = lines.filter(F.col("l").rlike(r"^[^\s]")).select(
-        "id", "at", F.regexp_extract("l", LEADING_NAME, 1).alias("clause"))
+        "id", "at", F.regexp_extract("l", leading_name, 1).alias("clause"))
     body = Window.partitionBy("id").orderBy("at")
     new = F.coalesce(F.col("clause") != F.lag("clause").over(body), F.lit(True)).cast("int")
     return (heads.withColumn("new", new).withColumn("run", F.sum("new").over(body))
@@ -87,7 +89,8 @@ def defining_clauses(g: CodeGraph, min_clauses: int = MIN_CLAUSES) -> DataFrame:
             .select("id", "clause", "first_line", "n_clauses"))
 
 
-def match_code_structure(g: CodeGraph, structure: str = "nested_function") -> DataFrame:
+def match_code_structure(g: CodeGraph, structure: str = "nested_function",
+                         leading_name: str = LEADING_NAME) -> DataFrame:
     """``nested_function``: (parent, nested definition) rows with the
     parent's nested count; ``higher_order``: functions whose signature has
     a function-typed argument; ``pattern_match``: functions whose body has
@@ -105,14 +108,14 @@ def match_code_structure(g: CodeGraph, structure: str = "nested_function") -> Da
     if structure == "pattern_match":
         lines = g.function_body.select("id", F.explode(F.split("raw_string", "\n")).alias("l"))
         hit = (lines.filter(F.col("l").rlike(CASE_OF_LINE)).select("id")
-               .unionByName(defining_clauses(g).select("id")).distinct())
+               .unionByName(defining_clauses(g, leading_name=leading_name).select("id")).distinct())
         return f.join(hit, "id", "left_semi")
     raise ValueError("structure must be nested_function, higher_order or pattern_match")
 
 
 _CONFIG_KEYS = {"function_call": {"function", "target", "mode", "caller", "callee"},
                 "type_usage": {"type_name", "usage_in"},
-                "code_structure": {"structure_type", "structure"}}
+                "code_structure": {"structure_type", "structure", "leading_name"}}
 
 
 def pattern_match(g: CodeGraph, pattern_type: str, config: dict, limit: int | None = 50
@@ -133,7 +136,7 @@ def pattern_match(g: CodeGraph, pattern_type: str, config: dict, limit: int | No
         order = ["element_id"]
     else:
         out = match_code_structure(g, config.get("structure_type") or config.get(
-            "structure", "nested_function"))
+            "structure", "nested_function"), config.get("leading_name", LEADING_NAME))
         order = [c for c in ("parent_id", "id", "nested") if c in out.columns]
     return _top(out, limit, *order)
 

@@ -70,12 +70,14 @@ def pattern_nested_functions(g, spark, sf_dir):
     return op.match_code_structure(g, "nested_function")
 
 
+# The fixture's bodies are prose: names start in either case.
+_ANY_CASE = "^([A-Za-z_][A-Za-z0-9_']*)"
 _CLAUSES = r"""
 , body_lines AS (SELECT id, ln, l FROM (
     SELECT id, unnest(string_split(raw_string, chr(10))) AS l,
       unnest(range(1, len(string_split(raw_string, chr(10))) + 1)) AS ln FROM cg_function_body)
   WHERE regexp_matches(l, '^[^\s]')),
-heads AS (SELECT id, ln, regexp_extract(l, '^([a-z_][A-Za-z0-9_'']*)', 1) AS clause FROM body_lines),
+heads AS (SELECT id, ln, regexp_extract(l, '^([A-Za-z_][A-Za-z0-9_'']*)', 1) AS clause FROM body_lines),
 marked AS (SELECT *, CASE WHEN clause = lag(clause) OVER (PARTITION BY id ORDER BY ln) THEN 0 ELSE 1 END AS fresh
   FROM heads),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY ln) AS run FROM marked),
@@ -87,7 +89,7 @@ clauses AS (SELECT id, clause, CAST(min(ln) AS BIGINT) AS first_line, count(*) A
 @register("pattern_clauses", _CLAUSES + "SELECT id, clause, first_line, n_clauses FROM clauses")
 def pattern_clauses(g, spark, sf_dir):
     """Runs of defining clauses in every body."""
-    return op.defining_clauses(g)
+    return op.defining_clauses(g, leading_name=_ANY_CASE)
 
 
 @register("pattern_case_of", _CLAUSES + r"""
@@ -99,7 +101,7 @@ WHERE f.id IN (SELECT id FROM (SELECT id, unnest(string_split(raw_string, chr(10
 def pattern_case_of(g, spark, sf_dir):
     """O35 code_structure pattern_match: bodies with a case ... of line or several
     defining clauses."""
-    return op.match_code_structure(g, "pattern_match")
+    return op.match_code_structure(g, "pattern_match", _ANY_CASE)
 
 
 @register("cross_module_dependencies", """
