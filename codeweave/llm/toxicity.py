@@ -11,8 +11,11 @@ and are composed into one table before use:
 
 The composed machine runs over the clauses that hold an insult or threat;
 each match adds its word's weight to its class. A logistic layer on the
-class sums, fitted on training documents, gives the score. Isolated words
-are never scored: only what the machine emits for a clause is.
+class sums, fitted on training documents, gives the score. A clause that
+holds one insult or threat word and nothing else is a match of the plain
+classes I and H: much toxic text has no more (README gives the figures), so
+lone words do count, with weights of their own. Targets and reports act on
+what follows them in the clause.
 
 Learning uses at most SAMPLE_PER_CLASS labelled training rows of either
 label, chosen by hash of doc_id (the documented bound of the fit): a word's
