@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.graph import _bounded, bfs
+from ..plans.graph import _bounded, bfs_masks
 from ..plans.keys import Keys, key_frame, restrict
 from ..session import cut_lineage
 from ..sources.tables import CodeGraph
@@ -59,9 +59,9 @@ def call_neighbours(g: CodeGraph, keys: Keys = None, depth: int = 2,
     parts = []
     if include_callees:
         forward = call_edges(g).unionByName(outside.select("src", "dst"))
-        parts.append(bfs(forward, roots, depth).withColumn("direction", F.lit("callee")))
+        parts.append(bfs_masks(forward, roots, depth).withColumn("direction", F.lit("callee")))
     if include_callers:
-        parts.append(bfs(call_edges(g), roots, depth, reverse=True)
+        parts.append(bfs_masks(call_edges(g), roots, depth, reverse=True)
                      .withColumn("direction", F.lit("caller")))
     if not parts:
         raise ValueError("choose include_callers and/or include_callees")
@@ -159,7 +159,7 @@ def call_graph_flat(g: CodeGraph, keys: Keys = None, max_depth: int = 3,
     if filter_modules:
         ok = g.function.filter(module_filter(F.col("module_name"), filter_modules))
         roots = roots.join(ok.select(F.col("id").alias("node")), "node", "left_semi")
-    reached = bfs(_filtered_edges(g, filter_modules), roots, max_depth)
+    reached = bfs_masks(_filtered_edges(g, filter_modules), roots, max_depth)
     out = roots.withColumn("depth", F.lit(0)).unionByName(reached)
     info = _fn_info(g)
     return out.join(info, F.col("node") == F.col("id")).select(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import has_text, like
-from ..plans.graph import bfs
+from ..plans.graph import bfs_masks
 from ..plans.keys import Keys, key_frame, restrict
 from ..sources.tables import CodeGraph
 from ..functions import constants as C
@@ -61,7 +61,7 @@ def import_graph(g: CodeGraph, root: str | list[str], depth: int = 3,
     import edges within ``depth`` hops, with the shortest hop count."""
     kf = key_frame(g.spark, root, ["name"])
     roots = kf.select(F.col("name").alias("root"), F.col("name").alias("node"))
-    return (bfs(_name_edges(g, include_external), roots, depth)
+    return (bfs_masks(_name_edges(g, include_external), roots, depth)
             .select("root", F.col("node").alias("module"),
                     F.col("depth").cast("bigint").alias("depth")))
 

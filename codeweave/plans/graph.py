@@ -2,7 +2,7 @@
 components, as frontier loops of joins.
 
 Each round is one join of the frontier with the edge table plus a join
-with what was already reached, for 64 roots a row; the only value that comes
+against what was already reached; the only value that comes
 back to the driver is "is the new frontier empty". The edge table is
 persisted once per traversal (it is re-read every round), and the
 loop state is checkpointed to the session's checkpoint directory every
@@ -57,11 +57,51 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "s
     equal). A root itself is never reported (it is visited at depth 0).
     ``reverse=True`` walks edges backwards (dependents / callers).
     ``max_depth=None`` runs to the fixpoint.
+    """
+    e = _edges(edges, src, dst, reverse).persist(StorageLevel.MEMORY_AND_DISK)
+    cached = [e]
+    # Read by every round: derived once.
+    start = roots.select("root", "node").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    cached.append(start)
+    # visited holds (root, node, depth); depth 0 rows are the roots.
+    visited = start.withColumn("depth", F.lit(0))
+    frontier = start
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        step = (frontier.join(e, frontier["node"] == e["__src"])
+                .select("root", F.col("__dst").alias("node"))
+                .join(visited.select("root", "node"), ["root", "node"], "left_anti")
+                .distinct())
+        if depth % checkpoint_every == 0:
+            step = cut_lineage(step)
+        else:
+            step = step.persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(step)
+        # count() fills the whole cache (isEmpty would compute one partition
+        # and leave the rest to be recomputed by every later round).
+        if step.count() == 0:
+            break
+        visited = visited.unionByName(step.withColumn("depth", F.lit(depth)))
+        if depth % checkpoint_every == 0:
+            visited = cut_lineage(_bounded(visited))
+        frontier = step
+    # The result lives in the checkpoint folder; the round caches can go.
+    result = cut_lineage(_bounded(visited.filter(F.col("depth") > 0)))
+    for df in cached:
+        df.unpersist()
+    return result
 
-    All roots walk at once: 64 of them share a block, and a block's roots that
+
+def bfs_masks(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "src",
+        dst: str = "dst", reverse: bool = False, checkpoint_every: int = CHECKPOINT_EVERY
+        ) -> DataFrame:
+    """The answer of ``bfs`` for many roots that reach the same nodes, as in
+    call and import graphs. All roots walk at once: 64 of them share a block, and a block's roots that
     reach a node are one 64-bit mask. A round joins (node, block, mask) rows
     with the edges, ORs the masks per (node, block), in the map tasks first,
     and clears the bits already seen; rows per root appear only in the result.
+    Where roots share few nodes a mask holds one bit and ``bfs`` is cheaper.
     """
     e = _edges(edges, src, dst, reverse).persist(StorageLevel.MEMORY_AND_DISK)
     cached = [e]

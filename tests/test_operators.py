@@ -293,11 +293,13 @@ def test_first_only_roots(spark):
     assert rows(scoped, "root_id") == [(7,)]
 
 
-def test_walk_from_many_roots_equals_brute_force(spark):
+@pytest.mark.parametrize("walk", ["bfs", "bfs_masks"])
+def test_walk_from_many_roots_equals_brute_force(spark, walk):
     """More roots than one block holds, a hub, cycles, several start nodes."""
     import random
 
-    from codeweave.plans.graph import bfs
+    from codeweave.plans import graph
+    bfs = getattr(graph, walk)
     random.seed(3)
     edges = {(random.randrange(150), random.randrange(150)) for _ in range(400)}
     edges |= {(0, i) for i in range(1, 90)} | {(i, i) for i in range(5)}
