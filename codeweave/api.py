@@ -72,8 +72,10 @@ class CodeAnalytics:
         return calls.call_neighbours(self.g, _fn_key(function_name, module_name), depth,
                                      include_callers, include_callees)
 
-    def get_function_callers(self, function_name, limit=C.LIMIT_CALLERS):
-        return functions.function_callers(self.g, [function_name], limit)
+    def get_function_callers(self, function_name, module_name=None, limit=C.LIMIT_CALLERS,
+                             resolve="name"):
+        return functions.function_callers(self.g, _fn_key(function_name, module_name), limit,
+                                          resolve)
 
     def get_function_callees(self, function_name, module_name=None, limit=C.LIMIT_CALLERS):
         return functions.function_callees(self.g, _fn_key(function_name, module_name), limit)
@@ -166,7 +168,7 @@ class CodeAnalytics:
         return imports.suspicious_imports(self.g, module_name, package_pattern, limit)
 
     def get_import_details(self, module_name, include_source_info=True):
-        return imports.import_details(self.g, [module_name])
+        return imports.import_details(self.g, [module_name], include_source_info)
 
     def generate_function_imports(self, element_name=None, source_module=None,
                                   element_type="any", import_style="haskell"):

@@ -46,19 +46,20 @@ def class_instances(g: CodeGraph, keys: Keys = None, match: str = "substring") -
     kf = key_frame(g.spark, keys, ["class_name"])
     names = restrict(g.classes.select("class_name"), kf, ["class_name"])
     inst = g.instance.select(F.col("id").alias("instance_id"), "instance_definition",
-                             "instance_signature", F.col("module_id").alias("instance_module_id"))
+                             "instance_signature", F.col("module_id").alias("instance_module_id"),
+                             F.col("src_loc").alias("instance_location"))
     pairs = name_pairs(names, inst, "class_name", "instance_definition", match).select(
         F.col("name").alias("class_name"), F.col("text").alias("instance_definition"))
     return (pairs.join(inst, "instance_definition")
             .select("class_name", "instance_id", "instance_definition",
-                    "instance_signature", "instance_module_id"))
+                    "instance_signature", "instance_module_id", "instance_location"))
 
 
 def class_details(g: CodeGraph, keys: Keys = None, include_instances: bool = True,
                   max_instances: int | None = C.SAMPLE_INSTANCES_PER_CLASS) -> DataFrame:
     """The class with its definition preview (300) and up to
-    ``max_instances`` instances (by id) with previews (100). One row per
-    (class, instance); a class without instances keeps one row."""
+    ``max_instances`` instances (by id) with previews (100), module and
+    location. One row per (class, instance); a class without instances keeps one row."""
     kf = key_frame(g.spark, keys, ["class_name", "module_name"])
     c = restrict(_classes(g), kf, ["class_name", "module_name"]).select(
         F.col("id").alias("class_id"), "class_name", "module_name",
@@ -70,5 +71,5 @@ def class_details(g: CodeGraph, keys: Keys = None, include_instances: bool = Tru
                         F.col("name").alias("instance_module"))
     inst = inst.join(m, "instance_module_id", "left").select(
         "class_name", "instance_id", preview("instance_definition", C.INSTANCE_PREVIEW).alias("instance"),
-        "instance_module", "instance_signature")
+        "instance_module", "instance_signature", "instance_location")
     return c.join(inst, "class_name", "left")

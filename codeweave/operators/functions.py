@@ -69,32 +69,53 @@ def most_called_functions(g: CodeGraph, limit: int | None = C.LIMIT_MOST_CALLED)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-def function_callers(g: CodeGraph, keys: Keys, limit: int | None = C.LIMIT_CALLERS) -> DataFrame:
+def function_callers(g: CodeGraph, keys: Keys, limit: int | None = C.LIMIT_CALLERS,
+                     resolve: str = "name") -> DataFrame:
     """Call sites whose callee name is the key name (J8), joined to
-    the calling function (J1). One row per site; ``limit`` per key."""
-    kf = key_frame(g.spark, keys, ["name"])
-    sites = restrict(g.function_called, kf, ["name"]).select(
+    the calling function (J1). One row per site with its location; ``limit``
+    per key.
+
+    ``resolve='name'`` takes every site of the name, whatever its module
+    (keys are names; a module in them is not looked at). ``resolve='module'``
+    takes the sites whose (name, module) is that of a function that the keys
+    name (keys are names or (name, module) pairs; none: every function); a
+    site without a module has no such function. The limit is then per
+    (name, module)."""
+    if resolve not in ("name", "module"):
+        raise ValueError("resolve must be name or module")
+    kf = key_frame(g.spark, keys, ["name", "module_name"])
+    if resolve == "module":
+        target = restrict(g.function, kf, ["name", "module_name"]).select(
+            "name", "module_name").distinct()
+        sites = g.function_called.join(target, ["name", "module_name"], "left_semi")
+    else:
+        sites = restrict(g.function_called, kf, ["name"])
+    sites = sites.select(
         F.col("name").alias("callee"), F.col("module_name").alias("callee_module"),
-        "function_id", "site")
+        "function_id", "site", "src_loc")
     caller = g.function.select(F.col("id").alias("function_id"),
                                F.col("name").alias("caller"),
                                F.col("module_name").alias("caller_module"))
     out = sites.join(caller, "function_id").select(
         "callee", "callee_module", F.col("function_id").alias("caller_id"), "caller",
-        "caller_module", "site")
-    return _per_group_limit(out, ["callee"], limit, "caller_id", "site", "callee_module")
+        "caller_module", "site", "src_loc")
+    group = ["callee"] if resolve == "name" else ["callee", "callee_module"]
+    return _per_group_limit(out, group, limit, "caller_id", "site", "callee_module", "src_loc")
 
 
 def function_callees(g: CodeGraph, keys: Keys, limit: int | None = C.LIMIT_CALLERS) -> DataFrame:
-    """Call sites inside the key functions (by caller id)."""
+    """Call sites inside the key functions (by caller id), with their
+    locations."""
     kf = key_frame(g.spark, keys, ["name", "module_name"])
     f = restrict(g.function, kf, ["name", "module_name"]).select(
         F.col("id").alias("function_id"), F.col("name").alias("caller"),
         F.col("module_name").alias("caller_module"))
     out = f.join(g.function_called, "function_id").select(
         F.col("function_id").alias("caller_id"), "caller", "caller_module",
-        F.col("name").alias("callee"), F.col("module_name").alias("callee_module"), "site")
-    return _per_group_limit(out, ["caller_id"], limit, "callee", "site", "callee_module")
+        F.col("name").alias("callee"), F.col("module_name").alias("callee_module"), "site",
+        "src_loc")
+    return _per_group_limit(out, ["caller_id"], limit, "callee", "site", "callee_module",
+                            "src_loc")
 
 
 def cross_module_calls(g: CodeGraph, source_module: str | None = None,
@@ -134,13 +155,16 @@ def function_complexity(g: CodeGraph, module: str | None = None,
     per map task) and left-joined, instead of one count per function.
     """
     f = g.function
+    sites = g.function_called.select(F.col("function_id").alias("id"))
+    local = g.where_function.select(F.col("parent_function_id").alias("id"))
     if module:
         f = f.join(module_of(g, module).select(F.col("id").alias("module_id")), "module_id",
                    "left_semi")
-    calls = g.function_called.groupBy(F.col("function_id").alias("id")).agg(
-        F.count(F.lit(1)).alias("call_count"))
-    wheres = g.where_function.groupBy(F.col("parent_function_id").alias("id")).agg(
-        F.count(F.lit(1)).alias("where_count"))
+        # Only the module's own rows are counted.
+        sites = sites.join(f.select("id"), "id", "left_semi")
+        local = local.join(f.select("id"), "id", "left_semi")
+    calls = sites.groupBy("id").agg(F.count(F.lit(1)).alias("call_count"))
+    wheres = local.groupBy("id").agg(F.count(F.lit(1)).alias("where_count"))
     sig = F.col("function_signature")
     sig_score = F.when(has_text(sig),
                        F.floor(F.length(sig) / C.SIGNATURE_CHARS_PER_POINT)

@@ -108,9 +108,12 @@ def suspicious_imports(g: CodeGraph, module: str | None = None,
     return _top(out, limit, "module", "import_id")
 
 
-def import_details(g: CodeGraph, keys: Keys = None) -> DataFrame:
+def import_details(g: CodeGraph, keys: Keys = None,
+                   include_source_info: bool = False) -> DataFrame:
     """Imports of each key module in overlapping buckets: exactly
-    one of internal / external, plus qualified, plus hiding."""
+    one of internal / external, plus qualified, plus hiding.
+    ``include_source_info`` adds where the import stands: its recorded
+    location, else the importing module's file and the line."""
     kf = key_frame(g.spark, keys, ["name"])
     i = _imports(g)
     if kf is not None:
@@ -119,7 +122,14 @@ def import_details(g: CodeGraph, keys: Keys = None) -> DataFrame:
         F.when(is_external(), F.lit("external")).otherwise(F.lit("internal")),
         F.when(F.coalesce("qualified_style", F.lit(False)), F.lit("qualified")),
         F.when(F.coalesce("is_hiding", F.lit(False)), F.lit("hiding"))), lambda x: x.isNotNull())
-    return i.select("module_id", "module", F.explode(tags).alias("bucket"), *IMPORT_COLS)
+    cols = list(IMPORT_COLS)
+    if include_source_info:
+        path = g.module.select(F.col("id").alias("module_id"), "path")
+        i = i.join(path, "module_id", "left")
+        at = F.when(has_text("path") & F.col("line").isNotNull(),
+                    F.concat_ws(":", "path", F.col("line").cast("string")))
+        cols.append(F.when(has_text("src_loc"), F.col("src_loc")).otherwise(at).alias("source"))
+    return i.select("module_id", "module", F.explode(tags).alias("bucket"), *cols)
 
 
 def import_bucket_counts(g: CodeGraph, keys: Keys = None) -> DataFrame:

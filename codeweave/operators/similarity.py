@@ -116,31 +116,44 @@ def pattern_lines(pattern_code: str) -> list[str]:
     return [ln.strip() for ln in pattern_code.split("\n") if ln.strip()]
 
 
-def _matching_lines(corpus: DataFrame, pattern_code: str) -> DataFrame:
+def _matching_lines(corpus: DataFrame, pattern_code: str, min_matches: int,
+                    module_pattern: str | None) -> DataFrame:
+    """(id, module, lines): the lines ``(line_no, line)`` of each qualifying
+    text that hold a pattern line. A text's lines are numbered, filtered and
+    counted inside its row, so nothing is shuffled; texts that hold no pattern
+    line at all are not split."""
     pats = pattern_lines(pattern_code)
     if not pats:
         raise ValueError("pattern_code has no non-blank line")
-    lines = corpus.select("id", "module", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    hit = F.lit(False)
-    for p in pats:
-        hit = hit | F.col("line").contains(F.lit(p))
-    return lines.filter(hit).select("id", "module", (F.col("pos") + 1).cast("bigint")
-                                    .alias("line_no"), "line")
+    if module_pattern:
+        corpus = corpus.filter(F.coalesce("module", F.lit("")).contains(F.lit(module_pattern)))
+
+    def holds(c):
+        hit = F.lit(False)
+        for p in pats:
+            hit = hit | c.contains(F.lit(p))
+        return hit
+    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(
+        (i + 1).cast("bigint").alias("line_no"), line.alias("line")))
+    return (corpus.filter(holds(F.col("text")))
+            .select("id", "module", F.filter(numbered, lambda x: holds(x["line"])).alias("lines"))
+            .filter(F.size("lines") >= max(min_matches, 1)))
 
 
 def code_patterns(corpus: DataFrame, pattern_code: str,
                   min_matches: int = C.MIN_PATTERN_MATCHES, module_pattern: str | None = None,
-                  limit: int | None = C.LIMIT_CODE_PATTERNS) -> DataFrame:
-    """``(id, module, matches)`` for texts with at least
-    ``min_matches`` lines containing any pattern line (literal, trimmed),
-    by matches desc, id."""
-    m = _matching_lines(corpus, pattern_code)
-    if module_pattern:
-        m = m.filter(F.coalesce("module", F.lit("")).contains(F.lit(module_pattern)))
-    out = (m.groupBy("id", "module").agg(F.count(F.lit(1)).alias("matches"))
-           .filter(F.col("matches") >= min_matches))
-    out = out.orderBy(F.desc("matches"), "id")
-    return out if limit is None else out.limit(limit)
+                  limit: int | None = C.LIMIT_CODE_PATTERNS,
+                  lines_shown: int = C.MATCHED_LINES_SHOWN) -> DataFrame:
+    """``(id, module, matches, matched_lines)`` for texts with at least
+    ``min_matches`` lines containing any pattern line (literal, trimmed), by
+    matches desc, id. ``matched_lines`` holds the first ``lines_shown`` of
+    them as (line_no, trimmed line); ids are unique in ``corpus``."""
+    m = _matching_lines(corpus, pattern_code, min_matches, module_pattern)
+    shown = F.transform(F.slice("lines", 1, lines_shown), lambda x: F.struct(
+        x["line_no"].alias("line_no"), F.trim(x["line"]).alias("line")))
+    out = m.select("id", "module", F.size("lines").cast("bigint").alias("matches"),
+                   shown.alias("matched_lines"))
+    return out if limit is None else out.orderBy(F.desc("matches"), "id").limit(limit)
 
 
 def code_pattern_lines(corpus: DataFrame, pattern_code: str,
@@ -149,10 +162,6 @@ def code_pattern_lines(corpus: DataFrame, pattern_code: str,
                        per_function: int = C.MATCHED_LINES_SHOWN) -> DataFrame:
     """O33 sample: the first ``per_function`` matching lines (trimmed) of
     every text that qualifies."""
-    m = _matching_lines(corpus, pattern_code)
-    if module_pattern:
-        m = m.filter(F.coalesce("module", F.lit("")).contains(F.lit(module_pattern)))
-    ok = (m.groupBy("id").agg(F.count(F.lit(1)).alias("matches"))
-          .filter(F.col("matches") >= min_matches).select("id"))
-    first = _rank_limit(m.join(ok, "id", "left_semi"), "id", per_function, "line_no")
-    return first.select("id", "line_no", F.trim("line").alias("line"))
+    m = _matching_lines(corpus, pattern_code, min_matches, module_pattern)
+    first = m.select("id", F.explode(F.slice("lines", 1, per_function)).alias("x"))
+    return first.select("id", "x.line_no", F.trim("x.line").alias("line"))

@@ -1,5 +1,7 @@
 """Function / call-site operators on the fixture graph."""
 
+from pyspark.sql import functions as F
+
 from ..operators import functions as op
 from ..registry import register
 
@@ -111,11 +113,11 @@ def most_called_functions(g, spark, sf_dir):
 
 
 @register("function_callers", """
-SELECT callee, callee_module, caller_id, caller, caller_module, site FROM (
+SELECT callee, callee_module, caller_id, caller, caller_module, site, src_loc FROM (
   SELECT c.name AS callee, c.module_name AS callee_module, c.function_id AS caller_id,
-    f.name AS caller, f.module_name AS caller_module, c.site,
+    f.name AS caller, f.module_name AS caller_module, c.site, c.src_loc,
     row_number() OVER (PARTITION BY c.name
-                       ORDER BY c.function_id, c.site, c.module_name) AS rn
+                       ORDER BY c.function_id, c.site, c.module_name, c.src_loc) AS rn
   FROM cg_function_called c JOIN cg_function f ON c.function_id = f.id) WHERE rn <= 50
 """)
 def function_callers(g, spark, sf_dir):
@@ -125,7 +127,7 @@ def function_callers(g, spark, sf_dir):
 
 @register("function_callers_keyed", """
 SELECT c.name AS callee, c.module_name AS callee_module, c.function_id AS caller_id,
-  f.name AS caller, f.module_name AS caller_module, c.site
+  f.name AS caller, f.module_name AS caller_module, c.site, c.src_loc
 FROM cg_function_called c JOIN cg_function f ON c.function_id = f.id
 WHERE c.name IN ('red plate', 'small widget')
 """)
@@ -134,11 +136,42 @@ def function_callers_keyed(g, spark, sf_dir):
     return op.function_callers(g, ["red plate", "small widget"], limit=None)
 
 
+@register("function_callers_resolved", """
+SELECT c.name AS callee, c.module_name AS callee_module, c.function_id AS caller_id,
+  f.name AS caller, f.module_name AS caller_module, c.site, c.src_loc
+FROM cg_function_called c JOIN cg_function f ON c.function_id = f.id
+WHERE EXISTS (SELECT 1 FROM cg_function t JOIN cg_type y ON y.module_id = t.module_id
+              WHERE t.name = c.name AND t.module_name = c.module_name
+                AND y.type_of_type = 'NEWTYPE')
+""")
+def function_callers_resolved(g, spark, sf_dir):
+    """O11 by (name, module) for the functions of modules with a newtype."""
+    newtype = g.types.filter("type_of_type = 'NEWTYPE'").select("module_id")
+    keys = g.function.join(newtype, "module_id", "left_semi").select("name", "module_name")
+    return op.function_callers(g, keys, limit=None, resolve="module")
+
+
+@register("function_complexity_module", """
+, one AS (SELECT min(name) AS name FROM cg_module),
+  fs AS (SELECT f.* FROM cg_function f JOIN cg_module m ON m.id = f.module_id
+         JOIN one ON one.name = m.name)
+SELECT f.id, (SELECT count(*) FROM cg_function_called c WHERE c.function_id = f.id) AS call_count,
+  (SELECT count(*) FROM cg_where_function w WHERE w.parent_function_id = f.id) AS where_count
+FROM fs f
+""")
+def function_complexity_module(g, spark, sf_dir):
+    """O14 for one module: the counts of its functions."""
+    first = g.module.agg(F.min("name")).first()[0]
+    return op.function_complexity(g, module=first, min_complexity=0, limit=None).select(
+        "id", "call_count", "where_count")
+
+
 @register("function_callees", """
-SELECT caller_id, caller, caller_module, callee, callee_module, site FROM (
+SELECT caller_id, caller, caller_module, callee, callee_module, site, src_loc FROM (
   SELECT f.id AS caller_id, f.name AS caller, f.module_name AS caller_module,
-    c.name AS callee, c.module_name AS callee_module, c.site,
-    row_number() OVER (PARTITION BY f.id ORDER BY c.name, c.site, c.module_name) AS rn
+    c.name AS callee, c.module_name AS callee_module, c.site, c.src_loc,
+    row_number() OVER (PARTITION BY f.id
+                       ORDER BY c.name, c.site, c.module_name, c.src_loc) AS rn
   FROM cg_function f JOIN cg_function_called c ON c.function_id = f.id) WHERE rn <= 50
 """)
 def function_callees(g, spark, sf_dir):

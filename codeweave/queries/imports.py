@@ -80,6 +80,22 @@ def import_details(g, spark, sf_dir):
     return op.import_details(g)
 
 
+@register("import_details_source", f"""
+SELECT i.module_id, m.name AS module, b.bucket, {_COLS},
+  CASE WHEN coalesce(i.src_loc, '') <> '' THEN i.src_loc
+    ELSE concat(m.path, ':', i.line) END AS source
+FROM cg_import i JOIN cg_module m ON m.id = i.module_id,
+  unnest(list_filter([CASE WHEN coalesce(i.package_name, '') <> '' THEN 'external'
+                        ELSE 'internal' END,
+                      CASE WHEN coalesce(i.qualified_style, false) THEN 'qualified' END,
+                      CASE WHEN coalesce(i.is_hiding, false) THEN 'hiding' END],
+                     lambda x: x IS NOT NULL)) AS b(bucket)
+""")
+def import_details_source(g, spark, sf_dir):
+    """O31 for every module, with where each import stands."""
+    return op.import_details(g, include_source_info=True)
+
+
 @register("import_bucket_counts", """
 SELECT i.module_id, m.name AS module, b.bucket, count(*) AS n_imports
 FROM cg_import i JOIN cg_module m ON m.id = i.module_id,

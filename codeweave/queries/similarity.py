@@ -1,5 +1,7 @@
 """Similarity and code-pattern operators over ``documents``."""
 
+from pyspark.sql import functions as F
+
 from ..operators import similarity as op
 from ..registry import register
 from ..sources.fixture import document_corpus
@@ -79,7 +81,22 @@ SELECT id, module, count(*) AS matches FROM m GROUP BY id, module HAVING count(*
 """)
 def code_patterns(g, spark, sf_dir):
     """Documents with >= 2 lines containing a pattern line (no limit)."""
-    return op.code_patterns(document_corpus(spark, sf_dir), _PATTERN, min_matches=2, limit=None)
+    return op.code_patterns(document_corpus(spark, sf_dir), _PATTERN, min_matches=2,
+                            limit=None).select("id", "module", "matches")
+
+
+@register("code_patterns_with_lines", _LINES + """
+SELECT id, module, count(*) AS matches,
+  array_to_string(list_slice(list(concat(line_no, ':', trim(line)) ORDER BY line_no), 1, 3), '|')
+    AS matched_lines
+FROM m GROUP BY id, module
+""")
+def code_patterns_with_lines(g, spark, sf_dir):
+    """O33 with the first matched lines of every document that holds one."""
+    return op.code_patterns(document_corpus(spark, sf_dir), _PATTERN, min_matches=1,
+                            limit=None).withColumn("matched_lines", F.array_join(F.transform(
+                                "matched_lines", lambda x: F.concat(
+                                    x["line_no"].cast("string"), F.lit(":"), x["line"])), "|"))
 
 
 @register("code_pattern_lines", _LINES + """

@@ -37,10 +37,14 @@ cg_where_function AS (SELECT l_partkey AS parent_function_id,
     concat('go', cast(l_suppkey AS string)) AS name
   FROM lineitem),
 cg_function_called AS (SELECT x.function_id, f.id AS callee_id, f.name,
-    CASE WHEN x.site = 7 THEN NULL ELSE f.module_name END AS module_name, x.site
+    CASE WHEN x.site = 7 THEN NULL ELSE f.module_name END AS module_name, x.site,
+    CASE WHEN x.site = 5 THEN NULL
+      ELSE concat(m.path, ':', cast(x.function_id % 50 + x.site AS string)) END AS src_loc
   FROM (SELECT l_partkey AS function_id, l_linenumber AS site,
+      l_partkey % (SELECT nm FROM dims) AS module_id,
       (l_orderkey * 7 + l_linenumber * 13 + l_suppkey) % (SELECT nf FROM dims) AS k
-    FROM lineitem) x JOIN cg_function f ON x.k = f.id),
+    FROM lineitem) x JOIN cg_function f ON x.k = f.id
+  LEFT JOIN cg_module m ON x.module_id = m.id),
 cg_function_dependency AS (SELECT DISTINCT x.caller_id, x.callee_id
   FROM (SELECT l_partkey AS caller_id,
       (l_orderkey * 7 + l_linenumber * 13 + l_suppkey) % (SELECT nf FROM dims) AS callee_id
@@ -53,7 +57,9 @@ cg_import AS (SELECT x.o_orderkey AS id, x.module_id, m.name AS module_name,
     CASE WHEN x.o_orderkey % 6 = 0 THEN 'M' END AS as_module_name,
     x.o_orderkey % 5 = 0 AS is_hiding,
     CASE WHEN x.o_orderkey % 10 = 0 THEN '[lookup]' END AS hiding_specs,
-    1 + x.o_orderkey % 30 AS line
+    1 + x.o_orderkey % 30 AS line,
+    CASE WHEN x.o_orderkey % 8 <> 0
+      THEN concat('lib/', cast(x.o_orderkey % 97 AS string), '.hs:1') END AS src_loc
   FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority,
       o_custkey % (SELECT nm FROM dims) AS module_id,
       (o_orderkey * 3 + 1) % (SELECT nm FROM dims) AS k FROM orders) x
@@ -77,7 +83,9 @@ cg_class AS (SELECT x.id, x.class_name, x.module_id,
     FROM nation) x JOIN cg_module m ON x.module_id = m.id),
 cg_instance AS (SELECT s_suppkey AS id, s_suppkey AS module_id,
     concat('instance ', n_name, ' ', replace(s_name, '#', '_')) AS instance_definition,
-    CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE concat(n_name, ' a') END AS instance_signature
+    CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE concat(n_name, ' a') END AS instance_signature,
+    CASE WHEN s_suppkey % 3 <> 0
+      THEN concat('src/', n_name, '.hs:', cast(s_suppkey AS string)) END AS src_loc
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 cg_probe AS (SELECT x.event_id AS probe_id, m.path AS src_file, x.line
   FROM (SELECT event_id, user_id % (SELECT nm FROM dims) AS module_id,

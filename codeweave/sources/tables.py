@@ -32,12 +32,13 @@ ENTITY_SCHEMAS: dict[str, T.StructType] = {
     "function_body": _schema(("id", L), ("raw_string", S)),
     "where_function": _schema(("parent_function_id", L), ("name", S)),
     "function_called": _schema(
-        ("function_id", L), ("callee_id", L), ("name", S), ("module_name", S), ("site", I)),
+        ("function_id", L), ("callee_id", L), ("name", S), ("module_name", S), ("site", I),
+        ("src_loc", S)),
     "function_dependency": _schema(("caller_id", L), ("callee_id", L)),
     "import": _schema(
         ("id", L), ("module_id", L), ("module_name", S), ("package_name", S),
         ("qualified_style", B), ("as_module_name", S), ("is_hiding", B),
-        ("hiding_specs", S), ("line", L)),
+        ("hiding_specs", S), ("line", L), ("src_loc", S)),
     "type": _schema(
         ("id", L), ("type_name", S), ("module_id", L), ("type_of_type", S), ("raw_code", S),
         ("src_file", S), ("line_start", L), ("line_end", L)),
@@ -47,7 +48,8 @@ ENTITY_SCHEMAS: dict[str, T.StructType] = {
         ("id", L), ("class_name", S), ("module_id", L), ("class_definition", S),
         ("src_file", S), ("line_start", I), ("line_end", I)),
     "instance": _schema(
-        ("id", L), ("module_id", L), ("instance_definition", S), ("instance_signature", S)),
+        ("id", L), ("module_id", L), ("instance_definition", S), ("instance_signature", S),
+        ("src_loc", S)),
     "instance_function": _schema(("instance_id", L), ("function_id", L)),
     "type_dependency": _schema(("dependent_id", L), ("dependency_id", L)),
 }

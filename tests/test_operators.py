@@ -467,3 +467,58 @@ def test_function_context_flags_and_body(spark):
     assert r.body == text and r.body_preview == text[:200] + "..." and r.body_head == "\n".join(
         text.split("\n")[:5])
     assert r.n_external_types == 0 and "n_local_types" not in r.asDict()
+
+
+def test_locations_of_sites_imports_and_instances(spark):
+    g = make_graph(spark, module=mods("A", "B"), function=[
+        {"id": 1, "name": "f", "module_id": 0, "module_name": "A"},
+        {"id": 2, "name": "g", "module_id": 1, "module_name": "B"}],
+        function_called=[
+            {"function_id": 1, "name": "g", "module_name": "B", "site": 1, "src_loc": "A.hs:4"},
+            {"function_id": 1, "name": "g", "module_name": None, "site": 2},
+            {"function_id": 1, "name": "g", "module_name": "Other", "site": 3}],
+        **{"import": [
+            {"id": 1, "module_id": 0, "module_name": "B", "line": 3, "src_loc": "gen/A.hs:9"},
+            {"id": 2, "module_id": 0, "module_name": "C", "line": 7, "src_loc": ""},
+            {"id": 3, "module_id": 0, "module_name": "D"}],
+           "class": [{"id": 1, "class_name": "Show", "module_id": 0}]},
+        instance=[{"id": 5, "module_id": 1, "instance_definition": "instance Show X",
+                   "src_loc": "B.hs:8"}])
+    assert rows(functions.function_callers(g, ["g"]), "site", "src_loc") == [
+        (1, "A.hs:4"), (2, None), (3, None)]
+    # by module: only the sites of a function that is defined there
+    assert rows(functions.function_callers(g, [("g", "B")], resolve="module"), "site") == [(1,)]
+    assert rows(functions.function_callers(g, ["g"], resolve="module"), "site") == [(1,)]
+    assert rows(functions.function_callers(g, None, resolve="module"), "site") == [(1,)]
+    assert rows(functions.function_callers(g, [("g", "A")], resolve="module"), "site") == []
+    with pytest.raises(ValueError):
+        functions.function_callers(g, ["g"], resolve="file")
+    assert rows(functions.function_callees(g, ["f"], limit=1), "src_loc") == [("A.hs:4",)]
+    assert rows(imports.import_details(g, ["A"], True), "import_id", "source") == [
+        (1, "gen/A.hs:9"), (2, "src/A.hs:7"), (3, None)]
+    assert "source" not in imports.import_details(g, ["A"]).columns
+    assert rows(classes.class_details(g), "instance_module", "instance_location") == [
+        ("B", "B.hs:8")]
+
+
+def test_matched_lines_come_with_the_result(spark):
+    from codeweave.operators import similarity
+    corpus = spark.createDataFrame(
+        [(1, "x = 1\n  foo x\nbar\nfoo y\nfoo z\nfoo", "M"), (2, "none", "M"), (3, None, "M"),
+         (4, "", None), (5, "bar", None)], "id long, text string, module string")
+    out = similarity.code_patterns(corpus, " foo \n\nbar", min_matches=1)
+    got = [(r["id"], r["matches"], [tuple(x) for x in r["matched_lines"]]) for r in out.collect()]
+    assert got == [(1, 5, [(2, "foo x"), (3, "bar"), (4, "foo y")]), (5, 1, [(1, "bar")])]
+    assert rows(similarity.code_pattern_lines(corpus, "foo", 2), "id", "line_no") == [
+        (1, 2), (1, 4), (1, 5)]
+    assert "Exchange" not in similarity.code_patterns(
+        corpus, "foo", limit=None)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_complexity_of_one_module_counts_its_own_sites(spark):
+    g = make_graph(spark, module=mods("A", "B"), function=[
+        {"id": 1, "name": "f", "module_id": 0}, {"id": 2, "name": "g", "module_id": 1}],
+        function_called=[{"function_id": 1, "name": "x"}] * 3 + [{"function_id": 2, "name": "x"}] * 6,
+        where_function=[{"parent_function_id": 2, "name": "w"}])
+    out = functions.function_complexity(g, module="B", min_complexity=0, limit=None)
+    assert rows(out, "id", "call_count", "where_count") == [(2, 6, 1)]
