@@ -227,12 +227,16 @@ def complexity_metrics(g: CodeGraph, module_pattern: str | None = None, threshol
     f = g.function.select("id", "name", "module_name")
     if module_pattern:
         f = f.filter(_has("module_name", module_pattern))
-    body = g.function_body.select("id", (F.lit(1) + F.coalesce(branch_points(F.col("raw_string")),
-                                                               F.lit(0))).alias("cc"))
-    deps = g.function_called.groupBy(F.col("function_id").alias("id")).agg(
-        F.count_distinct("callee_id").alias("deps"))
-    nested = g.where_function.groupBy(F.col("parent_function_id").alias("id")).agg(
-        F.count(F.lit(1)).alias("nested"))
+    bodies = g.function_body.select("id", "raw_string")
+    sites = g.function_called.select(F.col("function_id").alias("id"), "callee_id")
+    local = g.where_function.select(F.col("parent_function_id").alias("id"))
+    if module_pattern:      # count and scan what the pattern leaves only
+        bodies, sites, local = (d.join(f.select("id"), "id", "left_semi")
+                                for d in (bodies, sites, local))
+    body = bodies.select("id", (F.lit(1) + F.coalesce(branch_points(F.col("raw_string")),
+                                                      F.lit(0))).alias("cc"))
+    deps = sites.groupBy("id").agg(F.count_distinct("callee_id").alias("deps"))
+    nested = local.groupBy("id").agg(F.count(F.lit(1)).alias("nested"))
     out = (f.join(body, "id", "left").join(deps, "id", "left").join(nested, "id", "left")
            .select("id", "name", "module_name",
                    F.coalesce("cc", F.lit(1)).cast("bigint").alias("cyclomatic_complexity"),

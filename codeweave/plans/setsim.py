@@ -6,7 +6,12 @@ Jaccard >= t must share a token among the first ``n - ceil(t*n) + 1``
 tokens of each ("prefix"), so an equi-join on prefix tokens finds every
 qualifying pair; a length filter ``t*|a| <= |b| <= |a|/t``, a positional
 filter and a bound from 512 parity bits per set prune candidates before
-their token arrays are fetched for exact verification.
+their token arrays are fetched for exact verification. Tokens of a single
+set are left out of the join, and a pair that shares several prefix tokens
+is made at the first: each row carries the first ``HEAD`` shared tokens of
+its prefix, and a match behind a common one of these is dropped. Pairs whose
+first common token lies behind both heads may come more than once;
+``distinct`` folds them.
 
 Identical token sets are collapsed first: every distinct set is one
 *representative* (the smallest id holding it), so a corpus where a third
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 COPY_SLOTS = 32
+HEAD = 16
 PARITY = [f"w{i}" for i in range(8)]
 TOKEN_PATTERN = r"[\p{L}]+"
 
@@ -116,20 +122,24 @@ def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
     # the partitioning, so it is materialised once.
     posting = reps.select("rep", F.explode("toks").alias("tok"))
     vocab = (posting.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-             .orderBy("df", "tok").select("tok", F.monotonically_increasing_id().alias("g")))
+             .orderBy("df", "tok").select("tok", "df", F.monotonically_increasing_id().alias("g")))
     vocab = cut_lineage(vocab)      # always: both join sides must see one numbering
+    # Ranks grow with the frequency: from this one on tokens are in several sets.
+    shared = F.lit(vocab.filter("df > 1").agg(F.min("g")).first()[0]).cast("long")
     # Each set as the sorted array of its token ranks (one document's
     # tokens per group). The prefix is then a slice, and verification
     # intersects arrays of longs.
-    ranked = (posting.join(vocab, "tok").groupBy("rep")
+    ranked = (posting.join(vocab.select("tok", "g"), "tok").groupBy("rep")
               .agg(F.array_sort(F.collect_list("g")).alias("gs"), *_parity_words(F.col("g")))
               .select("rep", F.size("gs").alias("n"), "gs", F.struct(*PARITY).alias("sig")))
     if materialize:
         ranked = cut_lineage(ranked)
     need = ((F.col("n") * num + (den - 1)) / den).cast("int")       # ceil(t * n), integer
-    prefix = (ranked.select("rep", "n", "sig", F.posexplode(
-        F.slice("gs", F.lit(1), F.col("n") - need + 1)).alias("pos0", "tok"))
-        .select("tok", "rep", "n", "sig", (F.col("pos0") + 1).alias("pos")))
+    first_tokens = F.slice("gs", F.lit(1), F.col("n") - need + 1)
+    prefix = (ranked.select("rep", "n", "sig", F.slice(
+        F.filter(first_tokens, lambda g: g >= shared), 1, HEAD).alias("head"),
+        F.posexplode(first_tokens).alias("pos0", "tok")).filter(F.col("tok") >= shared)
+        .select("tok", "rep", "n", "sig", "head", (F.col("pos0") + 1).alias("pos")))
 
     # Length classes: geometric buckets of ratio 1/t (exact lengths when
     # t = 1). A set of length n can only pair with lengths in
@@ -150,10 +160,11 @@ def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
     hi = ((F.col("n") * den) / num).cast("long")
     a = prefix.select("tok", F.col("rep").alias("rep_a"), F.col("n").alias("na"),
                       F.col("pos").alias("pa"), F.col("sig").alias("sa"),
+                      F.col("head").alias("ha"),
                       F.explode(F.sequence(length_class(lo), length_class(hi))).alias("cls"))
     b = prefix.select("tok", F.col("rep").alias("rep_b"), F.col("n").alias("nb"),
                       F.col("pos").alias("pb"), F.col("sig").alias("sb"),
-                      length_class(F.col("n")).alias("cls"))
+                      F.col("head").alias("hb"), length_class(F.col("n")).alias("cls"))
     # overlap needed: ceil(t/(1+t) * (na+nb)) = ceil(num*(na+nb) / (num+den))
     alpha = ((F.col("na") + F.col("nb")) * num + (num + den - 1)) / (num + den)
     order = F.col("rep_a") < F.col("rep_b")
@@ -174,8 +185,13 @@ def similar_sets(corpus: DataFrame, threshold: float, id_col: str = "id",
             # tokens, and their parity bits differ in no more than that
             .filter(_parity_distance("sa", "sb")
                     <= F.col("na") + F.col("nb") - 2 * F.floor(alpha))
+            # at the first common token (of a similar pair all filters above
+            # hold there: the whole overlap lies from it on)
+            .filter(F.coalesce(F.get(F.array_intersect("ha", "hb"), 0), F.col("tok"))
+                    == F.col("tok"))
             .select(F.least("rep_a", "rep_b").alias("rep_a"),
-                    F.greatest("rep_a", "rep_b").alias("rep_b")).distinct())
+                    F.greatest("rep_a", "rep_b").alias("rep_b")))
+    cand = cand.distinct()
     ta = ranked.select(F.col("rep").alias("rep_a"), F.col("gs").alias("ta"))
     tb = ranked.select(F.col("rep").alias("rep_b"), F.col("gs").alias("tb"))
     inter = F.size(F.array_intersect("ta", "tb"))

@@ -188,3 +188,34 @@ def test_components_of_a_hub(spark):
     got = {r["node"]: r["component"] for r in connected_components(
         spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**{i: 1 for i in range(1, 200)}, 500: 1, 700: 700, 701: 700}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+@pytest.mark.parametrize("head", [0, 2, 16])
+def test_pairs_are_whole_whatever_the_head(spark, monkeypatch, threshold, head):
+    """Near copies of one text, where pairs share many prefix tokens."""
+    import random
+    from codeweave.plans import setsim
+    monkeypatch.setattr(setsim, "HEAD", head)
+    rng = random.Random(head)
+    word = lambda i: "w" + "".join(chr(97 + int(d)) for d in str(i))
+    texts = []
+    for base in (0, 100, 1000):
+        core = [word(base + i) for i in range(30)]
+        for _ in range(12):
+            t = [w for w in core if rng.random() > 0.15]
+            texts.append(" ".join(t + [word(5000 + rng.randrange(40))
+                                       for _ in range(rng.randrange(6))]))
+    texts += ["", None, texts[0], "lone words here"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    s = setsim.similar_sets(corpus, threshold)
+    rep = {r["id"]: r["rep"] for r in s.members.collect()}
+    sets = {i: frozenset(t.split()) for i, t in enumerate(texts) if t}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    assert rep == {i: first[x] for i, x in sets.items()}
+    want = {(a, b) for a in first.values() for b in first.values() if a < b
+            and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
+    got = [(r["rep_a"], r["rep_b"]) for r in s.pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
