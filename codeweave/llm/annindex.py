@@ -10,7 +10,8 @@ links at a level are chosen from its EF_BUILD nearest of that level by the
 diversity rule, then made mutual up to the level's width. Searches descend
 greedily through the upper levels and run a best-first beam of EF_SEARCH on
 the lowest one, for a block of queries at a time. Shard results are merged
-by exact score.
+by exact score. A task searches one shard for QUERY_BYTES of queries, so the
+index is shipped once per that many queries, not once per block.
 
 Defined cases: null, zero or empty vectors, vectors with null or non-finite
 components and rows without an id take no part; only vectors of one length
@@ -38,6 +39,7 @@ EF_BUILD = 64
 EF_SEARCH = 160
 EXPAND = 4              # beam entries expanded per step
 BLOCK = 512             # queries searched together
+QUERY_BYTES = 32 << 20  # query vectors in one task; a shard is sent once for each
 TOP = 20
 QUERY_STEP = 20
 
@@ -225,8 +227,13 @@ def _search_block(queries: pd.DataFrame, index: pd.DataFrame, k: int, ef: int) -
             {"q": "int64", "c": "int64", "score": "float64"})
     g, ids, x = _graph(index.iloc[0])
     queries = queries.sort_values("cid")
-    q = np.stack(queries["v"].to_numpy()).astype(np.float64)
-    got, score = search(g, x, q, k, ef)
+    got, score = [], []
+    for at in range(0, len(queries), BLOCK):
+        q = np.stack(queries["v"].iloc[at:at + BLOCK].to_numpy()).astype(np.float64)
+        a, b = search(g, x, q, k, ef)
+        got.append(a)
+        score.append(b)
+    got, score = np.concatenate(got), np.concatenate(score)
     who = np.repeat(queries["cid"].to_numpy(np.int64), got.shape[1])
     got, score = got.ravel(), score.ravel()
     ok = got >= 0
@@ -234,8 +241,8 @@ def _search_block(queries: pd.DataFrame, index: pd.DataFrame, k: int, ef: int) -
 
 
 def nearest(vectors: DataFrame, is_query, k: int = TOP, id_col: str = "vec_id",
-            vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH
-            ) -> DataFrame:
+            vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH,
+            query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row
     that ``is_query(id column)`` names, among all other rows."""
     base = work_dir(vectors.sparkSession, "ann")
@@ -259,10 +266,11 @@ def nearest(vectors: DataFrame, is_query, k: int = TOP, id_col: str = "vec_id",
     shards = max(1, -(-n // shard_rows))
     index = written(rep.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int"))
                     .groupBy("dim", "shard").applyInPandas(_build_shard, INDEX), f"{base}/index")
-    # The query set, in blocks, against every shard.
+    # The query set, in parts that a task can hold, against every shard.
     asked = written(ids.filter(is_query(F.col("vec_id"))), f"{base}/asked")
     q = rep.join(asked.select("cid").distinct(), "cid", "left_semi")
-    blocks = max(1, -(-q.count() // BLOCK))
+    n_bytes = q.agg(F.sum(8 * F.col("dim").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-n_bytes // query_bytes))
     q = (q.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(blocks)).cast("int"))
          .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
     parts = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
