@@ -3,7 +3,8 @@
 Records are range-sorted by page_id (nulls first, ties by payload digest).
 Shards are cut where the running total of payload bytes passes multiples of
 SHARD_BYTES, so they depend on the rows alone; a shard is written by one
-task, which rolls files at ROLL_BYTES compressed. Every record is its own
+task (partitioned by shard number, so no task gets two large ones), which
+rolls files at ROLL_BYTES compressed. All rows of one page_id are in one shard. Every record is its own
 gzip member with regenerated headers: ids derived from page_id and payload,
 a fixed date, fresh block and payload digests.
 
@@ -13,7 +14,7 @@ the largest page_id is written as response, the others as revisits of it.
 Commit: a task attempt writes under names of its own in ``tmp``; the names
 reach the manifest that Spark commits with the job; a second job moves
 exactly these files to their final names (repeatable: a file already in
-place with the right size is left), and the manifest of final names is the
+place with the right size and SHA-1 is left), and the manifest of final names is the
 last thing written. Files of lost attempts stay in ``tmp`` and are never
 read.
 
@@ -43,6 +44,7 @@ QUERY = "op3_warc_shards"
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
 REVISIT_BYTES = 1000
+SLOTS = 256             # join keys that the pages of one payload are spread over
 GZIP_LEVEL = 4
 DATE = "2020-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -146,16 +148,25 @@ def _writer(folder: str, roll: int):
     return run
 
 
+def _file_sha1(files, path: str) -> str:
+    digest = hashlib.sha1()
+    with files.open_input_stream(path, compression=None) as s:
+        while data := s.read(1 << 20):
+            digest.update(data)
+    return digest.hexdigest()
+
+
 def _mover(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         files, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for tmp, name, size in zip(batch.column("tmp").to_pylist(),
-                                       batch.column("file").to_pylist(),
-                                       batch.column("n_bytes").to_pylist(), strict=True):
+            for tmp, name, size, sha1 in zip(*(batch.column(c).to_pylist() for c in (
+                    "tmp", "file", "n_bytes", "sha1")), strict=True):
                 have = files.get_file_info(f"{root}/{name}")
-                if have.type != fs.FileType.File or have.size != size:
+                # A retried task finds what it moved before, whole and alike.
+                if (have.type != fs.FileType.File or have.size != size
+                        or _file_sha1(files, f"{root}/{name}") != sha1):
                     files.move(f"{root}/tmp/{tmp}", f"{root}/{name}")
             yield batch
     return run
@@ -185,19 +196,17 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         at = np.searchsorted(bounds, ids.fillna(0).to_numpy(dtype=np.int64), "right")
         return pd.Series(np.where(known, at, 0))
 
-    # Equal payloads: partial aggregation, then one row per page that revisits.
-    same = slim.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(
-        F.count(F.lit(1)).alias("n"), F.max("page_id").alias("refers")).filter("n > 1")
-    same = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.least(
-        F.floor(F.col("n") / 1000), F.lit(999)).cast("int")))).withColumn(
-        "salts", F.least(F.floor(F.col("n") / 1000), F.lit(999)).cast("int") + 1)
-    hot = same.filter("salt = 0").select("digest", "salts")
-    many = slim.filter(F.col("bytes") >= REVISIT_BYTES).join(
-        F.broadcast(hot.filter("salts > 1")) if _few(hot.filter("salts > 1")) else
-        hot.filter("salts > 1"), "digest", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("page_id"), F.coalesce("salts", F.lit(1))).cast("int"))
-    info = many.drop("salts").join(same.drop("salts", "n"), ["digest", "salt"]).select(
-        "page_id", "digest", "refers").distinct()
+    # Equal payloads: the pages of a digest are spread over SLOTS join keys.
+    # Counts and the largest page come from one row per digest and slot, which
+    # carries them back to the slots in use.
+    large = slim.filter(F.col("bytes") >= REVISIT_BYTES).select(
+        "page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(SLOTS)).alias("slot"))
+    per_slot = large.groupBy("digest", "slot").agg(
+        F.count(F.lit(1)).alias("n"), F.max("page_id").alias("top"))
+    same = per_slot.groupBy("digest").agg(
+        F.sum("n").alias("n"), F.max("top").alias("refers")).filter("n > 1").drop("n")
+    slots = per_slot.select("digest", "slot").join(same, "digest")
+    info = large.join(slots, ["digest", "slot"]).select("page_id", "digest", "refers").distinct()
 
     rows = p.withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))).select(
         "page_id", "digest", F.lit(None).cast("long").alias("refers"), F.lit(False).alias("info"),
@@ -205,8 +214,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             "page_id", "digest", "refers", F.lit(True).alias("info"),
             F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")))
     cols = ["shard", "page_id", "digest", "refers", "info", "url", "html"]
+    # Shards are numbered from 1; pages without an id are shard 0.
     ranged = (rows.withColumn("shard", shard_of("page_id")).select(*cols)
-              .repartitionByRange(max(1, len(bounds)), "shard")
+              .repartitionById(len(bounds) + 1, F.col("shard").cast("int"))
               .sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest",
                                     F.col("info").desc(), "url"))
     tmp = written(ranged.mapInArrow(_writer(folder, roll_bytes), MANIFEST),
@@ -214,11 +224,6 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     return written(tmp.mapInArrow(_mover(folder), MANIFEST), f"{folder}/manifest")
 
 
-def _few(df: DataFrame, bound: int = 10_000) -> bool:
-    """Whether ``df`` has at most ``bound`` rows (checked, not assumed)."""
-    return df.limit(bound + 1).count() <= bound
-
-
 # ----------------------------------------------------------------- reading
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
