@@ -4,8 +4,8 @@ E-mail and IP addresses, phone, card, social-security and account numbers,
 secret tokens and titled names are found by one pattern and replaced by
 keyed surrogates of the same type and format: digits stay digits, letters
 keep case and script, separators, country prefixes and titles stay, cards
-that pass the Luhn check get surrogates that pass it, names follow the
-title's gender. An entity is its type and canonical form (digits only for
+that pass the Luhn check get surrogates that pass it, account numbers whose
+check digits hold get ones that hold, names follow the title's gender. An entity is its type and canonical form (digits only for
 numbers, after a + for international phones; lower case for addresses, single
 spaces for names), so all its spellings in all documents get the same
 surrogate (coreference). The country code of an international phone is told
@@ -22,7 +22,8 @@ Only the rows that hold an entity are joined, by a hash of their text;
 copies of a text are worked on once.
 
 Defined cases: null or empty text stays as it is with no entity; repeated
-rows are replaced alike; an empty table gives no rows.
+rows are replaced alike; an empty table gives no rows; a column of the
+table's own named n_entities gives way to the count, other columns stay.
 """
 
 from __future__ import annotations
@@ -138,6 +139,24 @@ def _luhn_sum(digits: Column, from_right: int) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), product), F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(text: Column) -> Column:
+    """``text`` (digits and capitals, these as 10 to 35) modulo 97."""
+    def step(rest, i):
+        c = F.substr(text, i.cast("int"), F.lit(1))
+        return F.when(c.rlike("[0-9]"), rest * 10 + c.cast("int")).otherwise(
+            rest * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), F.lit(0), step)
+
+
+def _iban(canon: Column, shaped: Column) -> Column:
+    """Country and format stay; check digits that held hold again."""
+    country, body = F.substr(canon, F.lit(1), F.lit(2)), F.substr(shaped, F.lit(5))
+    held = _mod97(F.concat(F.substr(canon, F.lit(5)), F.substr(canon, F.lit(1), F.lit(4)))) == 1
+    check = F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.concat(country, F.when(held, check).otherwise(F.substr(shaped, F.lit(3), F.lit(2))),
+                    body)
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The canonical form of an entity's surrogate at ``attempt``."""
     s = _stream(key, kind, canon, attempt.cast("string"))
@@ -163,8 +182,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
             .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), _shaped(canon, s, True))
                   .otherwise(F.concat(F.regexp_extract(canon, "^[a-z]+[_-]", 0), _shaped(
                       F.regexp_replace(canon, "^[a-z]+[_-]", ""), s))))
-            .when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)),
-                                           F.substr(shaped, F.lit(3))))
+            .when(kind == "iban", _iban(canon, shaped))
             .when(kind.startswith("name"), _name(kind, canon, s, attempt))
             .otherwise(shaped))
 
@@ -217,8 +235,7 @@ def _distinct_surrogates(entities: DataFrame, base: str, key: str) -> DataFrame:
         F.col("canon"))
     real = entities.select(space.alias("k"), form.alias("r"))
     taken = (F.col("space") == F.col("k")) & (F.col("s") == F.col("r"))
-    tasks = max(entities.rdd.getNumPartitions(), 4 * entities.sparkSession.sparkContext
-                .defaultParallelism)
+    tasks = 4 * entities.sparkSession.sparkContext.defaultParallelism
     todo, done, attempt = entities, None, 0
     while True:
         # Draws cost far more than reading: a few megabytes of entities are

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from codeweave.llm import (annindex, chatformat, decontam, mixing, neardup, pii, quality, tokenpack,
                            toxicity, warc)
@@ -481,3 +482,57 @@ def test_snapshots_collapse(spark):
     assert got[2].n_turns == 4 and got[2].n_copies == 2 and got[5].n_turns == 1
     assert got[5].rendered == "<|user|>\nother < |end| ><|end|>\n"
     assert chatformat.chat_documents(df.limit(0)).count() == 0
+
+
+def test_neighbours_are_the_same_in_many_query_parts(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1200, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one, many = (sorted(map(tuple, annindex.nearest(
+        df, lambda c: c % 2 == 0, shard_rows=500, query_bytes=b).collect()))
+        for b in (1 << 20, 8 * 8 * 40))
+    assert len(one) == 600 * 20 and one == many
+
+
+def test_warc_shards_are_even_tasks(spark):
+    n, payload = 3000, 400
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"{i:0{payload}}") for i in range(n)],
+                                  "page_id long, url string, html string")
+    folder = shared_uri(work_dir(spark, "warc-test"))
+    man = warc.write_warc(pages, folder, shard_bytes=payload * 100, roll_bytes=1 << 20).collect()
+    per = {}
+    for r in man:
+        per[r.shard] = per.get(r.shard, 0) + r.n_records
+    assert len(per) == 30 and set(per.values()) == {100}
+    attempts = spark.read.parquet(f"{folder}/state/attempts")
+    tasks = attempts.groupBy(F.input_file_name()).agg(F.count_distinct("shard").alias("n"))
+    assert {r.n for r in tasks.collect()} == {1}
+
+
+def test_hot_payload_revisits_in_many_slots(spark):
+    pages = spark.createDataFrame([(i, "u", ("x" if i % 3 else f"{i:04}") * 1000)
+                                   for i in range(900)],
+                                  "page_id long, url string, html string")
+    folder = shared_uri(work_dir(spark, "warc-test"))
+    got = warc.read_warc(warc.write_warc(pages, folder), folder).collect()
+    assert len(got) == 900
+    for r in got:
+        hot = r.page_id % 3 != 0 and r.page_id != 899
+        assert (r.record_type, r.refers_to) == (("revisit", 899) if hot else ("response", None))
+
+
+def test_account_surrogates_keep_check_digits(docs):
+    import re
+
+    def rest(iban):
+        moved = iban[4:] + iban[:4]
+        return int("".join(str(int(c, 36)) for c in moved)) % 97
+    good = ["DE89370400440532013000", "GB82WEST12345698765432"]
+    bad = "DE00370400440532013000"
+    texts = [f"pay {g} now" for g in good] + ["pay DE89 3704 0044 0532 0130 00 now", f"pay {bad} now"]
+    out, table = pii.surrogates(docs([(i, t, "x") for i, t in enumerate(texts)]))
+    got = [re.sub("^pay | now$", "", r.text) for r in sorted(out.collect(), key=lambda r: r.doc_id)]
+    assert [g[:2] for g in got] == ["DE", "GB", "DE", "DE"] and got[2].replace(" ", "") == got[0]
+    assert not set(got) & {*good, bad} and [rest(g) for g in got[:2]] == [1, 1]
+    assert re.fullmatch("[0-9]{20}", got[0][2:]) and re.fullmatch("[A-Z]{4}[0-9]{14}", got[1][4:])
+    assert all(rest(r.canon) == 1 and rest(r.s) == 1 for r in table.collect() if r.canon in good)
