@@ -1,13 +1,12 @@
 """Iterative graph plans: bounded breadth-first search and connected
 components, as frontier loops of joins.
 
-Each round is one join of the frontier with the edge table plus a join
-against what was already reached; the only value that comes
-back to the driver is "is the new frontier empty". The edge table is
-persisted once per traversal (it is re-read every round), and the
-loop state is checkpointed to the session's checkpoint directory every
-few rounds so the plan stays small and a lost executor recomputes a few
-rounds, not all of them.
+Each round is one join of the frontier with the edge table plus joins
+against what was already reached, which stays where it lies; the only value
+that comes back to the driver is "is the new frontier empty". The edge table
+is persisted once per traversal (it is re-read every round), and every
+layer is checkpointed to the session's checkpoint directory, so the plan
+stays small and a lost executor recomputes one round, not all of them.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-CHECKPOINT_EVERY = 3
 HUB_SLOTS = 32
 
 
@@ -47,9 +45,67 @@ def _with_min(edges: DataFrame) -> DataFrame:
     return e.join(slots, ["u", "slot"]).select("u", "v", "m")
 
 
+class _Seen:
+    """What a walk has reached, kept so that no round shuffles it again.
+
+    Every layer is written to the checkpoint folder (``layers``) and cached
+    once as a run: hashed by ``keys`` into ``spark.sql.shuffle.partitions``
+    partitions and sorted within them, which is what a join on ``keys`` asks
+    for. A round therefore shuffles its own new rows only and meets the runs
+    where they lie (a run of a size that Spark broadcasts is broadcast).
+    ``FAN_IN`` runs of equal rank are merged into one of the next rank, so r
+    rounds leave O(log r) runs and a row moves O(log r) times; walks of up to
+    ``FAN_IN`` - 1 rounds never merge. A lost cache block is built again from
+    the written layers.
+    """
+
+    FAN_IN = 8
+
+    def __init__(self, start: DataFrame, keys: list[str], squeeze=None):
+        self.keys = keys
+        self.squeeze = squeeze or (lambda df: df)     # rows of equal keys into one
+        self.width = int(start.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.layers: list[DataFrame] = []
+        self.runs: list[tuple[int, list[DataFrame], DataFrame]] = []   # rank, layers, cache
+        self._place(0, [start])
+
+    def _place(self, rank: int, parts: list[DataFrame]) -> None:
+        rows = reduce(DataFrame.unionByName, parts).repartition(self.width, *self.keys)
+        run = (self.squeeze(rows).sortWithinPartitions(*self.keys)
+               .persist(StorageLevel.MEMORY_AND_DISK))
+        run.count()      # a cached plan shows its partitioning only once it has run
+        self.runs.append((rank, parts, run))
+
+    def add(self, step: DataFrame, last: bool) -> DataFrame | None:
+        """``step`` written, as a layer and, unless it is the ``last`` one, as
+        a run; None when it has no rows."""
+        layer = cut_lineage(_bounded(step))
+        if layer.isEmpty():
+            return None
+        self.layers.append(layer)
+        if not last:
+            self._place(0, [layer])
+            while len(self.runs) >= self.FAN_IN and len({r for r, _, _ in
+                                                         self.runs[-self.FAN_IN:]}) == 1:
+                old, self.runs = self.runs[-self.FAN_IN:], self.runs[:-self.FAN_IN]
+                self._place(old[0][0] + 1, [p for _, parts, _ in old for p in parts])
+                for _, _, run in old:
+                    run.unpersist()
+        return layer
+
+    def by_depth(self) -> DataFrame | None:
+        """All layers with their ``depth``; they are written already."""
+        return reduce(DataFrame.unionByName, [
+            layer.withColumn("depth", F.lit(i)) for i, layer in enumerate(self.layers, 1)]) \
+            if self.layers else None
+
+    def drop(self) -> None:
+        for _, _, run in self.runs:
+            run.unpersist()
+
+
 def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "src",
-        dst: str = "dst", reverse: bool = False, checkpoint_every: int = CHECKPOINT_EVERY
-        ) -> DataFrame:
+        dst: str = "dst", reverse: bool = False) -> DataFrame:
     """Nodes reachable from each root in 1..max_depth steps, with the
     shortest depth: ``(root, node, depth)``.
 
@@ -59,43 +115,26 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "s
     ``max_depth=None`` runs to the fixpoint.
     """
     e = _edges(edges, src, dst, reverse).persist(StorageLevel.MEMORY_AND_DISK)
-    cached = [e]
-    # Read by every round: derived once.
-    start = roots.select("root", "node").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    cached.append(start)
-    # visited holds (root, node, depth); depth 0 rows are the roots.
-    visited = start.withColumn("depth", F.lit(0))
-    frontier = start
-    depth = 0
-    while max_depth is None or depth < max_depth:
+    frontier = cut_lineage(roots.select("root", "node").distinct())
+    seen, start, depth = _Seen(frontier, ["root", "node"]), frontier, 0
+    while frontier is not None and (max_depth is None or depth < max_depth):
         depth += 1
+        # Pairs are made distinct before they meet the runs: in the map tasks first.
         step = (frontier.join(e, frontier["node"] == e["__src"])
-                .select("root", F.col("__dst").alias("node"))
-                .join(visited.select("root", "node"), ["root", "node"], "left_anti")
-                .distinct())
-        if depth % checkpoint_every == 0:
-            step = cut_lineage(step)
-        else:
-            step = step.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(step)
-        # count() fills the whole cache (isEmpty would compute one partition
-        # and leave the rest to be recomputed by every later round).
-        if step.count() == 0:
-            break
-        visited = visited.unionByName(step.withColumn("depth", F.lit(depth)))
-        if depth % checkpoint_every == 0:
-            visited = cut_lineage(_bounded(visited))
-        frontier = step
-    # The result lives in the checkpoint folder; the round caches can go.
-    result = cut_lineage(_bounded(visited.filter(F.col("depth") > 0)))
-    for df in cached:
-        df.unpersist()
-    return result
+                .select("root", F.col("__dst").alias("node")).distinct())
+        for _, _, run in seen.runs:
+            step = step.join(run, ["root", "node"], "left_anti")
+        frontier = seen.add(step, depth == max_depth)
+    found = seen.by_depth()
+    if found is None:
+        found = start.limit(0).withColumn("depth", F.lit(0))
+    seen.drop()
+    e.unpersist()
+    return found
 
 
 def bfs_masks(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: str = "src",
-        dst: str = "dst", reverse: bool = False, checkpoint_every: int = CHECKPOINT_EVERY
-        ) -> DataFrame:
+        dst: str = "dst", reverse: bool = False) -> DataFrame:
     """The answer of ``bfs`` for many roots that reach the same nodes, as in
     call and import graphs. All roots walk at once: 64 of them share a block, and a block's roots that
     reach a node are one 64-bit mask. A round joins (node, block, mask) rows
@@ -104,60 +143,40 @@ def bfs_masks(edges: DataFrame, roots: DataFrame, max_depth: int | None, src: st
     Where roots share few nodes a mask holds one bit and ``bfs`` is cheaper.
     """
     e = _edges(edges, src, dst, reverse).persist(StorageLevel.MEMORY_AND_DISK)
-    cached = [e]
     one = F.lit(1).cast("long")
+    keys = ["node", "__block"]
+
+    def ored(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys).agg(F.bit_or("__mask").alias("__mask"))
     # Ids count up within a partition, so that blocks are filled without a
     # sort over all roots; the numbering is written once.
     named = cut_lineage(roots.select("root").distinct().withColumn(
         "__id", F.monotonically_increasing_id())).select(
         "root", F.shiftright("__id", 6).alias("__block"),
         F.col("__id").bitwiseAND(F.lit(63)).cast("int").alias("__bit"))
-    frontier = (roots.select("root", "node").join(named, "root").groupBy("node", "__block").agg(
-        F.bit_or(F.call_function("shiftleft", one, F.col("__bit"))).alias("__mask"))
-        .persist(StorageLevel.MEMORY_AND_DISK))
-    cached.append(frontier)
-    seen, layers, depth = frontier, [], 0
-    while max_depth is None or depth < max_depth:
+    frontier = cut_lineage(ored(roots.select("root", "node").join(named, "root").select(
+        *keys, F.call_function("shiftleft", one, F.col("__bit")).alias("__mask"))))
+    seen, start, depth = _Seen(frontier, keys, ored), frontier, 0
+    while frontier is not None and (max_depth is None or depth < max_depth):
         depth += 1
-        had = seen.select("node", "__block", F.col("__mask").alias("__had"))
-        step = (frontier.join(e, frontier["node"] == e["__src"])
-                .groupBy(F.col("__dst").alias("node"), "__block").agg(
-                    F.bit_or("__mask").alias("__mask"))
-                .join(had, ["node", "__block"], "left")
-                .select("node", "__block", F.col("__mask").bitwiseAND(F.bitwise_not(
-                    F.coalesce("__had", F.lit(0).cast("long")))).alias("__mask"))
-                .filter(F.col("__mask") != 0))
-        if depth % checkpoint_every == 0:
-            step = cut_lineage(step)
-        else:
-            step = step.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(step)
-        # count() fills the whole cache (isEmpty would compute one partition
-        # and leave the rest to be recomputed by every later round).
-        if step.count() == 0:
-            break
-        layers.append(step.withColumn("depth", F.lit(depth)))
-        frontier = step
-        if depth == max_depth:
-            break
-        seen = seen.unionByName(step).groupBy("node", "__block").agg(
-            F.bit_or("__mask").alias("__mask"))
-        if depth % checkpoint_every == 0:
-            seen = cut_lineage(_bounded(seen))
-        else:
-            seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(seen)
+        step = ored(frontier.join(e, frontier["node"] == e["__src"]).select(
+            F.col("__dst").alias("node"), "__block", "__mask"))
+        for _, _, run in seen.runs:
+            had = run.withColumnRenamed("__mask", "__had")
+            step = step.join(had, keys, "left").select(*keys, F.col("__mask").bitwiseAND(
+                F.bitwise_not(F.coalesce("__had", F.lit(0).cast("long")))).alias("__mask"))
+        frontier = seen.add(step.filter(F.col("__mask") != 0), depth == max_depth)
     # 64 roots a block at most.
     members = named.groupBy("__block").agg(F.collect_list(F.struct("__bit", "root")).alias("__of"))
-    if not layers:
-        layers = [frontier.limit(0).withColumn("depth", F.lit(0))]
-    found = reduce(DataFrame.unionByName, layers).join(members, "__block").select(
+    layers = seen.by_depth()
+    if layers is None:
+        layers = start.limit(0).withColumn("depth", F.lit(0))
+    found = layers.join(members, "__block").select(
         "node", "depth", F.explode(F.filter("__of", lambda x: F.call_function(
             "shiftright", F.col("__mask"), x["__bit"]).bitwiseAND(one) == 1)).alias("__r"))
-    # The result lives in the checkpoint folder; the round caches can go.
     result = cut_lineage(_bounded(found.select("__r.root", "node", "depth")))
-    for df in cached:
-        df.unpersist()
+    seen.drop()
+    e.unpersist()
     return result
 
 

@@ -219,3 +219,45 @@ def test_pairs_are_whole_whatever_the_head(spark, monkeypatch, threshold, head):
             and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
     got = [(r["rep_a"], r["rep_b"]) for r in s.pairs.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_walk_runs_are_joined_where_they_lie(spark):
+    """A round shuffles its new pairs only: the runs of what was seen are
+    neither shuffled nor sorted again, and their number stays small."""
+    from codeweave.plans.graph import _Seen
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = spark.range(400).selectExpr("id % 20 AS root", "id AS node")
+        seen = _Seen(pairs, ["root", "node"])
+        assert seen.add(pairs.limit(0), False) is None
+        for i in range(1, 11):
+            seen.add(pairs.selectExpr("root", f"node + {1000 * i} AS node"), False)
+            if i == 2:
+                step = pairs.distinct()
+                for _, _, run in seen.runs:
+                    step = step.join(run, ["root", "node"], "left_anti")
+                outer = plan_outside_caches(
+                    step._jdf.queryExecution().executedPlan().toString().splitlines())
+                assert sum("Exchange hashpartitioning" in x for x in outer) == 1
+                assert sum("SortMergeJoin" in x for x in outer) == 3
+                assert sum(" Sort [" in x for x in outer) == 1
+        # Eleven layers of 400 pairs: eight merged into one run, three as they came.
+        assert [(rank, run.count()) for rank, _, run in seen.runs] == [
+            (1, 3200), (0, 400), (0, 400), (0, 400)]
+        assert seen.by_depth().groupBy("depth").count().count() == 10
+        seen.drop()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def plan_outside_caches(lines):
+    """The lines of a plan that do not lie below a cached table."""
+    out, cut = [], None
+    for line in lines:
+        at = len(line) - len(line.lstrip(" :+-|"))
+        if cut is not None and at > cut:
+            continue
+        cut = at if "InMemoryTableScan" in line else None
+        out.append(line)
+    return out
