@@ -33,3 +33,13 @@ def test_last_tree_level_is_not_written(chain, written):
     assert len(written) == 2        # the roots and level 1
     assert sorted(r["path"] for r in t.collect()) == [[0], [0, 1], [0, 1, 2]]
     assert [r["path"] for r in calls.call_tree(chain, ["f0"], max_depth=0).collect()] == [[0]]
+
+
+def test_edges_walk_stops_above_the_last_layer(chain, monkeypatch):
+    depths, walk = [], calls.bfs_masks
+    monkeypatch.setattr(calls, "bfs_masks",
+                        lambda e, r, depth, **kw: (depths.append(depth), walk(e, r, depth, **kw))[1])
+    e = calls.call_graph_edges(chain, ["f0"], max_depth=2)
+    assert depths == [1]
+    assert sorted((r["src_id"], r["dst_id"]) for r in e.collect()) == [(0, 1), (1, 2)]
+    assert calls.call_graph_edges(chain, ["f0"], max_depth=0).collect() == []
