@@ -2,7 +2,7 @@
 
 import pytest
 
-from codeweave.operators import calls
+from codeweave.operators import calls, location
 from codeweave.plans import graph
 from helpers import make_graph, modules as mods
 
@@ -43,3 +43,31 @@ def test_edges_walk_stops_above_the_last_layer(chain, monkeypatch):
     assert depths == [1]
     assert sorted((r["src_id"], r["dst_id"]) for r in e.collect()) == [(0, 1), (1, 2)]
     assert calls.call_graph_edges(chain, ["f0"], max_depth=0).collect() == []
+
+
+@pytest.fixture()
+def common_type(spark):
+    """A type that four modules define, named in a signature of a fifth."""
+    return make_graph(spark, module=mods("A", "B", "C", "D", "E"), function=[
+        {"id": 1, "name": "f", "module_id": 4, "module_name": "E", "function_signature": "T -> T",
+         "src_file": "src/E.hs", "line_start": 1, "line_end": 9}],
+        type=[{"id": i, "type_name": "T", "module_id": i % 4} for i in range(8)])
+
+
+def test_external_types_are_counted_without_listing_them(common_type):
+    c = location.function_context(common_type)
+    assert "Aggregate [type_name" in optimized(c).replace("#", " ").replace("T -", "")
+    assert c.first()["n_external_types"] == 4
+
+
+def test_listed_modules_are_cut_per_type(spark, common_type):
+    probes = spark.createDataFrame([(1, "src/E.hs", 3)], "probe_id long, src_file string, line long")
+    got = location.location_items(common_type, probes, limit=2)
+    assert "windowspecdefinition(type_name" in optimized(got)
+    assert sorted((r["rank"], r["module_name"]) for r in got.collect()) == [(1, "A"), (2, "B")]
+
+
+def test_lists_of_types_are_not_shuffled(common_type):
+    items = location.function_context_items(common_type)
+    assert optimized(items).startswith(("Union", "Project"))
+    assert sorted(r["module_name"] for r in items.collect()) == ["A", "B", "C", "D"]
