@@ -71,3 +71,6 @@ def test_lists_of_types_are_not_shuffled(common_type):
     items = location.function_context_items(common_type)
     assert optimized(items).startswith(("Union", "Project"))
     assert sorted(r["module_name"] for r in items.collect()) == ["A", "B", "C", "D"]
+    need = location.generate_imports(common_type, style="explicit")
+    assert optimized(need).startswith(("Union", "Project"))
+    assert sorted(r["statement"] for r in need.collect()) == [f"import {m} (T)" for m in "ABCD"]
