@@ -1,8 +1,10 @@
 """The largest step of a job is neither written nor shuffled again."""
 
+import random
+
 import pytest
 
-from codeweave.operators import calls, location
+from codeweave.operators import calls, imports, location, types
 from codeweave.plans import graph
 from helpers import make_graph, modules as mods
 
@@ -45,6 +47,40 @@ def test_edges_walk_stops_above_the_last_layer(chain, monkeypatch):
     assert calls.call_graph_edges(chain, ["f0"], max_depth=0).collect() == []
 
 
+def test_last_layer_of_a_walk_read_once_is_not_written(chain, written):
+    flat = calls.call_graph_flat(chain, None, max_depth=1)
+    assert len(written) == 1        # the start
+    assert sorted((r["root_id"], r["function_id"], r["depth"]) for r in flat.collect()) == sorted(
+        [(i, i, 0) for i in range(5)] + [(i, i + 1, 1) for i in range(4)])
+
+
+def test_walks_that_end_in_a_plan_equal_written_ones(spark):
+    random.seed(5)
+    ids = [random.randrange(-200, 200) for _ in range(120)] + [-2**63, 2**63 - 1]
+    edges = {(random.choice(ids), random.choice(ids)) for _ in range(300)}
+    e = spark.createDataFrame(sorted(edges), "src long, dst long")
+    r = spark.createDataFrame([(i, i) for i in set(ids)] + [(None, 1)], "root long, node long")
+
+    def found(df):
+        return sorted(tuple(x) for x in df.select("root", "node", "depth").collect())
+    for depth in (1, 3, None):
+        want = found(graph.bfs_masks(e, r, depth))
+        assert want == found(graph.bfs_masks(e, r, depth, lazy=True, by_id=True))
+        assert want == [x for x in found(graph.bfs(e, r.filter("root is not null"), depth,
+                                                   lazy=True))]
+
+
+def test_import_and_type_walks_leave_the_last_layer_unwritten(spark, written):
+    g = make_graph(spark, module=mods("A", "B"), imports=[], **{
+        "import": [{"id": 1, "module_id": 0, "module_name": "B"}],
+        "type": [{"id": 1, "type_name": "T", "module_id": 0}, {"id": 2, "type_name": "U"}],
+        "type_dependency": [{"dependent_id": 1, "dependency_id": 2}]})
+    got = imports.import_graph(g, ["A"], depth=1)
+    assert len(written) == 2 and [r["module"] for r in got.collect()] == ["B"]
+    got = types.type_dependencies(g, ["T"], depth=1)
+    assert len(written) == 3 and [r["type_name"] for r in got.collect()] == ["U"]
+
+
 @pytest.fixture()
 def common_type(spark):
     """A type that four modules define, named in a signature of a fifth."""
