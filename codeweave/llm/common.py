@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,20 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of ``rows`` rows at most, for what runs inside: a batch of
+    whole texts stands in the executor and in its Python worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key, "10000")
+    if not 0 < int(was) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def running_total(df: DataFrame, keys: list[str], value: str, out: str, path: str,
                   kind: str = "long") -> DataFrame:
     """``df`` with ``out`` = the sum of ``value`` over all rows before this

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import (SPACE, U, make_dir, pieces, running_total, shared_uri, span_hashes,
+from .common import (SPACE, U, batch_rows, make_dir, pieces, running_total, shared_uri, span_hashes,
                      text_buffers, work_dir, written)
 
 QUERY = "op1_simple8b_tokens"
@@ -46,13 +46,14 @@ SELECTORS = ((240, 0), (1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10
              (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 1
 BLOCK = 1024
-STRIDE = 1 << 20        # ids coded or decoded at once (a multiple of BLOCK)
+STRIDE = 1 << 18        # ids coded or decoded at once (a multiple of BLOCK)
 FILE_IDS = 1 << 26
 SLOT_BITS = 21          # the memo: 2M pieces
 SLOTS = 1 << SLOT_BITS
 POOL_IDS = 1 << 23      # their ids
 RUN = 2000              # unknown pieces encoded in one call
-TEXT_BYTES = 1 << 20    # text encoded at once
+TEXT_BYTES = 1 << 18    # text encoded at once
+BATCH_ROWS = 1000       # texts a task is sent at once
 END_ID = 0
 _END = np.array([END_ID], dtype=np.uint32)
 
@@ -449,8 +450,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, id_col:
     make_dir(docs.sparkSession, f"{folder}/data")
     keys = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     ranged = src.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
-    return written(ranged.mapInArrow(_writer(f"{folder}/data", path or tokenizer_path()),
-                                     MANIFEST), f"{folder}/manifest")
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        return written(ranged.mapInArrow(_writer(f"{folder}/data", path or tokenizer_path()),
+                                         MANIFEST), f"{folder}/manifest")
 
 
 class TokenFile:

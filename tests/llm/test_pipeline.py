@@ -60,3 +60,27 @@ def test_bands_suit_the_threshold():
         assert neardup.BINS % band == 0
         assert (1 - (percent / 100) ** band) ** (neardup.BINS // band) < 1e-6
     assert neardup.band_size(85) == 6            # op2 as it was
+
+
+def test_tokens_stage_holds_little_at_once(spark, docs, monkeypatch):
+    """Few texts a batch while the files are written, small coding pieces."""
+    import tracemalloc
+    import numpy as np
+    from codeweave.llm import tokenpack
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, seen = spark.conf.get(key), []
+
+    def spied(df, path):
+        seen.append(int(spark.conf.get(key)))
+        return written(df, path)
+    monkeypatch.setattr(tokenpack, "written", spied)
+    out = tokenpack.tokens_report(docs([(i, "some words here", "a") for i in range(5)]))
+    assert out.count() == 5
+    assert seen and max(seen) <= 1000 and spark.conf.get(key) == was
+    ids = np.random.default_rng(1).integers(0, 50_000, 1 << 20).astype(np.uint32)
+    tracemalloc.start()
+    words, counts = tokenpack.encode(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
+    assert (tokenpack.decode(words, counts, len(ids)) == ids).all()
