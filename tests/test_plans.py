@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from codeweave.plans.graph import bfs, connected_components
@@ -221,6 +222,52 @@ def test_pairs_are_whole_whatever_the_head(spark, monkeypatch, threshold, head):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("percent", [50, 70, 100])
+def test_prefix_rows_are_short_and_only_near_sets_pass(percent):
+    """A set's parity bits lie once in a group's row, not with every token, and
+    only pairs near the threshold leave the tasks, all similar ones among them."""
+    import numpy as np
+    import pyarrow as pa
+    from codeweave.plans import setsim
+    rng = np.random.default_rng(percent)
+    word = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    sets = [set(rng.choice(word[2000:], int(n), replace=False)) | set(word[:60])
+            for n in rng.integers(100, 500, 60)]
+    for s in sets[:20]:                            # near copies of two in three
+        keep = [x for x in s if rng.random() > rng.choice([0, 0.05, 0.2])]
+        sets.append(set(keep) | set(rng.choice(word, int(rng.integers(0, 8)))))
+    lengths = setsim._Lengths(percent, 100)
+    rare = np.zeros(setsim.BUCKETS, np.uint8)
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(range(len(sets)), pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+        pa.array([False] * len(sets)),
+        pa.array([np.array(sorted(s)).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+        names=["rep", "n", "key", "hs"])
+    rows = pa.Table.from_batches(list(setsim._rows(rare, 8, lengths)([batch])))
+    size = sum(len(x) for c in ("sig", "toks") for x in rows[c].to_pylist())
+    assert size < 20 * sum(map(len, sets))
+    got = set()
+    for g, k in set(zip(rows["g"].to_pylist(), rows["cls"].to_pylist(), strict=True)):
+        part = rows.filter((pa.compute.field("g") == g) & (pa.compute.field("cls") == k))
+        met = setsim._met(lengths, False)(part)
+        got |= set(zip(met["rep_a"].to_pylist(), met["rep_b"].to_pylist(), strict=True))
+    near = {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]])
+            for p in itertools.combinations(range(len(sets)), 2)}
+    want = {p for p, j in near.items() if 100 * j >= percent - 1e-9}
+    assert want <= got and len(got - want) < len(near) / 20
+
+
+def test_graph_tables_are_written_when_asked_for(spark, scratch):
+    import os
+    from codeweave.registry import _WrittenGraph
+    from helpers import make_graph, modules as mods
+    g = _WrittenGraph(make_graph(spark, module=mods("M", "N")), f"{scratch}/graph")
+    assert not os.path.exists(f"{scratch}/graph")
+    assert g.module.count() == 2 and g.module is g.module
+    assert os.listdir(f"{scratch}/graph") == ["module"]
+    assert set(g.tables()) >= {"module", "function", "imports", "instance_function"}
+
+
 def test_walk_runs_are_joined_where_they_lie(spark):
     """A round shuffles its new pairs only: the runs of what was seen are
     neither shuffled nor sorted again, and their number stays small."""
