@@ -1,5 +1,6 @@
 """Custom plans against brute force, and plan-shape checks."""
 
+import dataclasses
 import itertools
 import random
 
@@ -266,6 +267,8 @@ def test_graph_tables_are_written_when_asked_for(spark, scratch):
     assert g.module.count() == 2 and g.module is g.module
     assert os.listdir(f"{scratch}/graph") == ["module"]
     assert set(g.tables()) >= {"module", "function", "imports", "instance_function"}
+    copy = dataclasses.replace(g, module=g.module.limit(1))
+    assert copy.module.count() == 1 and copy.imports is g.imports
 
 
 def test_walk_runs_are_joined_where_they_lie(spark):
