@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from codeweave.operators import functions
 from codeweave.session import ROW_BROADCAST, _bytes, measured_joins
 from codeweave.sources.ingest import write_table
+from helpers import make_graph, modules as mods
 
 CONF = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold",
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
@@ -51,3 +53,37 @@ def test_measured_joins_keep_lower_limits_and_come_back(spark):
             if before[0] is not None:
                 spark.conf.set(CONF[0], before[0])
     assert [spark.conf.get(k, None) for k in CONF] == before
+
+
+def test_function_side_of_call_sites_is_hashed_by_partition(spark):
+    g = make_graph(
+        spark, module=mods("A", "B"),
+        function=[{"id": 1, "name": "f", "module_id": 0, "module_name": "A"},
+                  {"id": 1, "name": "f", "module_id": 0, "module_name": "A"},    # keys may repeat
+                  {"id": 2, "name": "g", "module_id": 1, "module_name": "B"},
+                  {"id": 3, "name": None, "module_id": 1, "module_name": "B"}],
+        function_called=[{"function_id": 1, "name": "g", "module_name": "B", "site": 1},
+                         {"function_id": 1, "name": "g", "module_name": None, "site": 2},
+                         {"function_id": None, "name": "g", "module_name": "B", "site": 3},
+                         {"function_id": 2, "name": None, "module_name": "B", "site": 4}])
+    keys = g.function.select("name", "module_name")
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def sites(df):
+        return sorted(r["site"] for r in df.collect())
+
+    for k in (None, keys):
+        by_module = functions.function_callers(g, k, limit=None, resolve="module")
+        assert plan(by_module).count("ShuffledHashJoin") == 2
+        assert sites(by_module) == [1, 1]
+        by_name = functions.function_callers(g, k, limit=None)
+        assert "ShuffledHashJoin" in plan(by_name)
+        assert sites(by_name) == ([1, 1, 2, 2, 4] if k is None else [1, 1, 2, 2])
+        callees = functions.function_callees(g, k, limit=None)
+        assert "ShuffledHashJoin" in plan(callees)
+        assert sites(callees) == [1, 1, 2, 2, 4]
+    few = functions.function_callers(g, ["g"], limit=None, resolve="module")
+    assert "ShuffledHashJoin" not in plan(few)
+    assert sites(few) == [1, 1]
