@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from codeweave.operators import functions
-from codeweave.session import ROW_BROADCAST, _bytes, measured_joins
+from codeweave.session import MERGED, ROW_BROADCAST, _bytes, measured_joins
 from codeweave.sources.ingest import write_table
 from helpers import make_graph, modules as mods
 
 CONF = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold",
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
-        "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin")
+        "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
 def written_plan(spark) -> str:
@@ -45,6 +46,7 @@ def test_measured_joins_keep_lower_limits_and_come_back(spark):
         try:
             with measured_joins(spark):
                 assert [spark.conf.get(k) for k in CONF[:2]] == ["-1", str(held)]
+                assert int(spark.conf.get(CONF[4])) == MERGED
                 raise KeyError
         except KeyError:
             assert spark.conf.get(CONF[0]) == limit
