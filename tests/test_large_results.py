@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeweave.operators import calls, imports, location, types
 from codeweave.plans import graph
@@ -110,3 +111,14 @@ def test_lists_of_types_are_not_shuffled(common_type):
     need = location.generate_imports(common_type, style="explicit")
     assert optimized(need).startswith(("Union", "Project"))
     assert sorted(r["statement"] for r in need.collect()) == [f"import {m} (T)" for m in "ABCD"]
+
+
+def test_list_of_one_type_is_shared_by_tasks(spark):
+    """The pairs of functions and a type are few, the list of its modules is not."""
+    g = make_graph(spark, module=mods(*[f"M{i}" for i in range(40)]), function=[
+        {"id": i, "name": f"f{i}", "module_id": 99, "module_name": "X",
+         "function_signature": "T -> T"} for i in range(60)],
+        type=[{"id": i, "type_name": "T", "module_id": i} for i in range(40)])
+    items = location.function_context_items(g).filter("kind = 'external_type'")
+    assert items.select("function_id", "module_name").distinct().count() == items.count() == 2400
+    assert items.select(F.spark_partition_id()).distinct().count() > 3
