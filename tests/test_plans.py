@@ -258,6 +258,67 @@ def test_prefix_rows_are_short_and_only_near_sets_pass(percent):
     assert want <= got and len(got - want) < len(near) / 20
 
 
+def _prefix_rows(sets, percent, groups):
+    """The rows of the sets, by (group, class)."""
+    import numpy as np
+    import pyarrow as pa
+    from codeweave.plans import setsim
+    lengths = setsim._Lengths(percent, 100)
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(range(len(sets)), pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+        pa.array([i % 3 == 0 for i in range(len(sets))]),
+        pa.array([np.array(sorted(s)).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+        names=["rep", "n", "key", "hs"])
+    rows = pa.Table.from_batches(list(setsim._rows(
+        np.zeros(setsim.BUCKETS, np.uint8), groups, lengths)([batch])))
+    for g, k in sorted(set(zip(rows["g"].to_pylist(), rows["cls"].to_pylist(), strict=True))):
+        yield rows.filter((pa.compute.field("g") == g) & (pa.compute.field("cls") == k))
+
+
+def test_a_groups_tokens_meet_in_slices(monkeypatch):
+    """A task holds its rows and one slice of the tokens, not arrays of all tokens."""
+    import tracemalloc
+    import numpy as np
+    from codeweave.plans import setsim
+    monkeypatch.setattr(setsim, "SLICE_TOKENS", 1 << 14, raising=False)
+    rng = np.random.default_rng(3)
+    sets = [set(rng.integers(0, 1 << 63, 200).astype(np.uint64)) for _ in range(4000)]
+    part = max(_prefix_rows(sets, 70, 1), key=len)
+    tokens = sum(len(x) for x in part["toks"].to_pylist()) // 8
+    tracemalloc.start()
+    setsim._met(setsim._Lengths(70, 100), False)(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * tokens       # 8 are the tokens themselves
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_slices_find_the_pairs_of_a_whole_group(monkeypatch, keyed):
+    import numpy as np
+    from codeweave.plans import setsim
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(6):
+        core = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+        sets += [{x for x in core if rng.random() > 0.1} for _ in range(20)]
+    lengths, parts = setsim._Lengths(70, 100), list(_prefix_rows(sets, 70, 3))
+
+    def pairs():
+        out = set()
+        for part in parts:
+            for batch in setsim._met_batches(lengths, keyed)(part.to_batches(max_chunksize=7)):
+                out |= set(zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True))
+        return out
+    want = pairs()
+    near = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2)
+            if 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])
+            and (not keyed or a % 3 == 0 or b % 3 == 0)}
+    assert near and near <= want
+    monkeypatch.setattr(setsim, "SLICE_TOKENS", 50)
+    monkeypatch.setattr(setsim, "TASK_PAIRS", 20)
+    assert pairs() == want
+
+
 def test_graph_tables_are_written_when_asked_for(spark, scratch):
     import os
     from codeweave.registry import _WrittenGraph
