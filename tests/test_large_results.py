@@ -122,3 +122,23 @@ def test_list_of_one_type_is_shared_by_tasks(spark):
     items = location.function_context_items(g).filter("kind = 'external_type'")
     assert items.select("function_id", "module_name").distinct().count() == items.count() == 2400
     assert items.select(F.spark_partition_id()).distinct().count() > 3
+
+
+def test_last_layer_is_shuffled_once(spark):
+    """The pairs of the last layer go to their node as lists and meet its name there."""
+    g = make_graph(spark, module=mods("M"), function=[
+        {"id": i, "name": f"f{i}", "module_id": 0, "module_name": "M"} for i in range(300)],
+        function_dependency=[{"caller_id": i, "callee_id": (i * k + k) % 300}
+                             for i in range(300) for k in (3, 7, 11)])
+    flat = calls.call_graph_flat(g, None, max_depth=2)
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    pairs = plan[plan.index("ShuffledHashJoin"):plan.index("REPARTITION_BY_NUM")]
+    assert "Generate explode" in pairs
+    assert pairs.count("Exchange") == 1     # that of the lists
+    e = {i: {(i * k + k) % 300 for k in (3, 7, 11)} for i in range(300)}
+    want = {}
+    for r in range(300):
+        for n in [r, *e[r], *(x for m in e[r] for x in e[m])]:
+            want.setdefault((r, n), 0 if n == r else 1 if n in e[r] else 2)
+    assert {(r["root_id"], r["function_id"]): r["depth"] for r in flat.collect()} == want
+    assert flat.count() == len(want)
