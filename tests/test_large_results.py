@@ -142,3 +142,16 @@ def test_last_layer_is_shuffled_once(spark):
             want.setdefault((r, n), 0 if n == r else 1 if n in e[r] else 2)
     assert {(r["root_id"], r["function_id"]): r["depth"] for r in flat.collect()} == want
     assert flat.count() == len(want)
+
+
+def test_edges_to_null_count_alike_in_a_last_layer_that_stays_a_plan(spark):
+    e = spark.createDataFrame([(1, 2), (1, None), (2, None), (2, 3), (3, 1), (None, 2)],
+                              "src long, dst long")
+    r = spark.createDataFrame([(i, i) for i in (1, 2, 3)], "root long, node long")
+
+    def found(df):
+        return sorted(tuple(x) for x in df.selectExpr("root", "coalesce(node, -1)", "depth").collect())
+    for depth in (1, 2, 3):
+        want = found(graph.bfs_masks(e, r, depth))
+        assert want == found(graph.bfs_masks(e, r, depth, lazy=True, by_id=True))
+        assert want == found(graph.bfs_masks(e, r, depth, lazy=True))
